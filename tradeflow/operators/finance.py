@@ -71,8 +71,8 @@ def project_rollup(members: DataFrame, jobs: DataFrame, mapping: DataFrame, quot
         *[F.expr(f"min_by({c}, name) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in people],
         F.round(F.avg("longitude"), 2).alias("longitude"),
         F.round(F.avg("latitude"), 2).alias("latitude"),
-        F.sum("concrete_qty").alias("sum_concrete_qty"),
-        F.sum("asphalt_qty").alias("sum_asphalt_qty"),
+        F.round(F.sum("concrete_qty"), 2).alias("sum_concrete_qty"),
+        F.round(F.sum("asphalt_qty"), 2).alias("sum_asphalt_qty"),
     )
 
     # M2 labour hours from jobs_with_hours (sum over members, nulls skipped)

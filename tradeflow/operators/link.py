@@ -102,15 +102,6 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     return pairs.unionByName(rest), unblockable.select(F.col("_nid").alias(name_id), F.col("_nl").alias(name_col))
 
 
-def phrase_join_bruteforce(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: str,
-                           text_id: str, text_col: str) -> DataFrame:
-    """Reference semantics as a nested loop — for tests on small fixtures only."""
-    n = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_nl"))
-    t = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text_col)).alias("_tl"))
-    return n.crossJoin(t).filter(F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl")))) \
-        .select(F.col("_nid").alias(name_id), F.col("_tid").alias(text_id))
-
-
 def _grams(c: Column, q: int) -> Column:
     """Distinct substrings of length ``q`` of ``c`` (empty when shorter)."""
     n_start = F.greatest(F.length(c) - F.lit(q) + 1, F.lit(0))
@@ -165,22 +156,12 @@ def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needl
     return verified.select(F.col("_nid").alias(needle_id), F.col("_tid").alias(text_id)).distinct()
 
 
-def contains_join_bruteforce(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
-                             text_id: str, text_col: str) -> DataFrame:
-    """Nested-loop reference semantics — tests on small fixtures only."""
-    nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
-        .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0))
-    tx = texts.select(F.col(text_id).alias("_tid"), F.col(text_col).alias("_tv"))
-    return nd.crossJoin(tx).filter(F.instr(F.col("_tv"), F.col("_nv")) > 0) \
-        .select(F.col("_nid").alias(needle_id), F.col("_tid").alias(text_id)).distinct()
-
-
 def prefer_exact(links: DataFrame, *, group: str, exact: Column | str) -> DataFrame:
     """J4 exact-preference: if any linked row of a group is exact, keep only the
     exact ones. Per-group flag by partial aggregation, joined back (no window
     over the linked rows, so a hot group is not sorted in one task)."""
     ex = F.col(exact) if isinstance(exact, str) else exact
-    flagged = links.withColumn("_exact", ex.cast("boolean"))
+    flagged = links.withColumn("_exact", F.coalesce(ex.cast("boolean"), F.lit(False)))
     any_exact = flagged.groupBy(group).agg(F.max("_exact").alias("_any_exact"))
     return (flagged.join(any_exact, group)
             .filter(~F.col("_any_exact") | F.col("_exact"))

@@ -92,7 +92,7 @@ SELECT 'Q' || CAST(o.o_orderkey AS STRING) AS quote_no,
        p.p_brand AS item_code,
        l.l_discount AS line_pct,
        l.l_quantity AS quantity,
-       round(l.l_extendedprice / l.l_quantity, 2) AS unit_price,
+       l.l_extendedprice / l.l_quantity AS unit_price,
        l.l_extendedprice AS line_total,
        o.o_orderdate AS created,
        CAST(l.l_shipdate AS DATE) AS updated,
@@ -114,7 +114,7 @@ SELECT 'Q' || CAST(o.o_orderkey AS STRING) AS quote_no,
        ct.c_name AS customer,
        {_ITEM_PREFIX} || p.p_name || ' at ' || CAST(CAST(round(l.l_discount * 100) AS INT) AS STRING) || '%' AS item,
        l.l_quantity AS quantity,
-       round(l.l_extendedprice / l.l_quantity, 2) AS unit_price,
+       l.l_extendedprice / l.l_quantity AS unit_price,
        l.l_extendedprice AS total,
        CAST(o.o_orderdate AS DATE) AS date_created,
        o.o_totalprice AS quote_total,
@@ -164,6 +164,9 @@ SELECT t.c_custkey AS card_id,
        lower(replace(t.c_name, '#', '.')) || '@example.com' AS customer_email,
        CASE WHEN t.c_acctbal < 5000 THEN 'PM ' || {seg} ELSE NULL END AS project_manager,
        CASE WHEN t.c_acctbal >= 2000 THEN 'Surveyor ' || CAST(t.c_nationkey AS STRING) ELSE NULL END AS surveyed_by,
+       {d.add_days("CAST('2020-01-01' AS DATE)", "CAST(floor(t.c_acctbal / 10) AS INT)")} AS report_sent_to_eqc,
+       CASE WHEN t.c_acctbal >= 2000 THEN {d.add_days("CAST('2020-01-01' AS DATE)", "CAST(floor(t.c_acctbal / 10) AS INT) + CAST(floor(t.c_acctbal / 250) AS INT) - 7")} END AS eqc_approved_date,
+       CASE WHEN t.c_acctbal < 0 THEN {d.add_days("CAST('2020-06-01' AS DATE)", "CAST(floor(-t.c_acctbal) AS INT)")} END AS eqc_declined_date,
        round(t.c_acctbal / 100, 2) AS concrete_qty,
        CASE WHEN t.c_acctbal > 0 THEN round(t.c_acctbal / 250, 2) ELSE NULL END AS asphalt_qty,
        CAST(-36.0 - t.c_nationkey / 10.0 AS DOUBLE) AS latitude,
@@ -270,5 +273,5 @@ def duck_cte(*names: str) -> str:
         text = FIXTURES[n](DUCK)
         for t in BASE_TABLES:
             text = text.replace("{" + t + "}", t)
-        parts.append(f"fx_{n} AS ({text})")
+        parts.append(f"fx_{n} AS MATERIALIZED ({text})")
     return "WITH " + ",\n".join(parts) + "\n"

@@ -21,7 +21,7 @@ DUCK_PCT = ("round(CAST(CASE WHEN regexp_extract(item, '(\\d[0-9]*[.]\\d[0-9]{0,
             "END AS DOUBLE) / 100.0, 3)")
 
 DUCK_QUOTE_LINES = f"""
-fx_quote_lines AS (
+fx_quote_lines AS MATERIALIZED (
   SELECT quote_no, site AS quote_ref, customer, '' AS quote_status, item AS item_desc, '' AS item_code,
          CASE WHEN {DUCK_PCT} = 0 THEN 1.0 ELSE {DUCK_PCT} END AS line_pct,
          quantity, unit_price, total AS line_total, CAST(date_created AS DATE) AS created, 'Simpro' AS quote_source

@@ -46,7 +46,10 @@ def register(name: str, ids: tuple[str, ...] | str = (), oracle: str | Callable[
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from tradeflow.plans import (  # noqa: F401
-        q_quotes, q_text, q_links, q_jobs, q_projects, q_grid, q_nested, q_reports, q_quality,
-    )
+    import importlib
+    import pkgutil
+
+    import tradeflow.plans as plans
+    for mod in sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.startswith("q_")):
+        importlib.import_module(f"tradeflow.plans.{mod}")
     return QUERIES
