@@ -26,6 +26,7 @@ The big side is never collected per key.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,9 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     # short texts (references): carry the lower-cased text with its tokens
     t = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text_col)).alias("_tl")) \
         .filter(F.col("_tl").isNotNull())
-    t_tok = t.select("_tid", "_tl", F.explode(tokens(F.col("_tl"))).alias("_tok"))
+    # read twice (frequencies, candidates): keep it rather than re-tokenise
+    t_tok = t.select("_tid", "_tl", F.explode(tokens(F.col("_tl"))).alias("_tok")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
     # document frequency of the tokens that occur in names
     name_tokens = n_tok.select("_tok").distinct()
@@ -113,17 +116,27 @@ def _grams(c: Column, q: int) -> Column:
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
                   text_id: str, text_col: str, q: int = 4,
                   max_broadcast_rows: int | None = None,
-                  short_lengths: list[int] | None = None) -> DataFrame:
+                  short_lengths: list[int] | None = None, dedupe_texts: bool = True) -> DataFrame:
     """All (needle, text) pairs where ``needle`` is a literal substring of ``text``.
 
     Null/empty needles match nothing here (an empty needle would pair with
     every text). ``texts`` may hold several rows per ``text_id`` (e.g. one
     per text column); the result is distinct on (needle_id, text_id).
+
+    ``dedupe_texts``: ledgers repeat the same text on many rows, so grams are
+    generated once per distinct text value (keyed by its 64-bit hash) and the
+    verified matches are joined back to the rows on (hash, text).
     """
     nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
         .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0)).distinct()
-    tx = texts.select(F.col(text_id).alias("_tid"), F.col(text_col).alias("_tv")) \
+    rows = texts.select(F.col(text_id).alias("_rid"), F.col(text_col).alias("_tv")) \
         .filter(F.col("_tv").isNotNull())
+    if dedupe_texts:
+        rows = rows.withColumn("_tid", F.xxhash64("_tv"))
+        tx = rows.select("_tid", "_tv").distinct()
+    else:
+        rows = rows.withColumn("_tid", F.col("_rid"))
+        tx = rows.select("_tid", "_tv")
 
     # keys: long needles -> their q-grams, short needles -> themselves (length < q)
     long_n = nd.filter(F.length("_nv") >= q)
@@ -142,8 +155,9 @@ def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needl
     for L in lens:
         part = tx.select("_tid", F.explode(_grams(F.col("_tv"), L)).alias("_key"))
         t_keys = part if t_keys is None else t_keys.unionByName(part)
+    # filtered to needle keys, read twice (frequencies, candidates): keep it
     t_keys = t_keys.join(_maybe_broadcast(key_set.select("_key"), max_broadcast_rows), "_key", "left_semi") \
-        .distinct()
+        .distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     # rarest key per needle
     key_df = t_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
@@ -151,9 +165,13 @@ def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needl
               .groupBy("_nid", "_nv")
               .agg(F.min_by("_key", F.struct(F.coalesce("_df", F.lit(0)), F.col("_key"))).alias("_key")))
     cand = t_keys.join(_maybe_broadcast(chosen, max_broadcast_rows), "_key").select("_tid", "_nid", "_nv")
-    # verify against the full text rows of the candidate ids
-    verified = cand.join(tx, "_tid").filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
-    return verified.select(F.col("_nid").alias(needle_id), F.col("_tid").alias(text_id)).distinct()
+    # verify against the candidate texts, then map text values back to rows
+    verified = cand.join(tx, "_tid").filter(F.instr(F.col("_tv"), F.col("_nv")) > 0).select("_tid", "_tv", "_nid")
+    if dedupe_texts:
+        out = verified.join(rows, ["_tid", "_tv"])
+    else:
+        out = verified.withColumnRenamed("_tid", "_rid")
+    return out.select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
 
 
 def prefer_exact(links: DataFrame, *, group: str, exact: Column | str) -> DataFrame:

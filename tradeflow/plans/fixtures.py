@@ -42,7 +42,8 @@ class Dialect:
 
     def money_text(self, x: str) -> str:
         # 12345.6 -> '12,345.60'
-        return f"format_number(round({x}, 2), 2)" if self.name == "spark" else f"format('{{:,.2f}}', round({x}, 2))"
+        return (f"format_number(floor(({x}) * 100) / 100.0, 2)" if self.name == "spark"
+                else f"format('{{:,.2f}}', floor(({x}) * 100) / 100.0)")
 
 
 SPARK = Dialect("spark")
@@ -167,8 +168,8 @@ SELECT t.c_custkey AS card_id,
        {d.add_days("CAST('2020-01-01' AS DATE)", "CAST(floor(t.c_acctbal / 10) AS INT)")} AS report_sent_to_eqc,
        CASE WHEN t.c_acctbal >= 2000 THEN {d.add_days("CAST('2020-01-01' AS DATE)", "CAST(floor(t.c_acctbal / 10) AS INT) + CAST(floor(t.c_acctbal / 250) AS INT) - 7")} END AS eqc_approved_date,
        CASE WHEN t.c_acctbal < 0 THEN {d.add_days("CAST('2020-06-01' AS DATE)", "CAST(floor(-t.c_acctbal) AS INT)")} END AS eqc_declined_date,
-       round(t.c_acctbal / 100, 2) AS concrete_qty,
-       CASE WHEN t.c_acctbal > 0 THEN round(t.c_acctbal / 250, 2) ELSE NULL END AS asphalt_qty,
+       floor(t.c_acctbal) / 100.0 AS concrete_qty,
+       CASE WHEN t.c_acctbal > 0 THEN floor(t.c_acctbal / 2.5) / 100.0 ELSE NULL END AS asphalt_qty,
        CAST(-36.0 - t.c_nationkey / 10.0 AS DOUBLE) AS latitude,
        CAST(174.0 + t.n_regionkey / 10.0 AS DOUBLE) AS longitude
 FROM ({_job_title_select()}) t"""
@@ -207,11 +208,11 @@ SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS
        CASE l.l_returnflag WHEN 'R' THEN 'Bill' WHEN 'A' THEN 'Spend Money' ELSE 'Credit Note' END AS Source,
        p.p_name || ' for ' || ct.short_name AS Description,
        'INV-' || CAST(l.l_orderkey AS STRING) AS Reference,
-       round(l.l_extendedprice / 100, 2) AS Debit,
+       floor(l.l_extendedprice) / 100.0 AS Debit,
        CAST(NULL AS DOUBLE) AS Credit,
-       round(l.l_extendedprice * (1 + l.l_tax) / 100, 2) AS Gross,
-       round(l.l_extendedprice / 100, 2) AS net,
-       round(l.l_extendedprice * l.l_tax / 100, 2) AS GST,
+       floor(l.l_extendedprice * (1 + l.l_tax)) / 100.0 AS Gross,
+       floor(l.l_extendedprice) / 100.0 AS net,
+       floor(l.l_extendedprice * l.l_tax) / 100.0 AS GST,
        p.p_type AS Account,
        CASE WHEN l.l_linestatus = 'O' THEN ct.title ELSE '' END AS Project
 FROM {{lineitem}} l

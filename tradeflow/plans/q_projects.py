@@ -133,12 +133,13 @@ def projects(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Item budget (M10, J7, A7) on a price book derived from part / lineitem:
 # sales item = part; build-up rows = lines (returned lines are labour hours,
-# others supplier costs per unit).
+# others supplier costs per unit). Whole-dollar / whole-hour inputs keep the
+# sums exact, so both engines see bit-identical ratios.
 SALES_SQL = ("SELECT 'P' || CAST(p_partkey AS STRING) AS code, p_name AS name, "
-             "CASE WHEN p_size = 1 THEN 0.0 ELSE p_retailprice END AS sale_price, p_type AS Unit FROM {part}")
+             "CAST(CASE WHEN p_size = 1 THEN 0 ELSE floor(p_retailprice) END AS DOUBLE) AS sale_price, p_type AS Unit FROM {part}")
 CALCS_SQL = ("SELECT 'P' || CAST(l_partkey AS STRING) AS xero_code, "
              "CASE WHEN l_returnflag = 'R' THEN 'Labour' ELSE 'Supplier' END AS cost_type, "
-             "l_quantity / 10.0 AS amount, round(l_extendedprice / l_quantity / 10.0, 2) AS total FROM {lineitem}")
+             "l_quantity AS amount, CAST(floor(l_extendedprice / l_quantity / 10.0) AS DOUBLE) AS total FROM {lineitem}")
 
 
 def _budget_inputs(spark, sf_dir):
