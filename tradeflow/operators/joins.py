@@ -136,16 +136,18 @@ def attach_rows(entities: DataFrame, rows: DataFrame, *, entity_key: str, row_ke
 
 
 def rate_lookup(rates_wide: DataFrame, work: DataFrame, *, code_col: str = "lookup_code",
-                work_code: str = "code", who_col: str = "sub") -> tuple[DataFrame, DataFrame]:
+                work_code: str = "code", who_col: str = "sub", order_col: str | None = None,
+                ) -> tuple[DataFrame, DataFrame]:
     """Per (work code, subcontractor) the rate from a wide rate table.
 
-    The wide table is unpivoted (``stack``) into (code, sub, rate); the
-    first row of a code wins (by position); missing codes are returned as
-    rejects instead of failing.
+    The wide table is unpivoted into (code, sub, rate); the first row of a
+    code wins (smallest ``order_col``; file position when not given); work
+    rows whose code has no rate are returned as rejects instead of failing.
     """
-    subs = [c for c in rates_wide.columns if c not in (code_col, "_pos")]
-    long = (rates_wide.withColumn("_pos", F.monotonically_increasing_id())
-            .unpivot([code_col, "_pos"], subs, who_col, "rate"))
+    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    base = rates_wide.withColumn("_pos", order)
+    subs = [c for c in rates_wide.columns if c not in (code_col, order_col)]
+    long = base.unpivot([code_col, "_pos"], subs, who_col, "rate")
     first = long.groupBy(code_col, who_col).agg(F.min_by("rate", "_pos").alias("rate"))
     j = work.join(first, (work[work_code] == first[code_col]) & (work[who_col] == first[who_col]), "left") \
         .drop(first[who_col]).drop(code_col)
