@@ -105,8 +105,15 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = _keep(fixture(spark, sf_dir, "costs"))
     cost_links = cut_lineage(finance.link_rows_to_projects(finance.project_needles(members), costs,
                                                            row_id="row_id", text_cols=["Project", "Description"]))
+    # Work start/end only need min(start)/max(end) of the linked rows, so the
+    # labour rows are pre-aggregated per distinct name (partial aggregation)
+    # and the contains join runs on names, not on every booking.
+    labour_spans = labour.groupBy("name").agg(F.min("start_date").alias("start_date"),
+                                              F.max("end_date").alias("end_date")) \
+        .withColumn("labour_id", F.col("name"))
     labour_links = cut_lineage(finance.link_rows_to_projects(
-        finance.project_needles(members, with_raw_name=False), labour, row_id="labour_id", text_cols=["name"]))
+        finance.project_needles(members, with_raw_name=False), labour_spans, row_id="labour_id",
+        text_cols=["name"]))
     job_hours = labour_per_key(labour)
-    return finance.project_rollup(members, jobs, mapping, values, cost_links, costs, labour_links, labour,
+    return finance.project_rollup(members, jobs, mapping, values, cost_links, costs, labour_links, labour_spans,
                                   job_hours)
