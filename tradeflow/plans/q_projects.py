@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tradeflow.operators import finance, graph, jobs as J
 from tradeflow.operators.aggregate import hours_per_person, labour_per_key
 from tradeflow.plans import project_flow as PF
-from tradeflow.plans.duck_flow import ctes
+from tradeflow.plans.duck_flow import ctes, duck_clean_address
 from tradeflow.plans.fixtures import duck_cte, fixture
 from tradeflow.plans.registry import register
 
@@ -172,3 +172,32 @@ def items_budget(spark, sf_dir):
                     F.round("margin", 2).alias("margin"),
                     F.round("cost_pct", 4).alias("cost_pct"),
                     F.round("margin_pct", 4).alias("margin_pct"))
+
+
+@register("jobs_malformed", "P2,F1", oracle=lambda: ctes("jobs") + r"""
+SELECT short_url, reason, CASE WHEN reason IS NULL THEN jp END AS job,
+       CASE WHEN reason IS NULL THEN trim(split_part(card_title, ',', 2)) END AS suburb
+FROM (SELECT short_url, card_title, jp,
+             CASE WHEN contains(card_title, 'Duplicate') OR contains(card_title, 'DUPLICATE')
+                       OR contains(card_title, 'duplicate') OR contains(card_title, 'DUP')
+                       OR contains(card_title, 'dup') OR contains(card_title, 'Dup') THEN 'duplicate'
+                  WHEN len(string_split(card_title, ',')) - 1 > 1 THEN 'more_than_one_comma'
+                  WHEN NOT regexp_matches(jp, '^\d{1,5}\D{1,2}') THEN 'malformed_job_name' END AS reason
+      FROM (SELECT *, """ + duck_clean_address("split_part(card_title, ',', 1)") + """ AS jp FROM fx_job_cards))""")
+def jobs_malformed(spark, sf_dir):
+    """Malformed-row split of addresses with reasons; kept rows get job / suburb."""
+    cards = fixture(spark, sf_dir, "job_cards")
+    return J.split_malformed_addresses(cards, address="card_title").select("short_url", "reason", "job", "suburb")
+
+
+@register("job_structs_flat", "T9,T10,O2", oracle=lambda: ctes("jobs") + """
+SELECT name, labels, concrete_qty AS c_concrete_qty, asphalt_qty AS c_asphalt_qty, customer_name AS cust_name
+FROM fx_jobs ORDER BY labels, name""")
+def job_structs_flat(spark, sf_dir):
+    """T10 build structs from flat card columns, T9 spread them back, O2 order by an array."""
+    j, _ = PF.jobs_table(spark, sf_dir)
+    s = J.build_job_structs(j, {"qty_from_card": {"c_concrete_qty": "concrete_qty", "c_asphalt_qty": "asphalt_qty"},
+                                "customer_details": {"cust_name": "customer_name"}})
+    flat = J.flatten_structs(s.select("name", "labels", "qty_from_card", "customer_details"),
+                             "qty_from_card", "customer_details")
+    return flat.select("name", "labels", "c_concrete_qty", "c_asphalt_qty", "cust_name").orderBy("labels", "name")
