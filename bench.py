@@ -39,8 +39,22 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
         spark.catalog.clearCache()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf}
+    # growth of the two linkage joins from a 10x smaller input (the reference's
+    # loops are O(names x texts); blocked joins should grow ~linearly)
+    small = os.environ.get("BENCH_SMALL_SF_DIR", "/root/testdata/sf0.01")
+    if not only and os.path.isdir(small) and os.path.abspath(small) != os.path.abspath(sf_dir):
+        growth = {}
+        for name in ("job_quote_mapping", "cost_links"):
+            if name in queries and name in times:
+                t0 = time.time()
+                run(queries[name].fn(spark, small))
+                t_small = time.time() - t0
+                spark.catalog.clearCache()
+                growth[name] = {"small_sec": round(t_small, 3), "ratio": round(times[name] / max(t_small, 1e-9), 2)}
+        out["linkage_growth"] = growth
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

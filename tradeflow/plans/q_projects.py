@@ -201,3 +201,16 @@ def job_structs_flat(spark, sf_dir):
     flat = J.flatten_structs(s.select("name", "labels", "qty_from_card", "customer_details"),
                              "qty_from_card", "customer_details")
     return flat.select("name", "labels", "c_concrete_qty", "c_asphalt_qty", "cust_name").orderBy("labels", "name")
+
+
+@register("cost_links", "J4", bench=True, oracle=lambda: ctes("rollup") + "SELECT project, row_id FROM fx_cost_pref")
+def cost_links(spark, sf_dir):
+    """Any-substring link of ledger rows to projects (q-gram-blocked), exact-name preference."""
+    from tradeflow.operators.link import prefer_exact
+    j, _ = PF.jobs_table(spark, sf_dir)
+    members = PF.members_table(j)
+    costs = fixture(spark, sf_dir, "costs")
+    links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
+                                          text_cols=["Project", "Description"])
+    withp = links.join(costs.select("row_id", F.col("Project").alias("_cp")), "row_id")
+    return prefer_exact(withp, group="project", exact=F.col("_cp") == F.col("project")).select("project", "row_id")
