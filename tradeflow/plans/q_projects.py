@@ -207,9 +207,10 @@ def job_structs_flat(spark, sf_dir):
 def cost_links(spark, sf_dir):
     """Any-substring link of ledger rows to projects (q-gram-blocked), exact-name preference."""
     from tradeflow.operators.link import prefer_exact
+    from tradeflow.session import cut_lineage
     j, _ = PF.jobs_table(spark, sf_dir)
-    members = PF.members_table(j)
-    costs = fixture(spark, sf_dir, "costs")
+    members = cut_lineage(PF.members_table(PF._keep(j)))   # written once, read by both needle branches
+    costs = PF._keep(fixture(spark, sf_dir, "costs"))        # read by both text columns and the join back
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
                                           text_cols=["Project", "Description"])
     withp = links.join(costs.select("row_id", F.col("Project").alias("_cp")), "row_id")
