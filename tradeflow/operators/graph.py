@@ -3,15 +3,15 @@
 X2 (reference parity) — greedy one-hop groups in card order: a shared job is
 a *seed* unless an earlier seed links to it; a group is a seed plus the jobs
 it links to. Sequential in the reference; here it is decided in rounds:
-each round joins the in-edges with the current states and settles every job
-whose earlier in-neighbours are all settled. Rounds = the longest chain of
-"earlier links to later" among shared jobs (small for real link graphs);
-the state (one row per job) is checkpointed to the shared checkpoint folder
-every round, so plans stay one round deep and a lost executor re-reads the
-last written state instead of replaying the loop.
-
-X3 (transitive) — connected components by min-label propagation with the
-same round/checkpoint structure.
+each round settles every undecided job without an undecided earlier in-neighbour
+as a seed, and the jobs those seeds link to as members; settled jobs and
+their links leave the state. Rounds = the longest chain of alternating
+seeds among shared jobs. State is checkpointed to the shared checkpoint
+folder, so plans stay one round deep and a lost executor re-reads the last
+written state instead of replaying the loop.
+
+X3 (transitive) — connected components by hooking and pointer jumping with
+the same round/checkpoint structure.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tradeflow.session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
 
 def split_shared(jobs: DataFrame, flag: str = "shared_drains") -> tuple[DataFrame, DataFrame]:
     """(shared, standalone) by a boolean flag (null = standalone)."""
@@ -44,24 +42,26 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame, *, node: str = "name", orde
          .join(n.withColumnRenamed("_n", "_d").withColumnRenamed("_o", "_do"), "_d")
          .filter(F.col("_so") < F.col("_do")).select("_s", "_d"))
     e = cut_lineage(e)
-    # state: null = undecided, true = seed, false = member of an earlier seed
-    state = cut_lineage(n.select("_n", F.lit(None).cast("boolean").alias("_seed")))
-    for rnd in range(1, MAX_ROUNDS + 1):
-        undecided = state.filter(F.col("_seed").isNull()).select("_n")
-        if undecided.limit(1).count() == 0:
-            break
-        ins = (e.join(undecided.withColumnRenamed("_n", "_d"), "_d")
-               .join(state.withColumnRenamed("_n", "_s"), "_s")
-               .groupBy("_d")
-               .agg(F.max(F.coalesce(F.col("_seed"), F.lit(False))).alias("_any_seed"),
-                    F.min(F.col("_seed").isNotNull()).alias("_all_decided")))
-        new = (state.join(ins.withColumnRenamed("_d", "_n"), "_n", "left")
-               .select("_n", F.when(F.col("_seed").isNotNull(), F.col("_seed"))
-                       .when(F.col("_any_seed"), F.lit(False))
-                       .when(F.coalesce(F.col("_all_decided"), F.lit(True)), F.lit(True))
-                       .alias("_seed")))
-        state = cut_lineage(new)
+    # Every round settles at least the earliest undecided node (its earlier
+    # in-neighbours are all settled), so the loop ends by itself. A seed vetoes
+    # its later neighbours at once, a member vetoes nothing: settled nodes leave
+    # the edge list, and the state shrinks to the undecided ones.
+    todo, done, rnd = cut_lineage(n.select("_n")), [], 0
+    while todo.limit(1).count():
+        rnd += 1
+        blocked = e.select(F.col("_d").alias("_n")).distinct()
+        seeds = cut_lineage(todo.join(blocked, "_n", "left_anti"))
+        members = cut_lineage(e.join(seeds.withColumnRenamed("_n", "_s"), "_s", "left_semi")
+                              .select(F.col("_d").alias("_n")).distinct())
+        done += [seeds.withColumn("_seed", F.lit(True)), members.withColumn("_seed", F.lit(False))]
+        settled = seeds.unionByName(members)
+        todo = cut_lineage(todo.join(settled, "_n", "left_anti"))
+        e = cut_lineage(e.join(settled.withColumnRenamed("_n", "_s"), "_s", "left_anti")
+                        .join(settled.withColumnRenamed("_n", "_d"), "_d", "left_anti"))
     greedy_seeds.rounds = rnd
+    state = n.select("_n", F.lit(True).alias("_seed")).limit(0)
+    for part in done:
+        state = state.unionByName(part)
     return state.select(F.col("_n").alias(node), F.col("_seed").alias("is_seed"))
 
 
@@ -84,25 +84,42 @@ def greedy_groups(shared: DataFrame, all_jobs: DataFrame, edges: DataFrame, *, n
 def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "name", src: str = "src",
                          dst: str = "dst") -> DataFrame:
     """``(node, component)`` with component = smallest node id reachable
-    over undirected edges. Min-label propagation; rounds ~ graph diameter."""
-    n = nodes.select(F.col(node).alias("_n")).distinct()
+    over undirected edges.
+
+    Hooking plus pointer jumping: every round a node and its parent take the
+    smallest grandparent seen over an edge, and every node skips to its own
+    grandparent. Labels travel twice as far each round, so the rounds grow
+    with the logarithm of the longest path, and the loop ends only when no
+    label changed. Each round is partial minima and joins on one key (AQE
+    splits the hot root of a giant component) and is checkpointed.
+    """
+    n = nodes.select(F.col(node).alias("_n")).filter(F.col("_n").isNotNull()).distinct()
     e0 = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).filter(F.col("_a") != F.col("_b"))
-    e = cut_lineage(e0.unionByName(e0.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-                    .join(n.withColumnRenamed("_n", "_a"), "_a").join(n.withColumnRenamed("_n", "_b"), "_b")
-                    .distinct())
-    label = cut_lineage(n.select("_n", F.col("_n").alias("_l")))
-    for rnd in range(1, MAX_ROUNDS + 1):
-        prop = (e.join(label.withColumnRenamed("_n", "_a"), "_a")
-                .groupBy(F.col("_b").alias("_n")).agg(F.min("_l").alias("_cand")))
-        new = (label.join(prop, "_n", "left")
-               .select("_n", F.least(F.col("_l"), F.coalesce(F.col("_cand"), F.col("_l"))).alias("_l"),
-                       (F.coalesce(F.col("_cand"), F.col("_l")) < F.col("_l")).alias("_changed")))
+    e = cut_lineage(e0.unionByName(e0.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
+                    .join(n.withColumnRenamed("_n", "_a"), "_a", "left_semi")
+                    .join(n.withColumnRenamed("_n", "_b"), "_b", "left_semi"))
+    # only linked nodes take part in the rounds; the others are their own component
+    state = cut_lineage(e.select(F.col("_a").alias("_n")).distinct().withColumn("_p", F.col("_n")))
+    rounds = 0
+    while True:
+        rounds += 1
+        up = (state.join(state.select(F.col("_n").alias("_p"), F.col("_p").alias("_g")), "_p")
+              .select("_n", "_p", "_g"))
+        over = (e.join(up.select(F.col("_n").alias("_b"), "_g"), "_b")
+                .groupBy(F.col("_a").alias("_n")).agg(F.min("_g").alias("_m")))
+        best = up.join(over, "_n", "left").withColumn("_c", F.least("_g", "_m"))
+        new = (best.select("_n", F.col("_c"), F.col("_p").alias("_old"))
+               .unionByName(best.select(F.col("_p").alias("_n"), "_c", F.lit(None).cast(state.schema["_n"].dataType)
+                                        .alias("_old")))
+               .groupBy("_n").agg(F.min("_c").alias("_p"), F.min("_old").alias("_old")))
         new = cut_lineage(new)
-        if new.filter("_changed").limit(1).count() == 0:
-            label = new.drop("_changed")
+        changed = new.filter(F.col("_p") < F.col("_old")).limit(1).count()
+        state = new.drop("_old")
+        if not changed:
             break
-        label = new.drop("_changed")
-    return label.select(F.col("_n").alias(node), F.col("_l").alias("component"))
+    connected_components.rounds = rounds
+    return (n.join(state, "_n", "left")
+            .select(F.col("_n").alias(node), F.coalesce("_p", "_n").alias("component")))
 
 
 def component_groups(components: DataFrame, node: str = "name") -> DataFrame:
