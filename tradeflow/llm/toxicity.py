@@ -2,8 +2,8 @@
 
 Fit (bounded by documented parameters): ``max_examples`` labelled documents,
 the first in hash order of their ids, are the examples. Terms are the
-``max_terms`` character n-grams inside words whose presence among the
-examples is most dependent on the label (chi-squared of at least ``MIN_CHI``, in at least
+``max_terms`` words or beginnings of words whose presence among the examples
+is most dependent on the label (chi-squared of at least ``MIN_CHI``, in at least
 ``min_examples`` examples). Document frequencies for IDF are counted over the whole corpus.
 
 Index: examples are ordered by their heaviest term and cut into blocks of
@@ -35,40 +35,29 @@ from pyspark.sql import functions as F
 
 from tradeflow.llm.common import map_batches, utf8, written
 
-MAX_EXAMPLES, MAX_TERMS, MIN_EXAMPLES, MIN_CHI = 12_000, 1_500, 5, 30.0
-NEIGHBOURS, BLOCK, GRAMS, FOLDS = 15, 64, (4, 5), 5
+MAX_EXAMPLES, MAX_TERMS, MIN_EXAMPLES, MIN_CHI = 12_000, 1_500, 4, 20.0
+NEIGHBOURS, BLOCK, PREFIXES, FOLDS = 15, 64, (4, 9), 5
 
 _WORD = re.compile(r"[^\W\d_]+")
-_AUTOMATA: dict[tuple, object] = {}
 
 
-def grams_of(text: str | None, sizes=GRAMS) -> set[str]:
-    """Distinct character n-grams inside the words of the lower-cased text."""
-    out: set[str] = set()
-    for w in set(_WORD.findall((text or "").lower())):
-        for n in sizes:
-            out.update(w[k:k + n] for k in range(len(w) - n + 1))
-    return out
-
+def features_of(word: str, sizes=PREFIXES) -> list[str]:
+    """The word itself (marked by a closing $) and its beginnings."""
+    return [word + "$", *[word[:n] for n in range(sizes[0], min(len(word), sizes[1]) + 1)]]
 
-def _automaton(terms: tuple[str, ...]):
-    import ahocorasick
-    key = (len(terms), hash(terms))
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        a = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            a.add_word(t, i)
-        a.make_automaton()
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
 
-
-def count_terms(text: str | None, terms: tuple[str, ...]) -> Counter:
-    """Occurrences of each term (by number) in the lower-cased text."""
-    if not text or not terms:
-        return Counter()
-    return Counter(i for _, i in _automaton(terms).iter(text.lower()))
+def count_terms(text: str | None, place: dict[str, int], memo: dict[str, list[int]]) -> Counter:
+    """Occurrences of each term (by number) in the lower-cased text; ``memo`` keeps the terms of words seen."""
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        known = memo.get(word)
+        if known is None:
+            if len(memo) > 500_000:
+                memo.clear()
+            known = memo[word] = [place[f] for f in features_of(word) if f in place]
+        for t in known:
+            out[t] += n
+    return out
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS):
@@ -83,14 +72,14 @@ def chosen_examples(labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col:
     return one.orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
 
 
-def informative_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_examples: int = MIN_EXAMPLES,
-                      sizes=GRAMS) -> list[str]:
+def informative_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_examples: int = MIN_EXAMPLES) -> list[str]:
     """Terms most dependent on the label among ``examples`` (text, label)."""
     def counts(batches):
         for b in batches:
             seen = {0: Counter(), 1: Counter()}
             for t, y in zip(b["text"].to_pylist(), b["label"].to_pylist()):
-                seen[int(y > 0)].update(grams_of(t, sizes))
+                words = set(_WORD.findall((t or "").lower()))
+                seen[int(y > 0)].update({f for w in words for f in features_of(w)})
             both = list(seen[0].keys() | seen[1].keys())
             yield {"term": both, "neg": [seen[0][t] for t in both], "pos": [seen[1][t] for t in both]}
 
@@ -108,11 +97,12 @@ def informative_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_examp
 
 def term_vectors(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, terms, counts)`` for every row."""
-    vocabulary = tuple(terms)
+    place = {t: i for i, t in enumerate(terms)}
 
     def vectors(batches):
+        memo: dict[str, list[int]] = {}
         for b in batches:
-            found = [sorted(count_terms(t, vocabulary).items()) for t in b["text"].to_pylist()]
+            found = [sorted(count_terms(t, place, memo).items()) for t in b["text"].to_pylist()]
             yield {"id": b["id"], "terms": [[i for i, _ in f] for f in found],
                    "counts": [[n for _, n in f] for f in found]}
 
