@@ -47,17 +47,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
     return df.mapInArrow(run, out)
 
 
-def in_blocks(values: DataFrame, key: Column, blocks: int) -> DataFrame:
-    """Adds ``_block``: rows dealt evenly by the hash of a key that no group shares."""
-    return values.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-
-
 def running(df: DataFrame, group: list[str], block: str, order: list[Column], measures: dict[str, Column],
             ) -> DataFrame:
     """Exclusive running sums per ``group`` in the order (block, order) without a group in one task.
 
     ``block`` splits each group; sums per (group, block) are added up over that
-    small table, and only the rows of one block meet in a window.
+    small table, and only the rows of one block meet in a window. The columns
+    of ``group`` and ``block`` hold no nulls.
     """
     from pyspark.sql import Window
     per = df.groupBy(*group, block).agg(*[F.sum(m).alias(f"_b_{n}") for n, m in measures.items()])
@@ -67,10 +63,12 @@ def running(df: DataFrame, group: list[str], block: str, order: list[Column], me
                                       for n in measures])
     inner = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumns({f"_i_{n}": F.coalesce(F.sum(m).over(inner), F.lit(0)) for n, m in measures.items()})
-    cond = F.lit(True)
-    for c in [*group, block]:
-        cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
-    joined = rows.alias("r").join(per.alias("p"), cond)
-    return joined.select("r.*", *[F.col(f"p._o_{n}").alias(f"_o_{n}") for n in measures]).withColumns(
+    joined = rows.join(per, [*group, block])
+    return joined.withColumns(
         {n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in measures}).drop(
         *[f"_i_{n}" for n in measures], *[f"_o_{n}" for n in measures])
+
+
+def if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A broadcast hint if a count proves at most ``rows`` rows (of fixed width); else Spark's own choice of join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
