@@ -1,25 +1,83 @@
 """The corpus pipeline: five stages over ``documents``, each one operator of ``tradeflow.llm``.
 
-Every stage reads its predecessor's rows from Parquet in the shared folder.
+toxicity -> near copies -> benchmark passages -> mixture -> shards. Every
+stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
+returns the columns of documents (the last adds the shard); ``run`` writes
+each stage's rows as Parquet in the shared folder and rereads them.
+
+Rows with a null doc_id go by a key made from their text, so that they are
+judged like any other; rows that share a key (repeated rows) share its fate.
+Extra columns of ``docs`` pass through. An empty table gives an empty result.
+
+The first two stages cannot be said in SQL, so there is no ORACLE_SQL; the
+tests hold the stages against plain Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeflow.llm import simhash
-from tradeflow.llm.common import read, written
+from tradeflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from tradeflow.llm.common import read, utf8, written
+
+KEY = "_row_key"
+
+
+def _key() -> Column:
+    made = -F.pmod(F.xxhash64(utf8("text")), F.lit(1 << 62)) - 1
+    return F.coalesce(F.col("doc_id"), made).alias(KEY)
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(_key(), "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.select("*", _key()).join(keys.select(KEY).distinct(), KEY, "left_anti").select(docs.columns)
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more for toxicity go."""
+    labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", KEY)
+    scored = written(toxicity.scores(_own(docs), labels, id_col=KEY), "scores")
+    return _without(docs, scored.filter("score >= 0.5"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: its smallest id. Repeated rows of that id collapse to one."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each SimHash component stays, the one of the smallest key; its repeated rows collapse to one."""
+    groups = simhash.near_duplicates(_own(docs), id_col=KEY)
+    kept = written(groups.filter(F.col(KEY) == F.col("component_id")).groupBy(KEY).count(), "kept")
+    keyed = docs.select("*", _key())
+    once = keyed.join(kept.filter("count = 1"), KEY, "left_semi")
+    again = keyed.join(kept.filter("count > 1"), KEY, "left_semi").dropDuplicates([KEY])
+    return once.unionByName(again).select(docs.columns)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other parameters, go."""
+    found = decontaminate.contaminated(_own(docs), read(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(docs, written(found.select(KEY).distinct(), "contaminated"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source as often as its weight asks for, within a budget of the corpus' own size."""
+    return mixing.drawn_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot in it."""
+    placed = sharding.sharded(_own(docs), id_col=KEY)
+    # repeated draws of a document are equal rows: the n-th of them takes the n-th place
+    number = lambda *order: F.row_number().over(Window.partitionBy(KEY, "text_crc32").orderBy(*order))
+    places = placed.select(KEY, "text_crc32", "size", "law", "shard", "slot").withColumn("_n", number("shard", "slot"))
+    rows = docs.select("*", _key(), F.crc32(utf8("text")).alias("text_crc32")).withColumn("_n", number(KEY))
+    return rows.join(places, [KEY, "text_crc32", "_n"]).select(
+        *[rows[c] for c in docs.columns], "size", "text_crc32", "law", "shard", "slot")
 
 
-STAGES = [("near_copies", near_copies)]
+STAGES = [("toxicity", civil), ("near_copies", near_copies), ("decontamination", unseen), ("mixture", mixture),
+          ("shards", shards)]
 ORACLE_SQL = None
 
 
