@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from tradeflow.llm import decontaminate, mixing, neighbours, sharding, simhash, toxicity
 from tradeflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
