@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeflow.llm import decontaminate, mixing, neighbours, secrets, sharding, simhash, token_files, toxicity
+from tradeflow.llm import decontaminate, mixing, neighbours, pii, secrets, sharding, simhash, token_files, toxicity
 from tradeflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +57,29 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def _listed(spans, kinds):
+    """kind:start:end, comma-joined in the order of the spans."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, k: int):
+    return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+
+
+@_query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+                        F.sha2(_listed("base", pii.KINDS), 256).alias("base_sha256"),
+                        _listed("spans", pii.KINDS).alias("spans"))
+
+
 @_query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-                        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
-                        secrets.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[_count("spans", k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])],
+                        F.sha2(_listed(base, secrets.KINDS), 256).alias("base_sha256"),
+                        _listed("spans", secrets.KINDS).alias("spans"))

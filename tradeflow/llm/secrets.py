@@ -212,10 +212,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_le
     more = F.transform(F.filter(F.coalesce("candidates", F.array().cast(found.schema["candidates"].dataType)), secret),
                        _as_kind(KINDS.index("random")))
     return found.select(id_col, F.array_sort(F.concat("base", more)).alias("spans"))
-
-
-def listed(spans: Column) -> Column:
-    """kind:start:end, comma-joined in the order of the spans."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
