@@ -34,7 +34,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeflow.llm.common import map_batches, utf8
+from tradeflow.llm.common import map_batches, utf8, written
 
 WIDTH, MIN_COVER, MIN_LITERALS, LOCAL_WINDOWS = 5, 0.8, 2, 2_000_000
 UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if fits:
         only = {"hashes": {r.hash & (2 ** 64 - 1) for r in keys.collect()}, "words": _words(items, item_text)}
     hits = _hits(own, widths, only).join(F.broadcast(bench) if fits else bench, ["hash", "width"])
-    hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
+    hits = written(hits.withColumn("shift", F.col("pos") - F.col("at")), "hits")  # two branches read them
     pair = ["id", "item", "shift"]
     slot = hits.select(*pair, F.explode(F.arrays_zip("values", "slots")).alias("s")).select(*pair, "s.*").distinct()
     # an item value with two values in the document breaks its alignment

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeflow.llm import decontaminate, mixing, neighbours, pii, secrets, sharding, simhash, token_files, toxicity
+from tradeflow.llm import decontaminate, mixing, neighbours, pii, repeats, secrets, sharding, simhash, token_files, toxicity
 from tradeflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count("spans", k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])],
                         F.sha2(_listed(base, secrets.KINDS), 256).alias("base_sha256"),
                         _listed("spans", secrets.KINDS).alias("spans"))
+
+
+@_query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

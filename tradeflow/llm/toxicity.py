@@ -30,6 +30,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,14 @@ def term_vectors(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text
                        "id long, terms array<int>, counts array<int>")
 
 
+def _presence(batches):
+    """Documents that hold each term, one row per term and task."""
+    held: Counter = Counter()
+    for b in batches:
+        held.update(pc.list_flatten(b["terms"]).to_pylist())
+    yield {"term": list(held), "n": list(held.values())}
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse example vectors, with block maxima."""
 
@@ -198,8 +207,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vectors = written(term_vectors(docs, terms, id_col, text_col), "term-vectors")
 
     n_docs = vectors.count()
-    df = {r.term: r["count"] for r in
-          vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    df = {r.term: r.n for r in map_batches(vectors.select("terms"), _presence, "term int, n long")
+          .groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = [math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))]
     rows = sorted((r.id, r.label, r.terms, r.counts) for r in
                   vectors.join(picked, "id").dropDuplicates(["id"]).collect())  # at most max_examples rows
