@@ -33,8 +33,13 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(_key(), "text")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): the row as a struct, so that no column of it meets a name used here."""
+    return docs.select(_key(), F.struct("*").alias("row"))
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.select("*", _key()).join(keys.select(KEY).distinct(), KEY, "left_anti").select(docs.columns)
+    return _keyed(docs).join(keys.select(KEY).distinct(), KEY, "left_anti").select("row.*")
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +53,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one of the smallest key; its repeated rows collapse to one."""
     groups = simhash.near_duplicates(_own(docs), id_col=KEY)
     kept = written(groups.filter(F.col(KEY) == F.col("component_id")).groupBy(KEY).count(), "kept")
-    keyed = docs.select("*", _key())
+    keyed = _keyed(docs)
     once = keyed.join(kept.filter("count = 1"), KEY, "left_semi")
     again = keyed.join(kept.filter("count > 1"), KEY, "left_semi").dropDuplicates([KEY])
-    return once.unionByName(again).select(docs.columns)
+    return once.unionByName(again).select("row.*")
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,14 +71,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its slot in it."""
-    placed = sharding.sharded(_own(docs), id_col=KEY)
+    """Every row with its shard and its slot in it; a column of docs that has one of the added names gives way."""
+    added = ["size", "text_crc32", "law", "shard", "slot"]
     # repeated draws of a document are equal rows: the n-th of them takes the n-th place
-    number = lambda *order: F.row_number().over(Window.partitionBy(KEY, "text_crc32").orderBy(*order))
-    places = placed.select(KEY, "text_crc32", "size", "law", "shard", "slot").withColumn("_n", number("shard", "slot"))
-    rows = docs.select("*", _key(), F.crc32(utf8("text")).alias("text_crc32")).withColumn("_n", number(KEY))
-    return rows.join(places, [KEY, "text_crc32", "_n"]).select(
-        *[rows[c] for c in docs.columns], "size", "text_crc32", "law", "shard", "slot")
+    number = lambda *order: F.row_number().over(Window.partitionBy(KEY, "crc").orderBy(*order))
+    places = sharding.sharded(_own(docs), id_col=KEY).select(KEY, F.col("text_crc32").alias("crc"), *added)
+    rows = docs.select(_key(), F.crc32(utf8("text")).alias("crc"), F.struct(docs.drop(*added).columns).alias("row"))
+    return (rows.withColumn("n", number(KEY)).join(places.withColumn("n", number("shard", "slot")), [KEY, "crc", "n"])
+            .select("row.*", *added))
 
 
 STAGES = [("toxicity", civil), ("near_copies", near_copies), ("decontamination", unseen), ("mixture", mixture),
