@@ -7,8 +7,9 @@ to the shard where most of the group lies among those with room. Movement is
 bounded by quotas for each pair of shards: as many may move one way as move
 the other way, plus the room of the receiving shard. Within a quota, groups
 move in hash order, and a group moves in part if the quota ends in it, so a
-group larger than a shard fills one shard after another. Rounds end when
-nothing moves (``max_rounds`` bounds the work, not the rows). Documents without
+group larger than a shard fills one shard after another. Ties fall anew each
+round, so that full shards find partners to exchange with. Rounds end when no
+group is split, or nothing moved for ``IDLE_ROUNDS`` rounds (``max_rounds`` bounds the work, not the rows). Documents without
 a copy cut no link wherever they go: they fill the shards up to their exact
 counts.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tradeflow.llm.common import running, utf8, written
 from tradeflow.session import cut_lineage
 
-SHARDS, MAX_ROUNDS, BLOCKS = 16, 24, 256
+SHARDS, MAX_ROUNDS, IDLE_ROUNDS, BLOCKS = 16, 24, 3, 256
 _GROUP = ["_g", "_crc", "_size"]
 
 
@@ -63,11 +64,12 @@ def propagate(groups: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS,
                                                          - F.floor((F.col("_at") + shards - 1 - s) / shards))
                               .cast("long").alias("n")) for s in range(shards)])
     state = cut_lineage(dealt.select(*_GROUP, F.explode(part).alias("p")).select(*_GROUP, "p.*").filter("n > 0"))
-    for _ in range(max_rounds):
+    idle = 0
+    for round_ in range(max_rounds):
         load = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [quota[s] - load.get(s, 0) for s in range(shards)]
         open_ = F.array(*[F.lit(r > 0) for r in room])
-        rank = F.struct("n", F.xxhash64("_g", "shard"), "shard")
+        rank = F.struct("n", F.xxhash64("_g", "shard", F.lit(round_)), "shard")  # ties fall anew each round
         # with every shard full, groups still meet by exchange
         able = F.element_at(open_, F.col("shard") + 1) if any(r > 0 for r in room) else F.lit(True)
         goal = state.groupBy(*_GROUP).agg(F.max(F.when(able, rank)).alias("to"), F.max(rank).alias("most"),
@@ -80,7 +82,11 @@ def propagate(groups: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS,
         asked = {(r["shard"], r["to"]): r["n"] for r in move.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         allowed = _quotas(asked, room)
         if not sum(allowed.values()):
-            break
+            idle += 1
+            if not asked or idle == IDLE_ROUNDS:
+                break
+            continue
+        idle = 0
         table = F.create_map(*[F.lit(x) for (a, b), n in allowed.items() for x in (a * shards + b, n)])
         moved = (running(move, ["shard", "to"], "_block", [F.col(c) for c in _GROUP], {"_before": F.col("n")})
                  .withColumn("_m", F.greatest(F.lit(0), F.least(
