@@ -101,8 +101,7 @@ def two_sided(z: Column) -> Column:
     """2 * (1 - Phi(|z|)) by the rational approximation of erfc (error below 2e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)
-    poly = reduce(lambda a, c: (a + c) * t,
-                  [F.lit(-1.453152027) + 1.061405429 * t, F.lit(1.421413741), F.lit(-0.284496736), F.lit(0.254829592)])
+    poly = reduce(lambda a, c: a * t + c, [-1.453152027, 1.421413741, -0.284496736, 0.254829592], F.lit(1.061405429)) * t
     return F.least(F.lit(1.0), F.greatest(F.lit(1e-12), poly * F.exp(-x * x)))
 
 
