@@ -136,6 +136,7 @@ def item_budget(sales_items: DataFrame, cost_calcs: DataFrame, *, code: str = "c
         F.sum(F.when(F.col("cost_type") == "Labour", F.col("amount")).otherwise(F.lit(0))).alias("total_labour_hours"),
         F.sum(F.when(F.col("cost_type") == "Supplier", F.col("total")).otherwise(F.lit(0))).alias("total_supplier_costs"))
     j = sales_items.join(c, sales_items[code] == c["_code"], "left").drop("_code")
+    passed = [x for x in sales_items.columns if x not in (code, "name", "sale_price")]  # Unit, flags, notes, ...
     lab_cost = F.col("total_labour_hours") * F.lit(rate)
     cost = lab_cost + F.col("total_supplier_costs")
     margin = F.col("sale_price") - cost
@@ -147,7 +148,7 @@ def item_budget(sales_items: DataFrame, cost_calcs: DataFrame, *, code: str = "c
         cost.alias("cost_per_unit"),
         margin.alias("margin"),
         F.try_divide(cost, F.col("sale_price")).alias("cost_pct"),
-        F.try_divide(margin, F.col("sale_price")).alias("margin_pct"),
+        F.try_divide(margin, F.col("sale_price")).alias("margin_pct"), *passed,
     )
 
 
@@ -163,7 +164,8 @@ def replace_rows_for_key(table: DataFrame, new_rows: DataFrame, key: str) -> Dat
 
 
 def margin_summary(code: str = "code", margin: str = "margin", margin_pct: str = "margin_pct"):
-    """One summary line per item; a null margin prints as 0."""
-    return F.format_string("%s: margin $%.2f (%.0f%%)", F.col(code),
-                           F.coalesce(F.col(margin), F.lit(0.0)),
-                           F.coalesce(F.col(margin_pct), F.lit(0.0)) * 100)
+    """One summary line per item, money with two decimals and whole percents
+    (half to even); a null margin prints as 0."""
+    money = F.coalesce(F.col(margin), F.lit(0.0)).cast("decimal(18,2)").cast("string")
+    pct = F.bround(F.coalesce(F.col(margin_pct), F.lit(0.0)) * 100, 0).cast("long").cast("string")
+    return F.concat(F.col(code), F.lit(": margin $"), money, F.lit(" ("), pct, F.lit("%)"))

@@ -2,8 +2,7 @@
 
 Each operator returns lazy DataFrames; where the reference silently drops or
 raises on unmatched rows, we return ``(kept, rejected)`` pairs (K4). Lookup
-sides that are derived from data get :func:`checked_broadcast` (row-count
-proof) or are left to AQE; nothing assumes a dimension is small.
+sides are left to AQE, which broadcasts one when its measured size is small.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeflow.session import checked_broadcast
-
 
 def explode_ids_lookup(tasks: DataFrame, people: DataFrame, projects: DataFrame, *,
                        ids_col: str = "people_ids", id_col: str = "people_id",
@@ -90,19 +87,13 @@ def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str], *,
     return j.select(*cols)
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "inner",
-                max_broadcast_rows: int | None = None) -> DataFrame:
-    """Lookup join; the dimension is broadcast only after a row-count proof."""
-    side = checked_broadcast(dim, max_broadcast_rows) if max_broadcast_rows else checked_broadcast(dim)
-    return df.join(side, on, how)
-
-
-def resolve_link_urls(cards: DataFrame, *, id_col: str = "short_url", name_col: str = "job_name",
-                      links_col: str = "linked_urls", path_segment: int = 2) -> tuple[DataFrame, DataFrame]:
+def resolve_link_urls(links: DataFrame, cards: DataFrame, *, name_col: str = "job_name", url_col: str = "url",
+                      id_col: str = "short_url", path_segment: int = 2) -> tuple[DataFrame, DataFrame]:
     """Linked-card URL -> path segment ``path_segment`` (0-based after the
-    leading '/') -> card id -> card name. Returns ``(edges(src, dst), unresolved)``."""
+    leading '/') -> card id -> card name. ``links`` has one row per (card name,
+    URL). Returns ``(edges(src, dst), unresolved)``."""
     from tradeflow.functions.text import url_part
-    ex = cards.select(F.col(name_col).alias("src"), F.explode(links_col).alias("link_url"))
+    ex = links.select(F.col(name_col).alias("src"), F.col(url_col).alias("link_url"))
     ex = ex.withColumn("link_id", F.try_element_at(F.split(url_part("link_url", "path"), "/"),
                                                    F.lit(path_segment + 1)))
     names = cards.select(F.col(id_col).alias("link_id"), F.col(name_col).alias("dst"))
@@ -136,16 +127,14 @@ def attach_rows(entities: DataFrame, rows: DataFrame, *, entity_key: str, row_ke
 
 
 def rate_lookup(rates_wide: DataFrame, work: DataFrame, *, code_col: str = "lookup_code",
-                work_code: str = "code", who_col: str = "sub", order_col: str | None = None,
-                ) -> tuple[DataFrame, DataFrame]:
+                work_code: str = "code", who_col: str = "sub", order_col: str) -> tuple[DataFrame, DataFrame]:
     """Per (work code, subcontractor) the rate from a wide rate table.
 
     The wide table is unpivoted into (code, sub, rate); the first row of a
-    code wins (smallest ``order_col``; file position when not given); work
+    code wins (smallest ``order_col``, the file position of the export); work
     rows whose code has no rate are returned as rejects instead of failing.
     """
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    base = rates_wide.withColumn("_pos", order)
+    base = rates_wide.withColumn("_pos", F.col(order_col))
     subs = [c for c in rates_wide.columns if c not in (code_col, order_col)]
     long = base.unpivot([code_col, "_pos"], subs, who_col, "rate")
     first = long.groupBy(code_col, who_col).agg(F.min_by("rate", "_pos").alias("rate"))

@@ -11,27 +11,25 @@ phrase_join (J2) — ``(^|\\W) name (\\W|$)`` on lower-cased text.
     rarest token; we equi-join on that token and verify with the regex.
 
 contains_join (J4) — literal, case-sensitive ``name in text``.
-    A text containing a name of length >= q contains each of the name's
-    q-grams, in particular its rarest one; names shorter than q are joined on
-    the whole name against the text's substrings of that exact length.
-    Candidates are verified with ``instr``.
+    A text containing a name contains each of the name's substrings, in
+    particular the rarest one of its key length: the largest power of two
+    within the name (32 at most). Such a key is more than half of the name, so
+    candidates stay close to the matches however many names there are; the
+    texts emit their substrings once per key length present. Candidates are
+    verified with ``instr``.
 
 Rarity is measured only for tokens/grams that occur in some name (a
 semi-join before the count), so the frequency table is bounded by the name
 side. Hot keys: the name side (one row per name) becomes a broadcast side
-when AQE measures it small (or on request after a row-count proof);
-otherwise the join is a shuffle join whose skewed partitions AQE splits.
+when AQE measures it small; otherwise the join is a shuffle join whose skewed partitions AQE splits.
 The big side is never collected per key.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeflow.session import fits_in
-
 _WORD = r"(?U)\w+"
 _META = r"([\\^$.|?*+()\[\]{}])"
 
@@ -52,18 +50,8 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(_WORD), 0))
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast only on request after a row-count proof; by default the join
-    stays a shuffle join and AQE turns it into a broadcast join when the
-    measured shuffle output of this side is below the broadcast threshold."""
-    if max_rows is None:
-        return df
-    return F.broadcast(df) if fits_in(df, max_rows) else df
-
-
 def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: str,
-                text_id: str, text_col: str, max_broadcast_rows: int | None = None,
-                ) -> tuple[DataFrame, DataFrame]:
+                text_id: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All (name, text) pairs where the lower-cased name occurs in the
     lower-cased text bounded by start/end or a non-word character.
 
@@ -79,19 +67,17 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     # short texts (references): carry the lower-cased text with its tokens
     t = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text_col)).alias("_tl")) \
         .filter(F.col("_tl").isNotNull())
-    # read twice (frequencies, candidates): keep it rather than re-tokenise
-    t_tok = t.select("_tid", "_tl", F.explode(tokens(F.col("_tl"))).alias("_tok")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    t_tok = t.select("_tid", "_tl", F.explode(tokens(F.col("_tl"))).alias("_tok"))
 
     # document frequency of the tokens that occur in names
     name_tokens = n_tok.select("_tok").distinct()
-    df_tok = t_tok.join(_maybe_broadcast(name_tokens, max_broadcast_rows), "_tok", "left_semi") \
+    df_tok = t_tok.join(name_tokens, "_tok", "left_semi") \
         .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     # rarest token per name (a token absent from all texts -> df 0 -> no candidates)
     chosen = (n_tok.join(df_tok, "_tok", "left")
               .groupBy("_nid", "_nl")
               .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok")))
-    cand = t_tok.join(_maybe_broadcast(chosen, max_broadcast_rows), "_tok")
+    cand = t_tok.join(chosen, "_tok")
     pairs = cand.filter(F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl")))) \
         .select(F.col("_nid").alias(name_id), F.col("_tid").alias(text_id))
     # names without any word character (e.g. "#"): block on their first
@@ -105,73 +91,61 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     return pairs.unionByName(rest), unblockable.select(F.col("_nid").alias(name_id), F.col("_nl").alias(name_col))
 
 
-def _grams(c: Column, q: int) -> Column:
+MAX_KEY = 32
+
+
+def _grams(c: Column, q: int | Column) -> Column:
     """Distinct substrings of length ``q`` of ``c`` (empty when shorter)."""
-    n_start = F.greatest(F.length(c) - F.lit(q) + 1, F.lit(0))
+    q = F.lit(q) if isinstance(q, int) else q
+    n_start = F.greatest(F.length(c) - q + 1, F.lit(0))
     idx = F.sequence(F.lit(1), n_start)
     return F.array_distinct(F.transform(F.when(n_start > 0, idx).otherwise(F.array().cast("array<int>")),
                                         lambda i: F.substring(c, i, q)))
 
 
+def key_length(c: Column) -> Column:
+    """The largest power of two within the length of ``c``, at most ``MAX_KEY``."""
+    out, k = F.lit(1), 2
+    while k <= MAX_KEY:
+        out = F.when(F.length(c) >= k, F.lit(k)).otherwise(out)
+        k *= 2
+    return out
+
+
+def contains_candidates(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``(_tid, _nid, _nv)`` that share the needle's rarest key; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
+    keyed = needles.withColumn("_k", key_length(F.col("_nv")))
+    keys = keyed.select("_nid", "_nv", F.explode(_grams(F.col("_nv"), F.col("_k"))).alias("_key"))
+    lengths = sorted(r[0] for r in keyed.select("_k").distinct().collect())  # powers of two up to MAX_KEY
+    if not lengths:
+        return needles.select(F.lit(None).cast(texts.schema["_tid"].dataType).alias("_tid"), "_nid", "_nv").limit(0)
+    grams = F.concat(*[_grams(F.col("_tv"), k) for k in lengths])
+    t_keys = (texts.select("_tid", F.explode(grams).alias("_key"))
+              .join(keys.select("_key").distinct(), "_key", "left_semi"))
+    key_df = t_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
+    chosen = (keys.join(key_df, "_key", "left").groupBy("_nid", "_nv")
+              .agg(F.min_by("_key", F.struct(F.coalesce("_df", F.lit(0)), F.col("_key"))).alias("_key")))
+    return t_keys.join(chosen, "_key").select("_tid", "_nid", "_nv")
+
+
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
-                  text_id: str, text_col: str, q: int = 4,
-                  max_broadcast_rows: int | None = None,
-                  short_lengths: list[int] | None = None, dedupe_texts: bool = True) -> DataFrame:
+                  text_id: str, text_col: str) -> DataFrame:
     """All (needle, text) pairs where ``needle`` is a literal substring of ``text``.
 
     Null/empty needles match nothing here (an empty needle would pair with
     every text). ``texts`` may hold several rows per ``text_id`` (e.g. one
-    per text column); the result is distinct on (needle_id, text_id).
-
-    ``dedupe_texts``: ledgers repeat the same text on many rows, so grams are
-    generated once per distinct text value (keyed by its 64-bit hash) and the
-    verified matches are joined back to the rows on (hash, text).
+    per text column); the result is distinct on (needle_id, text_id). Ledgers
+    repeat the same text on many rows, so keys are made once per distinct text
+    (by its 64-bit hash) and verified matches are joined back on (hash, text).
     """
     nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
         .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0)).distinct()
     rows = texts.select(F.col(text_id).alias("_rid"), F.col(text_col).alias("_tv")) \
-        .filter(F.col("_tv").isNotNull())
-    if dedupe_texts:
-        rows = rows.withColumn("_tid", F.xxhash64("_tv"))
-        tx = rows.select("_tid", "_tv").distinct()
-    else:
-        rows = rows.withColumn("_tid", F.col("_rid"))
-        tx = rows.select("_tid", "_tv")
-
-    # keys: long needles -> their q-grams, short needles -> themselves (length < q)
-    long_n = nd.filter(F.length("_nv") >= q)
-    short_n = nd.filter(F.length("_nv") < q).withColumn("_key", F.col("_nv"))
-    n_keys = long_n.select("_nid", "_nv", F.explode(_grams(F.col("_nv"), q)).alias("_key"))
-    all_keys = n_keys.unionByName(short_n.select("_nid", "_nv", "_key"))
-    key_set = all_keys.select("_key", F.length("_key").alias("_len")).distinct()
-    # gram lengths the texts must emit: q, plus each short needle length
-    # present (at most q - 1 small integers reach the driver)
-    if short_lengths is None:
-        short_lengths = sorted(r[0] for r in short_n.select(F.length("_nv")).distinct().collect())
-    lens = [q] + [L for L in short_lengths if 0 < L < q]
-
-    # text side: distinct substrings of each needed length, filtered to needle keys
-    t_keys = None
-    for L in lens:
-        part = tx.select("_tid", F.explode(_grams(F.col("_tv"), L)).alias("_key"))
-        t_keys = part if t_keys is None else t_keys.unionByName(part)
-    # filtered to needle keys, read twice (frequencies, candidates): keep it
-    t_keys = t_keys.join(_maybe_broadcast(key_set.select("_key"), max_broadcast_rows), "_key", "left_semi") \
-        .distinct().persist(StorageLevel.MEMORY_AND_DISK)
-
-    # rarest key per needle
-    key_df = t_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
-    chosen = (all_keys.join(key_df, "_key", "left")
-              .groupBy("_nid", "_nv")
-              .agg(F.min_by("_key", F.struct(F.coalesce("_df", F.lit(0)), F.col("_key"))).alias("_key")))
-    cand = t_keys.join(_maybe_broadcast(chosen, max_broadcast_rows), "_key").select("_tid", "_nid", "_nv")
-    # verify against the candidate texts, then map text values back to rows
-    verified = cand.join(tx, "_tid").filter(F.instr(F.col("_tv"), F.col("_nv")) > 0).select("_tid", "_tv", "_nid")
-    if dedupe_texts:
-        out = verified.join(rows, ["_tid", "_tv"])
-    else:
-        out = verified.withColumnRenamed("_tid", "_rid")
-    return out.select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
+        .filter(F.col("_tv").isNotNull()).withColumn("_tid", F.xxhash64("_tv"))
+    tx = rows.select("_tid", "_tv").distinct()
+    verified = (contains_candidates(nd, tx).join(tx, "_tid").filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
+                .select("_tid", "_tv", "_nid"))
+    return verified.join(rows, ["_tid", "_tv"]).select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
 
 
 def prefer_exact(links: DataFrame, *, group: str, exact: Column | str) -> DataFrame:

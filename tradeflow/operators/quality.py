@@ -143,5 +143,11 @@ def suite(*checks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return allc, summary
 
 
-def empty_checks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CHECK_SCHEMA)
+def key_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                names: Sequence[str] = ("n_left", "n_right", "n_both")) -> DataFrame:
+    """DQ4: distinct keys of two tables and how many they share (one row)."""
+    tagged = left.select(F.col(left_key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(F.col(right_key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r"))).filter("k is not null")
+    per = tagged.groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(
+        (F.col("l"), F.col("r"), F.col("l") * F.col("r")), names)])

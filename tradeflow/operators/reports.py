@@ -45,14 +45,15 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def preview(df: DataFrame, n: int = 100) -> DataFrame:
-    """First n rows of a table (the preview is the feature)."""
-    return df.limit(n)
+def preview(df: DataFrame, *key: str, n: int = 100) -> DataFrame:
+    """The first n rows of a table by its key (the preview is the feature)."""
+    return df.orderBy(*key).limit(n)
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A random sample of n rows (deterministic for a seed)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """A random sample of n rows: those whose key hashes lowest with the
+    seed, so the same rows come back however the table is partitioned."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def ordered_nulls_last(*cols: tuple[str, bool]) -> list[Column]:
@@ -62,7 +63,9 @@ def ordered_nulls_last(*cols: tuple[str, bool]) -> list[Column]:
 
 # ---------------------------------------------------------------------------
 # Report registry
-_DDL = re.compile(r"^\s*(create|drop|alter|insert|update|delete|merge|truncate|grant|revoke)\b", re.I)
+_COMMENT = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.S)
+_QUERY = re.compile(r"(?:\(\s*)*(?:select|with|from|values|table)\b", re.I)  # a statement that only reads begins so
+_WRITES = re.compile(r"\binsert\s+(?:into|overwrite)\b", re.I)  # WITH and FROM may also lead an insert
 _CONTROL = re.compile(r"\{%")
 _VAR = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
@@ -75,11 +78,18 @@ class Report:
     variables: list[str] = field(default_factory=list)
 
 
+def is_query(sql: str) -> bool:
+    """True for a text that only reads: after leading comments it begins like a query and inserts nothing."""
+    body = sql[_COMMENT.match(sql).end():]
+    plain = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'", " ", body, flags=re.S)
+    return bool(_QUERY.match(body)) and not _WRITES.search(plain)
+
+
 def register_report(registry: dict[str, Report], name: str, sql: str) -> Report | None:
     """Add a report; ``{{ var }}`` becomes the named parameter ``:var``.
-    DDL/DML and templates with control flow are skipped (returns None)."""
+    anything but a query, and templates with control flow, are skipped (returns None)."""
     check_identifier(name)
-    if _DDL.match(sql) or _CONTROL.search(sql):
+    if not is_query(sql) or _CONTROL.search(sql):
         return None
     variables = list(dict.fromkeys(_VAR.findall(sql)))
     text = _VAR.sub(lambda m: f":{m.group(1)}", sql)
@@ -101,7 +111,10 @@ def run_report(spark: SparkSession, registry: dict[str, Report], name: str, **pa
 
 
 def validate_report(spark: SparkSession, sql: str, **params) -> str | None:
-    """R15 dry run: analysis only (no job runs); returns an error text or None."""
+    """R15 dry run: analysis only (no job runs, and commands are refused before
+    Spark sees them); returns an error text or None."""
+    if not is_query(sql):
+        return "not a query"
     try:
         spark.sql(sql, args=params or None).schema  # noqa: B018 - forces analysis
         return None
@@ -109,6 +122,15 @@ def validate_report(spark: SparkSession, sql: str, **params) -> str | None:
         return f"{type(e).__name__}: {e}"
 
 
+def save_query(saved: DataFrame, name: str, sql: str) -> DataFrame:
+    """The saved queries (name, sql) with one added or replaced by name."""
+    check_identifier(name)
+    if not is_query(sql):
+        raise ValueError("not a query")
+    row = saved.sparkSession.createDataFrame([(name, sql)], "name string, sql string")
+    return saved.select("name", "sql").join(row.select("name"), "name", "left_anti").unionByName(row)
+
+
 def last_used(usage_log: DataFrame, keys: Sequence[str] = ("query_name", "user_email"),
               ts: str = "last_used_at") -> DataFrame:
     """R15 usage upsert as a last-write-wins view over an append-only log."""

@@ -10,7 +10,6 @@ Plain function composition over lazy DataFrames; Spark plans each result.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +67,8 @@ def jobs_with_hours(spark: SparkSession, sf_dir: str, jobs: DataFrame | None = N
 
 def link_edges(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J10 over the attachments classified as linked cards."""
-    att = J.attachment_links(jobs).filter(F.col("kind") == "linked_cards")
-    linked = att.groupBy("name").agg(F.collect_list("url").alias("linked_urls"))  # one card's attachments
-    cards = jobs.select("name", "short_url").join(linked, "name", "left") \
-        .withColumn("linked_urls", F.coalesce("linked_urls", F.array().cast("array<string>")))
-    return resolve_link_urls(cards, id_col="short_url", name_col="name", links_col="linked_urls")
+    att = J.attachment_links(jobs).filter(F.col("kind") == "linked_cards").select("name", "url")
+    return resolve_link_urls(att, jobs.select("name", "short_url"), name_col="name", url_col="url", id_col="short_url")
 
 
 def members_table(jobs: DataFrame) -> DataFrame:
@@ -83,18 +79,12 @@ def members_table(jobs: DataFrame) -> DataFrame:
     return graph.project_members(groups, standalone)
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Persist a table read by several branches (memory, spilling to disk);
-    a lost block is recomputed from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one row per project with its financials."""
-    jobs = _keep(jobs_table(spark, sf_dir)[0])
+    jobs = jobs_table(spark, sf_dir)[0]
     labour_raw, _ = labour_hours(spark, sf_dir)
-    labour = _keep(J.filter_labour(labour_raw)[0])
-    lines = _keep(quote_lines(spark, sf_dir))
+    labour = J.filter_labour(labour_raw)[0]
+    lines = quote_lines(spark, sf_dir)
     headers = Q.quote_headers(lines)
     refs = Q.latest_quote_per_ref(headers)
     # Stage boundaries: the bridge tables are written (reliable checkpoint)
@@ -102,7 +92,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = cut_lineage(J.job_quote_mapping(jobs, refs))
     values = lines.groupBy("quote_no").agg(F.sum("line_total").alias("value_raw"))
     members = cut_lineage(members_table(jobs))
-    costs = _keep(fixture(spark, sf_dir, "costs"))
+    costs = fixture(spark, sf_dir, "costs")
     cost_links = cut_lineage(finance.link_rows_to_projects(finance.project_needles(members), costs,
                                                            row_id="row_id", text_cols=["Project", "Description"]))
     # Work start/end only need min(start)/max(end) of the linked rows, so the

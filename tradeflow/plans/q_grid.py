@@ -26,7 +26,7 @@ def grid(spark, sf_dir):
     return G.grid_from_text(tables(spark, sf_dir)["documents"], sheet="doc_id", text="text")
 
 
-@register("grid_profile", "G11,G10,S7", bench=True, oracle=lambda: DUCK_GRID + """
+@register("grid_profile", "G11,S7", bench=True, oracle=lambda: DUCK_GRID + """
 SELECT sheet, count(*) AS n_rows, max(width) AS max_width, sum(n_filled) AS n_filled_cells,
        count(*) FILTER (WHERE n_filled = 0) AS n_blank_rows
 FROM st GROUP BY sheet""")
@@ -53,7 +53,7 @@ def grid_headers(spark, sf_dir):
     return G.detect_headers(grid(spark, sf_dir))
 
 
-@register("grid_tables", "G6,G8,G9", oracle=lambda: DUCK_GRID + """,
+@register("grid_tables", "G6,G8", oracle=lambda: DUCK_GRID + """,
 b AS (SELECT *, n_filled = 0 AS blank,
              CASE WHEN (n_filled = 0) <> lag(n_filled = 0) OVER (PARTITION BY sheet ORDER BY row_idx) THEN 1
                   ELSE 0 END AS chg
@@ -89,16 +89,70 @@ def grid_ranges(spark, sf_dir):
     return G.detect_ranges(grid(spark, sf_dir)).select("sheet", "table_no", "start_row", "end_row")
 
 
-@register("grid_rows", "G4,G5", oracle=lambda: DUCK_GRID + r""",
+_ROWS = r""",
 w AS (SELECT sheet, max(width) AS n_cols FROM st GROUP BY sheet),
-h AS (SELECT sheet, arg_max(row_idx, n_filled * 1000 - row_idx) AS header_row FROM st WHERE row_idx < 5 GROUP BY sheet)
-SELECT s.sheet, count(*) AS n_data_rows, sum(len(list_filter(
-         list_transform(range(w.n_cols), lambda i: CASE WHEN s.cells[i + 1] = '' THEN NULL ELSE s.cells[i + 1] END),
-         lambda v: v IS NULL))) AS n_null_cells
-FROM st s JOIN h ON h.sheet = s.sheet JOIN w ON w.sheet = s.sheet
-WHERE s.row_idx > h.header_row GROUP BY s.sheet""")
+h AS (SELECT sheet, arg_max(row_idx, n_filled * 1000 - row_idx) AS header_row FROM st WHERE row_idx < 5 GROUP BY sheet)"""
+
+
+@register("grid_rows", "G4", oracle=lambda: DUCK_GRID + _ROWS + """
+SELECT s.sheet, s.row_idx, list_transform(range(w.n_cols), lambda i: nullif(s.cells[i + 1], '')) AS "values"
+FROM st s JOIN h ON h.sheet = s.sheet JOIN w ON w.sheet = s.sheet WHERE s.row_idx > h.header_row""")
 def grid_rows(spark, sf_dir):
     g = grid(spark, sf_dir)
-    rows, _ = G.normalise_rows(g, G.detect_headers(g))
-    return rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_data_rows"),
-                                     F.sum(F.size(F.filter("values", lambda v: v.isNull()))).alias("n_null_cells"))
+    return G.normalise_rows(g, G.detect_headers(g))[0]
+
+
+@register("grid_rows_rejected", "G5", oracle=lambda: DUCK_GRID + _ROWS + """
+SELECT s.sheet, s.row_idx, s.width, w.n_cols
+FROM st s JOIN h ON h.sheet = s.sheet JOIN w ON w.sheet = s.sheet
+WHERE s.row_idx > h.header_row AND s.width <> w.n_cols""")
+def grid_rows_rejected(spark, sf_dir):
+    """Strict mode: rows whose width is not the sheet's."""
+    g = grid(spark, sf_dir)
+    return G.normalise_rows(g, G.detect_headers(g), strict=True)[1]
+
+
+#: each document with a second table after three blank rows, with a repeated header
+_TWO_TABLES = "text || chr(10) || chr(10) || chr(10) || chr(10) || 'k,v,k,' || chr(10) || source || ',' || lang || ',,1'"
+
+
+@register("grid_table_rows", "G6,G3", oracle=lambda: DUCK_GRID.replace(
+    "string_split(text, chr(10))", f"string_split({_TWO_TABLES}, chr(10))") + r""",
+b AS (SELECT *, n_filled = 0 AS blank,
+             CASE WHEN (n_filled = 0) <> lag(n_filled = 0) OVER (PARTITION BY sheet ORDER BY row_idx) THEN 1
+                  ELSE 0 END AS chg FROM st),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY sheet ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS run FROM b),
+rl AS (SELECT *, count(*) OVER (PARTITION BY sheet, run) AS len FROM r),
+sp AS (SELECT *, CASE WHEN blank AND len >= 3 AND (chg = 1 OR row_idx = min(row_idx) OVER (PARTITION BY sheet))
+                   THEN 1 ELSE 0 END AS sep_start FROM rl),
+t AS (SELECT *, sum(sep_start) OVER (PARTITION BY sheet ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS table_no FROM sp),
+d AS (SELECT *, min(row_idx) OVER (PARTITION BY sheet, table_no) AS first_row,
+             max(width) OVER (PARTITION BY sheet, table_no) AS n_cols FROM t WHERE NOT blank),
+raw AS (SELECT sheet, table_no, list_transform(range(n_cols), lambda i:
+           CASE WHEN cells[i + 1] IS NOT NULL AND NOT regexp_matches(cells[i + 1], '^[ 	
+]*$')
+                THEN regexp_replace(cells[i + 1], '^[ 	
+]+|[ 	
+]+$', '', 'g')
+                ELSE 'column_' || CAST(i AS VARCHAR) END) AS r FROM d WHERE row_idx = first_row),
+hd AS (SELECT sheet, table_no, list_transform(r, lambda x, i:
+         CASE WHEN len(list_filter(r[1:i - 1], lambda m: m = x)) > 0
+              THEN x || '_' || CAST(len(list_filter(r[1:i - 1], lambda m: m = x)) AS VARCHAR) ELSE x END) AS headers FROM raw)
+SELECT d.sheet, d.table_no, d.row_idx, hd.headers,
+       list_transform(range(d.n_cols), lambda i: nullif(d.cells[i + 1], '')) AS "values"
+FROM d JOIN hd ON hd.sheet = d.sheet AND hd.table_no = d.table_no WHERE d.row_idx > d.first_row""")
+def grid_table_rows(spark, sf_dir):
+    """Headers and rows of every sub-table of a sheet."""
+    docs = tables(spark, sf_dir)["documents"].select("doc_id", F.expr(_TWO_TABLES).alias("text"))
+    return G.table_rows(G.grid_from_text(docs, sheet="doc_id", text="text"))
+
+
+@register("grid_expectations", "G9", oracle=lambda: DUCK_GRID + """,
+n AS (SELECT sheet, count(*) FILTER (WHERE n_filled > 0) AS n_rows FROM st GROUP BY sheet)
+SELECT sheet, 0 AS table_no, c AS "check", s AS severity, p AS passed, CAST(n_rows AS DOUBLE) AS observed
+FROM n, LATERAL (VALUES ('min_rows', 'warning', n_rows >= 1),
+                        ('truncation', 'error', NOT (n_rows > 0 AND (n_rows % 1000 < 10 OR n_rows % 1000 > 990)))) v(c, s, p)""")
+def grid_expectations(spark, sf_dir):
+    """Checks of each sheet as one table: enough rows, no sign of a page limit."""
+    t = G.row_stats(grid(spark, sf_dir)).groupBy("sheet").agg(F.count(F.when(F.col("n_filled") > 0, 1)).alias("n_rows"))
+    return G.expectations(t.withColumn("table_no", F.lit(0)))

@@ -11,11 +11,13 @@ from tradeflow.operators import finance, joins
 from tradeflow.operators import reports as R
 from tradeflow.plans.fixtures import tables
 from tradeflow.plans.q_projects import CALCS_SQL, SALES_SQL, _budget_inputs
+from tradeflow.plans.q_grid import DUCK_GRID as _DUCK_GRID
 from tradeflow.plans.registry import register
+from tradeflow.session import scratch_path
 from tradeflow.sources import grid as G, io
 
 
-@register("orders_by_suffix", "S8,S11,R12", oracle=lambda: "SELECT * FROM orders")
+@register("orders_by_suffix", "S8", oracle=lambda: "SELECT * FROM orders")
 def orders_by_suffix(spark, sf_dir):
     """Full-table fetch through the suffix-dispatching reader."""
     return io.read_by_suffix(spark, f"{sf_dir}/orders.parquet")
@@ -95,44 +97,108 @@ def price_book_costs(spark, sf_dir):
                          finance.price_book_cost(hours="amount", material="total").alias("cost"))
 
 
-@register("item_margin_lines", "M13")
+@register("item_margin_lines", "M13", oracle=lambda: (
+    "WITH s AS (" + SALES_SQL.format(part="part") + "), c AS (" + CALCS_SQL.format(lineitem="lineitem") + "),\n"
+    """agg AS (SELECT xero_code, sum(CASE WHEN cost_type = 'Labour' THEN amount ELSE 0 END) * 50
+                  + sum(CASE WHEN cost_type = 'Supplier' THEN total ELSE 0 END) AS cost FROM c GROUP BY xero_code),
+j AS (SELECT s.code, s.sale_price - a.cost AS margin, (s.sale_price - a.cost) / nullif(s.sale_price, 0) AS pct
+      FROM s LEFT JOIN agg a ON s.code = a.xero_code)
+SELECT code, code || ': margin $' || CAST(CAST(coalesce(margin, 0) AS DECIMAL(18, 2)) AS VARCHAR) || ' ('
+       || CAST(CAST(round_even(coalesce(pct, 0) * 100, 0) AS BIGINT) AS VARCHAR) || '%)' AS summary FROM j"""))
 def item_margin_lines(spark, sf_dir):
-    """M13 summary text per item (rows-only check: printf rounding differs between engines)."""
+    """M13 summary text per item."""
     sales, calcs = _budget_inputs(spark, sf_dir)
     return finance.item_budget(sales, calcs).select("code", finance.margin_summary().alias("summary"))
 
 
-@register("parser_choice", "G10,G5,G9")
+_PARSERS = """
+cfg AS (SELECT CAST(doc_id AS VARCHAR) AS sheet, CASE lang WHEN 'en' THEN 'standard' WHEN 'fr' THEN 'offset'
+               WHEN 'de' THEN 'multi' ELSE 'paginated' END AS parser FROM documents),
+hdr AS (SELECT sheet, arg_max(row_idx, n_filled * 1000 - row_idx) AS h FROM st WHERE row_idx < 5 GROUP BY sheet),
+std AS (SELECT s.sheet, count(*) AS n FROM st s JOIN hdr ON hdr.sheet = s.sheet AND s.row_idx > hdr.h GROUP BY s.sheet),
+off AS (SELECT sheet, count(*) FILTER (WHERE row_idx > 1) AS n FROM st GROUP BY sheet HAVING max(row_idx) >= 1),
+multi AS (SELECT sheet, count(*) FILTER (WHERE n_filled > 0) AS n FROM st GROUP BY sheet)"""
+
+
+@register("parser_choice", "G10", oracle=lambda: _DUCK_GRID + "," + _PARSERS + """
+SELECT sheet, parser, n_rows, CASE WHEN n_rows > 0 THEN 'ok' ELSE 'failed' END AS status,
+       parser = 'paginated' AND n_rows > 0 AND (n_rows % 1000 < 10 OR n_rows % 1000 > 990) AS truncation_suspect
+FROM (SELECT cfg.sheet, parser, coalesce(CASE parser WHEN 'offset' THEN off.n WHEN 'multi' THEN multi.n ELSE std.n END, 0)
+             AS n_rows
+      FROM cfg LEFT JOIN std USING (sheet) LEFT JOIN off USING (sheet) LEFT JOIN multi USING (sheet))""")
 def parser_choice(spark, sf_dir):
-    """Parser per sheet from a config table (language -> standard / offset /
-    multi-table / paginated) and one summary row per sheet."""
-    docs = tables(spark, sf_dir)["documents"]
-    g = G.grid_from_text(docs, sheet="doc_id", text="text")
-    cfg = docs.select(F.col("doc_id").cast("string").alias("sheet"),
-                      F.when(F.col("lang") == "en", "standard").when(F.col("lang") == "fr", "offset")
-                      .when(F.col("lang") == "de", "multi").otherwise("paginated").alias("parser"))
-    std_rows, _ = G.normalise_rows(g, G.detect_headers(g))
-    off_rows, _ = G.normalise_rows(g, G.detect_headers(g, fixed_row=2))
-    n_std = std_rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_std"))
-    n_off = off_rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_off"))
-    tabs = G.segment_tables(g).groupBy("sheet").agg(F.count(F.lit(1)).alias("n_tables"),
-                                                     F.sum("n_rows").alias("n_multi"))
-    j = cfg.join(n_std, "sheet", "left").join(n_off, "sheet", "left").join(tabs, "sheet", "left")
-    n = (F.when(F.col("parser") == "offset", F.col("n_off")).when(F.col("parser") == "multi", F.col("n_multi"))
-         .otherwise(F.col("n_std")))
-    return j.select("sheet", "parser", F.coalesce(n, F.lit(0)).alias("n_rows"), "n_tables",
-                    F.when(F.coalesce(n, F.lit(0)) > 0, "ok").otherwise("failed").alias("status"),
-                    ((F.col("parser") == "paginated") & G.truncation_suspect(F.coalesce(n, F.lit(0))))
+    """Parser per sheet from a config table (by language: standard / offset /
+    multi-table / paginated); each sheet goes through its own parser only."""
+    docs = tables(spark, sf_dir)["documents"].withColumn(
+        "parser", F.when(F.col("lang") == "en", "standard").when(F.col("lang") == "fr", "offset")
+        .when(F.col("lang") == "de", "multi").otherwise("paginated"))
+    grid = lambda *own: G.grid_from_text(docs.filter(F.col("parser").isin(*own)), sheet="doc_id", text="text")
+    one, two = grid("standard", "paginated"), grid("offset")
+    parsed = (G.normalise_rows(one, G.detect_headers(one))[0].select("sheet")
+              .unionByName(G.normalise_rows(two, G.detect_headers(two, fixed_row=2))[0].select("sheet"))
+              .groupBy("sheet").agg(F.count(F.lit(1)).alias("n")))
+    tabs = G.segment_tables(grid("multi")).groupBy("sheet").agg(F.sum("n_rows").alias("n"))
+    j = docs.select(F.col("doc_id").cast("string").alias("sheet"), "parser").join(
+        parsed.unionByName(tabs), "sheet", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return j.select("sheet", "parser", F.col("n").alias("n_rows"), F.when(F.col("n") > 0, "ok").otherwise("failed")
+                    .alias("status"), ((F.col("parser") == "paginated") & G.truncation_suspect(F.col("n")))
                     .alias("truncation_suspect"))
 
 
-@register("orders_sample", "O5")
+@register("orders_sample", "O5", oracle=lambda: """
+SELECT * FROM orders ORDER BY md5('7-' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100""")
 def orders_sample(spark, sf_dir):
     """A seeded random sample of 100 orders (the limit is the feature)."""
-    return R.sample_n(tables(spark, sf_dir)["orders"], 100, seed=7)
+    return R.sample_n(tables(spark, sf_dir)["orders"], 100, "o_orderkey", seed=7)
 
 
-@register("orders_preview", "O6")
+@register("orders_preview", "O6", oracle=lambda: "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
 def orders_preview(spark, sf_dir):
-    """Table preview: first 100 rows (the limit is the feature)."""
-    return R.preview(tables(spark, sf_dir)["orders"], 100)
+    """Table preview: the first 100 rows by key (the limit is the feature)."""
+    return R.preview(tables(spark, sf_dir)["orders"], "o_orderkey", n=100)
+
+
+def _exported(rows, lead, path):
+    """Text files below ``path``, each ``lead`` lines followed by its share of ``rows`` (column line, key)."""
+    spark = rows.sparkSession
+    own = rows.select(F.pmod(F.xxhash64("key"), F.lit(8)).alias("part"), F.lit(len(lead)).alias("at"), "line")
+    heads = spark.range(8).select(F.col("id").alias("part"), F.posexplode(F.array(*[F.lit(x) for x in lead]))
+                                  .alias("at", "line"))
+    (own.unionByName(heads).repartition("part").sortWithinPartitions("part", "at")
+     .select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
+    return path
+
+
+def _ledger_lines(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"),
+        F.concat_ws(",", F.date_format("l_shipdate", "d MMM yyyy"),
+                    F.concat(F.lit('"'), F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit('"')),
+                    F.concat(F.lit('"'), F.format_number(F.floor("l_extendedprice").cast("double"), 2), F.lit('"')),
+                    F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat_ws("-", "l_orderkey", "l_linenumber")))
+        .alias("line"))
+
+
+@register("ledger_report_export", "S10", oracle=lambda: """
+SELECT CAST(l_shipdate AS DATE) AS "Date", p_name || ', ' || p_brand AS "Description",
+       format('{:,.2f}', floor(l_extendedprice)) AS "Debit",
+       CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS "Reference"
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'""")
+def ledger_report_export(spark, sf_dir):
+    """A ledger report of several files with four title rows each, written and read
+    back: quoted commas stay in their cells, rows with an empty cell drop out."""
+    lead = ["Ledger", "All accounts", "", "Printed", "Date,Description,Debit,Reference"]
+    return io.read_ledger_report(spark, _exported(_ledger_lines(spark, sf_dir), lead, scratch_path(spark, "ledger")))
+
+
+@register("parts_csv_export", "S9", oracle=lambda: """
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS _code, CASE WHEN p_size = 1 THEN '' ELSE p_brand END AS name FROM part""")
+def parts_csv_export(spark, sf_dir):
+    """A CSV export with a blank-named column, written and read back: only that column goes."""
+    p = tables(spark, sf_dir)["part"]
+    rows = p.select(F.col("p_partkey").alias("key"), F.concat_ws(
+        ",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.col("p_name"), F.lit('"')), F.lit("x"),
+        F.when(F.col("p_size") == 1, "").otherwise(F.col("p_brand"))).alias("line"))
+    df = io.read_csv_filled(spark, _exported(rows, ["id,_code,,name"], scratch_path(spark, "parts")))
+    return df.select("id", "_code", "name")

@@ -57,7 +57,7 @@ def board_docs(spark, sf_dir):
     return c.select(F.to_json(doc).alias("json")).select(F.from_json("json", N.BOARD_SCHEMA).alias("b")).select("b.*")
 
 
-@register("board_cards", "S1,S3,J9,U4", oracle=lambda: """
+@register("board_cards", "S1,U4", oracle=lambda: """
 SELECT n.n_name AS board_name, 'c' || CAST(c.c_custkey AS VARCHAR) AS id, c.c_name AS name,
        c.c_mktsegment AS list_name,
        [CASE WHEN c.c_acctbal < 0 THEN 'Overdue' ELSE 'Standard' END] AS labels,
@@ -88,38 +88,90 @@ def card_checklists(spark, sf_dir):
 
 
 def quote_pages(spark, sf_dir):
-    """One quote page per line item (status 'P' orders are exported as DELETED)."""
+    """One page per customer with all its quotes (orders) and their lines; status 'P'
+    orders are exported as DELETED, urgent ones without a status, low ones without a
+    reference and lines of returned goods without an item code."""
     t = tables(spark, sf_dir)
     j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
     li = F.struct(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("LineItemID"),
-                  F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ItemCode"),
-                  F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("Description"),
+                  F.when(F.col("l_returnflag") != "R", F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("ItemCode"),
+                  F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.when(
+                      F.col("l_linenumber") == 2, F.lit(" at 12.5%")).otherwise(F.lit(""))).alias("Description"),
                   F.col("l_quantity").alias("Quantity"),
                   (F.col("l_extendedprice") / F.col("l_quantity")).alias("UnitAmount"),
                   F.col("l_extendedprice").alias("LineAmount"))
-    q = F.struct(F.concat(F.lit("id-"), F.col("o_orderkey").cast("string")).alias("QuoteID"),
-                 F.concat(F.lit("QU-"), F.col("o_orderkey").cast("string")).alias("QuoteNumber"),
-                 F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("Reference"),
-                 F.when(F.col("o_orderstatus") == "P", "DELETED").otherwise("ACCEPTED").alias("Status"),
-                 F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("DateString"),
-                 F.struct(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("Name")).alias("Contact"),
-                 F.array(li).alias("LineItems"))
-    return j.select(F.to_json(F.struct(F.array(q).alias("Quotes"))).alias("json"))
-
-
-@register("quote_json_lines", "S6,F7,T8", oracle=lambda: """
-SELECT 'QU-' || CAST(o_orderkey AS VARCHAR) AS quote_no, 'Order ' || CAST(o_orderkey AS VARCHAR) AS quote_ref,
-       'Customer ' || CAST(o_custkey AS VARCHAR) AS customer, 'ACCEPTED' AS quote_status,
-       CAST(o_orderdate AS DATE) AS created, 'P' || CAST(l_partkey AS VARCHAR) AS item_code,
-       'part ' || CAST(l_partkey AS VARCHAR) AS item_desc, l_quantity AS quantity,
+    q = j.groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate").agg(
+        F.collect_list(li).alias("items")).select("o_custkey", F.struct(
+            F.concat(F.lit("id-"), F.col("o_orderkey").cast("string")).alias("QuoteID"),
+            F.concat(F.lit("QU-"), F.col("o_orderkey").cast("string")).alias("QuoteNumber"),
+            F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))
+            .alias("Reference"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("string"))
+            .when(F.col("o_orderstatus") == "P", "DELETED").otherwise("ACCEPTED").alias("Status"),
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("DateString"),
+            F.concat(F.lit("/Date("), F.unix_millis(F.date_add(F.col("o_orderdate").cast("date"), 3650).cast("timestamp")).cast("string"),
+                     F.lit("+0000)/")).alias("UpdatedDateUTC"),
+            F.struct(F.concat(F.lit("cid-"), F.col("o_custkey").cast("string")).alias("ContactID"),
+                     F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("Name"),
+                     F.lit("x@example.com").alias("EmailAddress")).alias("Contact"),
+            F.col("items").alias("LineItems")).alias("q"))
+    return q.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list("q").alias("Quotes"))).alias("json")).select("json")
+
+
+_QUOTE_LINES = """
+SELECT 'QU-' || CAST(o_orderkey AS VARCHAR) AS quote_no,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN 'Order ' || CAST(o_orderkey AS VARCHAR) END AS quote_ref,
+       'Customer ' || CAST(o_custkey AS VARCHAR) AS customer, 'id-' || CAST(o_orderkey AS VARCHAR) AS quote_id,
+       'cid-' || CAST(o_custkey AS VARCHAR) AS contact_id,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE 'ACCEPTED' END AS quote_status,
+       CAST(o_orderdate AS DATE) AS created, CAST(o_orderdate AS DATE) + 3650 AS updated,
+       CASE WHEN l_linenumber = 2 THEN {pct} ELSE 1.0 END AS line_pct,
+       CASE WHEN l_returnflag <> 'R' THEN 'P' || CAST(l_partkey AS VARCHAR) END AS item_code,
+       'part ' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber = 2 THEN ' at 12.5%' ELSE '' END AS item_desc,
+       CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS line_id, l_quantity AS quantity,
        l_extendedprice / l_quantity AS unit_price, l_extendedprice AS line_total
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""")
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P'"""
+
+
+@register("quote_json_lines", "S6,F7", oracle=lambda: _QUOTE_LINES.format(pct="0.13"))
 def quote_json_lines(spark, sf_dir):
-    lines, _ = N.quote_lines_from_json(quote_pages(spark, sf_dir))
-    return lines
+    return N.quote_lines_from_json(quote_pages(spark, sf_dir))[0]
+
+
+@register("quote_json_human", "S6", oracle=lambda: f"""
+SELECT * EXCLUDE (quote_id, contact_id, line_id) FROM ({_QUOTE_LINES.format(pct="0.13")})""")
+def quote_json_human(spark, sf_dir):
+    """The lines as people read them, without technical ids."""
+    return N.human_lines(N.quote_lines_from_json(quote_pages(spark, sf_dir))[0])
+
+
+@register("quote_json_errors", "S6", oracle=lambda: f"""
+SELECT quote_no, line_id, 'no_ItemCode' AS error FROM ({_QUOTE_LINES.format(pct="0.13")}) WHERE item_code IS NULL
+UNION ALL SELECT DISTINCT quote_no, CAST(NULL AS VARCHAR), 'no_reference' FROM ({_QUOTE_LINES.format(pct="0.13")})
+WHERE quote_ref IS NULL""")
+def quote_json_errors(spark, sf_dir):
+    return N.quote_lines_from_json(quote_pages(spark, sf_dir))[1]
+
+
+@register("board_lists", "S3", oracle=lambda: """
+SELECT DISTINCT 'b' || CAST(n.n_nationkey AS VARCHAR) AS board_id, n.n_name AS board_name,
+       'l' || c.c_mktsegment AS list_id, c.c_mktsegment AS list_name
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def board_lists(spark, sf_dir):
+    """The open lists of every board."""
+    return N.open_lists(board_docs(spark, sf_dir)).distinct()
+
+
+@register("board_cards_text", "T8,D4", oracle=lambda: """
+SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, '["' || CASE WHEN c_acctbal < 0 THEN 'Overdue' ELSE 'Standard' END || '"]'
+       AS labels, '["https://trello.com/c/s' || CAST(c_custkey AS VARCHAR) || '/plan.pdf"]' AS attachments
+FROM customer""")
+def board_cards_text(spark, sf_dir):
+    """Complex columns as JSON text."""
+    return N.complex_to_text(N.board_cards(board_docs(spark, sf_dir)).select("id", "labels", "attachments"))
 
 
-@register("event_props", "T8,T7", oracle=lambda: """
+@register("event_props", "T7", oracle=lambda: """
 SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
 def event_props(spark, sf_dir):
     e = tables(spark, sf_dir)["events"]

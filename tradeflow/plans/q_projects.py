@@ -123,7 +123,7 @@ def customers(spark, sf_dir):
     return J.customers(fixture(spark, sf_dir, "job_cards"))
 
 
-@register("projects", "M1,M2,M3,M4,M5,M6,M7,M8,M9,J4,J11,A10,A11,A12,A13,A14,A15,A16", bench=True,
+@register("projects", "M1,M2,M3,M4,M5,M6,M7,M8,M9,J4,A11,A12,A16", bench=True,
           oracle=lambda: ctes("rollup") + "SELECT * FROM fx_projects")
 def projects(spark, sf_dir):
     """Flagship: project financials over linked quotes, labour and costs."""
@@ -136,7 +136,10 @@ def projects(spark, sf_dir):
 # others supplier costs per unit). Whole-dollar / whole-hour inputs keep the
 # sums exact, so both engines see bit-identical ratios.
 SALES_SQL = ("SELECT 'P' || CAST(p_partkey AS STRING) AS code, p_name AS name, "
-             "CAST(CASE WHEN p_size = 1 THEN 0 ELSE floor(p_retailprice) END AS DOUBLE) AS sale_price, p_type AS Unit FROM {part}")
+             "CAST(CASE WHEN p_size = 1 THEN 0 ELSE floor(p_retailprice) END AS DOUBLE) AS sale_price, p_type AS Unit FROM {part} "
+             # services have no build-up
+             "UNION ALL SELECT 'S' || CAST(p_partkey AS STRING), p_name, CAST(floor(p_retailprice) AS DOUBLE), 'SERVICE' "
+             "FROM {part} WHERE p_size = 2")
 CALCS_SQL = ("SELECT 'P' || CAST(l_partkey AS STRING) AS xero_code, "
              "CASE WHEN l_returnflag = 'R' THEN 'Labour' ELSE 'Supplier' END AS cost_type, "
              "l_quantity AS amount, CAST(floor(l_extendedprice / l_quantity / 10.0) AS DOUBLE) AS total FROM {lineitem}")
@@ -153,7 +156,7 @@ def _budget_inputs(spark, sf_dir):
     """agg AS (SELECT xero_code, sum(CASE WHEN cost_type = 'Labour' THEN amount ELSE 0 END) AS total_labour_hours,
                   sum(CASE WHEN cost_type = 'Supplier' THEN total ELSE 0 END) AS total_supplier_costs
            FROM c GROUP BY xero_code)
-SELECT s.code, s.name, s.sale_price, round(a.total_labour_hours, 4) AS labour_hours_per_unit,
+SELECT s.code, s.name, s.sale_price, s.Unit, round(a.total_labour_hours, 4) AS labour_hours_per_unit,
        round(a.total_labour_hours * 50, 2) AS labour_cost_per_unit,
        round(a.total_supplier_costs, 2) AS supplier_costs_per_unit,
        round(a.total_labour_hours * 50 + a.total_supplier_costs, 2) AS cost_per_unit,
@@ -164,7 +167,7 @@ FROM s LEFT JOIN agg a ON s.code = a.xero_code"""))
 def items_budget(spark, sf_dir):
     sales, calcs = _budget_inputs(spark, sf_dir)
     b = finance.item_budget(sales, calcs)
-    return b.select("code", "name", "sale_price",
+    return b.select("code", "name", "sale_price", "Unit",
                     F.round("labour_hours_per_unit", 4).alias("labour_hours_per_unit"),
                     F.round("labour_cost_per_unit", 2).alias("labour_cost_per_unit"),
                     F.round("supplier_costs_per_unit", 2).alias("supplier_costs_per_unit"),
@@ -205,13 +208,80 @@ def job_structs_flat(spark, sf_dir):
 
 @register("cost_links", "J4", bench=True, oracle=lambda: ctes("rollup") + "SELECT project, row_id FROM fx_cost_pref")
 def cost_links(spark, sf_dir):
-    """Any-substring link of ledger rows to projects (q-gram-blocked), exact-name preference."""
+    """Any-substring link of ledger rows to projects (blocked by the longest keys), exact-name preference."""
     from tradeflow.operators.link import prefer_exact
     from tradeflow.session import cut_lineage
     j, _ = PF.jobs_table(spark, sf_dir)
-    members = cut_lineage(PF.members_table(PF._keep(j)))   # written once, read by both needle branches
-    costs = PF._keep(fixture(spark, sf_dir, "costs"))        # read by both text columns and the join back
+    members = cut_lineage(PF.members_table(j))  # written once, read by both needle branches
+    costs = fixture(spark, sf_dir, "costs")
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
                                           text_cols=["Project", "Description"])
     withp = links.join(costs.select("row_id", F.col("Project").alias("_cp")), "row_id")
     return prefer_exact(withp, group="project", exact=F.col("_cp") == F.col("project")).select("project", "row_id")
+
+
+def _members(spark, sf_dir):
+    j, _ = PF.jobs_table(spark, sf_dir)
+    return j, PF.members_table(j)
+
+
+@register("project_statuses", "A14,M9", oracle=lambda: ctes("groups") + """
+SELECT DISTINCT m.project, j.status FROM fx_members m JOIN fx_jobs j ON j.name = m.name WHERE j.status IS NOT NULL""")
+def project_statuses(spark, sf_dir):
+    """The set of member statuses, as bridge rows."""
+    from tradeflow.operators.aggregate import distinct_values
+    j, m = _members(spark, sf_dir)
+    return distinct_values(m.select("project", "name").join(j.select("name", "status"), "name"), "project", "status")
+
+
+@register("project_job_ids", "A14,M9", oracle=lambda: ctes("groups") + """
+SELECT DISTINCT m.project, j.card_id, j.url FROM fx_members m JOIN fx_jobs j ON j.name = m.name""")
+def project_job_ids(spark, sf_dir):
+    """Job ids and card addresses of each project, as bridge rows."""
+    j, m = _members(spark, sf_dir)
+    return m.select("project", "name").join(j.select("name", "card_id", "url"), "name").select(
+        "project", "card_id", "url").distinct()
+
+
+@register("project_quotes", "A14,M9", oracle=lambda: ctes("rollup") + """
+SELECT DISTINCT m.project, q.quote_no, q.match_type FROM fx_members m JOIN fx_mapping q ON q.job_name = m.name
+WHERE q.match_type IN ('primary', 'variation')""")
+def project_quotes(spark, sf_dir):
+    """Quote numbers and variation quote numbers of each project, as bridge rows."""
+    j, m = _members(spark, sf_dir)
+    mapping = PF.mapping_table(spark, sf_dir, j).filter(F.col("match_type").isin("primary", "variation"))
+    return m.select("project", F.col("name").alias("job_name")).join(mapping, "job_name").select(
+        "project", "quote_no", "match_type").distinct()
+
+
+@register("project_staff", "A14,M9", oracle=lambda: ctes("rollup") + """
+SELECT DISTINCT m.project, l.employee FROM fx_members m JOIN fx_labour l ON l.name = m.name""")
+def project_staff(spark, sf_dir):
+    """Site staff of each project, as bridge rows."""
+    from tradeflow.operators.aggregate import distinct_values
+    _, m = _members(spark, sf_dir)
+    labour = J.filter_labour(PF.labour_hours(spark, sf_dir)[0])[0]
+    return distinct_values(m.select("project", "name").join(labour.select("name", "employee"), "name"),
+                           "project", "employee")
+
+
+@register("project_job_details", "A15,M9", oracle=lambda: ctes("groups") + """
+SELECT m.project, j.name, j.customer_name, j.customer_email, j.concrete_qty, j.asphalt_qty, j.eqc_approved_date,
+       j.report_sent_to_eqc FROM fx_members m JOIN fx_jobs j ON j.name = m.name""")
+def project_job_details(spark, sf_dir):
+    """Per member job its customer, quantities and timeline, as (project, job) rows."""
+    j, m = _members(spark, sf_dir)
+    return m.select("project", "name").join(j, "name").select(
+        "project", "name", "customer_name", "customer_email", "concrete_qty", "asphalt_qty", "eqc_approved_date",
+        "report_sent_to_eqc")
+
+
+@register("project_booking_date", "A13,M9", oracle=lambda: ctes("groups") + """
+SELECT m.project, arg_max(j.report_sent_to_eqc, j.name) FILTER (WHERE j.report_sent_to_eqc IS NOT NULL) AS booking_date
+FROM fx_members m JOIN fx_jobs j ON j.name = m.name GROUP BY m.project""")
+def project_booking_date(spark, sf_dir):
+    """The last date known among a project's jobs, in member order."""
+    from tradeflow.operators.aggregate import last_seen_per_key
+    j, m = _members(spark, sf_dir)
+    rows = m.select("project", "name").join(j.select("name", "report_sent_to_eqc"), "name")
+    return last_seen_per_key(rows, "project", "name", "report_sent_to_eqc", "booking_date")

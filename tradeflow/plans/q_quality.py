@@ -43,17 +43,91 @@ def dq_ledger_volume(spark, sf_dir):
     return DQ.volume_check(fixture(spark, sf_dir, "costs"), "costs")
 
 
-@register("dq_suite", "DQ1,DQ4,DQ5,DQ6,DQ7")
-def dq_suite(spark, sf_dir):
-    """All checks in one table (rows-only check: the suite mixes every stage)."""
-    from pyspark.sql import types as T
+_BUSINESS = """
+SELECT 'projects' AS "table", c AS "check", 'warning' AS severity, p AS passed, CAST(o AS DOUBLE) AS observed, t AS threshold
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE total_quote_value < 0 OR supplier_costs_total < 0) AS neg,
+             count(*) FILTER (WHERE total_quote_value > 10000000) AS big, count(*) FILTER (WHERE gp_margin_pct < 0) AS nm,
+             count(*) FILTER (WHERE coalesce(labour_hours, 0) = 0) AS nl FROM fx_projects) x,
+LATERAL (VALUES ('negative_money', neg = 0, neg, 0.0), ('quote_over_limit', big = 0, big, 10000000.0),
+                ('negative_margin_pct', round(nm * 100.0 / n, 2) <= 25, round(nm * 100.0 / n, 2), 25.0),
+                ('no_labour_pct', round(nl * 100.0 / n, 2) <= 80, round(nl * 100.0 / n, 2), 80.0)) v(c, p, o, t)"""
+_CONSISTENCY = """
+SELECT 'pipeline' AS "table", c AS "check", s AS severity, p AS passed, CAST(o AS DOUBLE) AS observed, t AS threshold
+FROM (SELECT (SELECT count(*) FROM fx_job_cards) AS cards, (SELECT count(*) FROM fx_jobs) AS jobs,
+             (SELECT count(DISTINCT name) FROM fx_jobs) AS names, (SELECT count(*) FROM fx_projects) AS projects,
+             (SELECT count(DISTINCT job_name) FROM fx_mapping) AS mapped,
+             (SELECT count(DISTINCT job_name) FROM fx_mapping WHERE match_type <> 'no_match') AS matched) x,
+LATERAL (VALUES ('jobs_le_cards', 'error', jobs <= cards, jobs, CAST(NULL AS DOUBLE)),
+                ('projects_le_jobs', 'error', projects <= jobs, projects, NULL),
+                ('conversion_pct', 'warning', round(jobs * 100.0 / cards, 2) >= 50, round(jobs * 100.0 / cards, 2), 50.0),
+                ('match_coverage_pct', 'warning', round(matched * 100.0 / mapped, 2) >= 92,
+                 round(matched * 100.0 / mapped, 2), 92.0),
+                ('unique_job_names', 'error', jobs = names, jobs - names, 0.0)) v(c, s, p, o, t)"""
+
+
+def _consistency(spark, sf_dir, projects):
     cards = fixture(spark, sf_dir, "job_cards")
     jobs, _ = PF.jobs_table(spark, sf_dir)
-    mapping = PF.mapping_table(spark, sf_dir, jobs)
+    return DQ.consistency_checks(cards, jobs, PF.mapping_table(spark, sf_dir, jobs), projects)
+
+
+@register("dq_business", "DQ5", oracle=lambda: ctes("rollup") + _BUSINESS)
+def dq_business(spark, sf_dir):
+    return DQ.business_checks(PF.projects(spark, sf_dir))
+
+
+@register("dq_consistency", "DQ4,DQ7", oracle=lambda: ctes("rollup") + _CONSISTENCY)
+def dq_consistency(spark, sf_dir):
+    return _consistency(spark, sf_dir, PF.projects(spark, sf_dir))
+
+
+@register("dq_customer_overlap", "DQ4", oracle=lambda: """
+WITH c AS (SELECT DISTINCT c_name AS name FROM customer),
+q AS (SELECT DISTINCT c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT (SELECT count(*) FROM c) AS n_cards, (SELECT count(*) FROM q) AS n_quotes,
+       (SELECT count(*) FROM c JOIN q USING (name)) AS n_both""")
+def dq_customer_overlap(spark, sf_dir):
+    """Customers known to the cards, to the quotes, and to both."""
+    return DQ.key_overlap(fixture(spark, sf_dir, "job_cards").select("customer_name"), PF.quote_lines(spark, sf_dir)
+                          .select("customer"), "customer_name", "customer", ("n_cards", "n_quotes", "n_both"))
+
+
+def _schema_check(spark, sf_dir):
+    from pyspark.sql import types as T
+    cards = fixture(spark, sf_dir, "job_cards").select("card_id", "card_title", "status")
+    expected = T.StructType([T.StructField("card_id", T.StringType()), T.StructField("card_title", T.StringType()),
+                             T.StructField("due", T.StringType())])
+    return DQ.schema_check(cards, "job_cards", expected)
+
+
+_SCHEMA = """
+SELECT 'job_cards' AS "table", c AS "check", s AS severity, FALSE AS passed, CAST(NULL AS DOUBLE) AS observed,
+       CAST(NULL AS DOUBLE) AS threshold
+FROM (VALUES ('type:card_id', 'warning'), ('missing:due', 'error'), ('unexpected:status', 'warning')) v(c, s)
+WHERE (SELECT count(*) FROM customer) >= 0"""
+
+
+@register("dq_schema", "DQ1", oracle=lambda: _SCHEMA)
+def dq_schema(spark, sf_dir):
+    """Against an expected schema with another id type, a missing and an extra column."""
+    return _schema_check(spark, sf_dir)
+
+
+_SUITE = f"SELECT * FROM ({_SCHEMA}) UNION ALL SELECT * FROM ({_BUSINESS}) UNION ALL SELECT * FROM ({_CONSISTENCY})"
+
+
+@register("dq_suite", "DQ6", oracle=lambda: ctes("rollup") + _SUITE)
+def dq_suite(spark, sf_dir):
+    """Schema, business and consistency checks in one table."""
     projects = PF.projects(spark, sf_dir)
-    expected = T.StructType([T.StructField("card_id", T.LongType()), T.StructField("card_title", T.StringType()),
-                             T.StructField("status", T.StringType())])
-    rows, _ = DQ.suite(DQ.schema_check(cards.select("card_id", "card_title", "status"), "job_cards", expected),
-                       DQ.job_card_checks(cards), DQ.quote_checks(PF.quote_lines(spark, sf_dir)),
-                       DQ.business_checks(projects), DQ.consistency_checks(cards, jobs, mapping, projects))
+    rows, _ = DQ.suite(_schema_check(spark, sf_dir), DQ.business_checks(projects), _consistency(spark, sf_dir, projects))
     return rows
+
+
+@register("dq_summary", "DQ6", oracle=lambda: ctes("rollup") + f"""
+SELECT count(*) FILTER (WHERE NOT passed AND severity = 'error') AS n_errors,
+       count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS n_warnings, count(*) AS n_checks,
+       count(*) FILTER (WHERE NOT passed AND severity = 'error') = 0 AS passed FROM ({_SUITE})""")
+def dq_summary(spark, sf_dir):
+    projects = PF.projects(spark, sf_dir)
+    return DQ.suite(_schema_check(spark, sf_dir), DQ.business_checks(projects), _consistency(spark, sf_dir, projects))[1]

@@ -77,33 +77,50 @@ def quote_distinct_refs(spark, sf_dir):
     return dedup_report(quote_lines_df(spark, sf_dir), distinct_keys=("quote_no",))
 
 
+# The oracle's regex engine has no look-ahead: there each such pattern is one that must match and one that must not.
+_WITHOUT_LOOKAHEAD = {
+    "ss": ("[R,r]emove and replace.*.sewer", "[R,r]emove and replace.*stormwater"),
+    "sw": ("[R,r]emove and replace.*.stormwater", "[R,r]emove and replace.*sewer"),
+    "concrete": ("[R,r]emove and replace.*[C,c]oncrete", "[R,r]emove and replace.*[P,p]aver"),
+    "deck": (".[d,D]eck", "[P,p]ipelining|[C,c]oncrete|[U,u]nder|[P,p]aint|CCTV|[s,S]tormwater|[s,S]ide|[L,l]abour|"
+                          "[R,r]e-|[C,c]onnect|[A,a]dditional|[U,u]plift|[P,p]atch"),
+    "pavers_not_in_concrete": (".pavers not|relay [P,p]avers", "Pipelining.*pavers not"),
+    "pavers_in_concrete": (".pavers set", "Pipelining"),
+}
+
+
 def _sql_categories(cats) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = []
     for k, d, r, s, w in cats:
-        esc = r.replace("'", "''")
-        rows.append(f"('{k}', '{d.replace(chr(39), chr(39) * 2)}', '{esc}', {str(bool(w)).upper()})")
-    return "cats(category, description, pattern, subs_work) AS (VALUES " + ", ".join(rows) + ")"
-
-
-SQL_CATEGORIES = tuple(c for c in Q.QUOTE_CATEGORIES if not Q.uses_lookaround(c[2]))
+        must, not_ = _WITHOUT_LOOKAHEAD.get(k, (r, "$."))  # nothing follows the end
+        rows.append(f"({quoted(k)}, {quoted(d)}, {quoted(must)}, {quoted(not_)}, {str(bool(w)).upper()})")
+    return "cats(category, description, pattern, without, subs_work) AS (VALUES " + ", ".join(rows) + ")"
 
 
-@register("quote_categories", "A9", oracle=lambda: duck_quote_lines_cte() + "," + _sql_categories(SQL_CATEGORIES) + """
+_ALL_CATEGORIES = """
 SELECT l.quote_no, c.category, count(*) AS n_lines, round(sum(l.line_pct * l.quantity), 4) AS qty,
        c.description, c.subs_work, TRUE AS has
-FROM fx_quote_lines l JOIN cats c ON regexp_matches(l.item_desc, c.pattern)
-GROUP BY l.quote_no, c.category, c.description, c.subs_work""")
-def quote_categories(spark, sf_dir):
-    """A9 over the 24 categories without look-around (DuckDB's RE2 has none)."""
-    return Q.quote_category_quantities(quote_lines_df(spark, sf_dir), SQL_CATEGORIES)
+FROM fx_quote_lines l JOIN cats c ON regexp_matches(l.item_desc, c.pattern) AND NOT regexp_matches(l.item_desc, c.without)
+GROUP BY l.quote_no, c.category, c.description, c.subs_work"""
 
 
-@register("quote_categories_all", "A9")
-def quote_categories_all(spark, sf_dir):
-    """A9 with all 30 categories (6 use look-ahead; checked against Python ``re`` in tests)."""
+@register("quote_categories", "A9", oracle=lambda: duck_quote_lines_cte() + "," + _sql_categories(Q.QUOTE_CATEGORIES)
+          + _ALL_CATEGORIES)
+def quote_categories(spark, sf_dir):
+    """A9 with all 30 categories."""
     return Q.quote_category_quantities(quote_lines_df(spark, sf_dir))
 
 
+@register("quote_category_lines", "A9", oracle=lambda: duck_quote_lines_cte() + "," + _sql_categories(Q.QUOTE_CATEGORIES) + """
+SELECT l.quote_no, c.category, l.item_desc, round(l.line_pct * l.quantity, 4) AS line_qty
+FROM fx_quote_lines l JOIN cats c ON regexp_matches(l.item_desc, c.pattern) AND NOT regexp_matches(l.item_desc, c.without)""")
+def quote_category_lines(spark, sf_dir):
+    """The relevant lines of each category."""
+    m = Q.line_category_matrix(quote_lines_df(spark, sf_dir))
+    return m.select("quote_no", "category", "item_desc", F.round("line_qty", 4).alias("line_qty"))
+
+
 @register("quote_source_merge", "J8,R11", oracle=lambda: duck_quote_lines_cte() + """,
 h AS (SELECT quote_source, quote_no, min(quote_ref) AS quote_ref, min(customer) AS customer,
              min(quote_status) AS quote_status, min(created) AS created, round(sum(line_total), 2) AS quote_value

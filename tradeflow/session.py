@@ -1,4 +1,4 @@
-"""Session helpers: building a session, reliable checkpoints, checked broadcasts.
+"""Session helpers: building a session, reliable checkpoints.
 
 Nothing here is specific to one table. The library never sets cluster
 configuration on its own except where a setting is missing in a local
@@ -9,38 +9,34 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows below which a data-derived lookup side may be broadcast. The check is
-# an action on ``limit(n + 1)`` so it never scans more than n + 1 rows.
-DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tradeflow") -> SparkSession:
-    """Session used by tests, bench and the CLI entry points.
+    """Session used by the bench and the scripts.
 
-    On a cluster the master and resources come from spark-submit; locally we
-    default to ``local[BENCH_CPUS or 8]``. AQE stays on: it coalesces small
-    shuffle partitions, splits skewed join partitions and may turn a
-    sort-merge join into a broadcast one from runtime sizes.
+    On a cluster the master and resources come from spark-submit, and nothing
+    set there is overridden; without them we default to
+    ``local[BENCH_CPUS or 8]``. AQE stays on: it coalesces small shuffle
+    partitions, splits skewed join partitions and may turn a sort-merge join
+    into a broadcast one from runtime sizes.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
-        .config("spark.driver.memory", os.environ.get("TRADEFLOW_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
+    given = SparkConf()  # what spark-submit and spark-defaults have set
+    local = {"spark.master": master or f"local[{cpus}]",
+             "spark.driver.memory": os.environ.get("TRADEFLOW_DRIVER_MEMORY", "16g")}
+    if given.get("spark.master", local["spark.master"]).startswith("local"):
+        local["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus) * 2)
+    always = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
+              "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    builder = SparkSession.builder.appName(app_name)
+    for key, value in (always | local).items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -72,6 +68,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder).
 
@@ -80,13 +81,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fits_in(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; else leave the plan to AQE."""
-    return F.broadcast(df) if fits_in(df, max_rows) else df

@@ -57,7 +57,8 @@ def detect_headers(grid: DataFrame, *, scan_rows: int = 5, fixed_row: int | None
         hdr = st.filter(F.col("row_idx") == fixed_row - 1).select("sheet", F.col("row_idx").alias("header_row"))
     h = hdr.join(st.select("sheet", F.col("row_idx").alias("header_row"), "cells"), ["sheet", "header_row"]) \
         .join(widest, "sheet")
-    idx = F.sequence(F.lit(0), F.col("n_cols") - 1)
+    idx = F.when(F.col("n_cols") > 0, F.sequence(F.lit(0), F.col("n_cols") - 1)) \
+        .otherwise(F.array().cast("array<int>"))  # a sheet without any cell has no columns
     raw = F.transform(idx, lambda i: F.when(_non_blank(F.get(F.col("cells"), i)), _strip(F.get(F.col("cells"), i)))
                       .otherwise(F.concat(F.lit("column_"), i.cast("string"))))
     named = h.withColumn("_raw", raw)
@@ -105,6 +106,27 @@ def segment_tables(grid: DataFrame, *, max_blank_rows: int = 3) -> DataFrame:
         F.count(F.when(~F.col("blank"), 1)).alias("n_rows"))
 
 
+def table_rows(grid: DataFrame, *, max_blank_rows: int = 3) -> DataFrame:
+    """G6 per table: the first non-blank row of each segment is its header
+    (cleaned and de-duplicated as in G3, over the table's own width), the other
+    non-blank rows are its data: (sheet, table_no, row_idx, headers, values)."""
+    tables = segment_tables(grid, max_blank_rows=max_blank_rows).filter(F.col("n_rows") > 0)
+    inside = (row_stats(grid).filter(F.col("n_filled") > 0).alias("g")
+              .join(tables.alias("t"), (F.col("g.sheet") == F.col("t.sheet"))
+                    & F.col("g.row_idx").between(F.col("t.start_row"), F.col("t.end_row")))
+              .select("g.*", "t.table_no"))
+    key = F.concat_ws("\x1f", "sheet", F.col("table_no").cast("string"))
+    own = inside.select("sheet", "table_no", key.alias("_key"), "row_idx", "cells")
+    heads = own.groupBy("_key").agg(F.min("row_idx").alias("_first"))
+    named = detect_headers(own.join(heads, "_key").select(F.col("_key").alias("sheet"), "cells",
+                                                          (F.col("row_idx") - F.col("_first")).alias("row_idx")),
+                           scan_rows=1).withColumnRenamed("sheet", "_key")
+    rows = own.join(heads, "_key").filter(F.col("row_idx") > F.col("_first")).join(named, "_key")
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.col("n_cols"))), 1, F.col("n_cols"))
+    return rows.select("sheet", "table_no", "row_idx", "headers",
+                       F.transform(padded, lambda c: F.when(c != "", c)).alias("values"))
+
+
 def detect_ranges(grid: DataFrame, *, keep_last_row: bool = True) -> DataFrame:
     """A row belongs to a table iff it and the next row are non-empty
     (``keep_last_row`` also keeps a table's final row, fixing Q17); tables

@@ -7,6 +7,7 @@ the same table).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +33,40 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def read_csv_filled(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header; blank-named columns dropped; nulls -> ''."""
+    """CSV with header; columns whose header cell is blank are dropped; nulls -> ''.
+
+    The reader gives blank headers made-up names, so the header cells
+    themselves decide, by position.
+    """
+    head = spark.read.option("header", False).csv(path).first()
     df = spark.read.option("header", True).csv(path)
-    keep = [c for c in df.columns if c.strip() and not c.startswith("_c")]
-    return df.select(*keep).na.fill("")
+    keep = [c for c, h in zip(df.columns, head or ()) if h is not None and str(h).strip()]
+    return df.select(*[F.col(f"`{c}`") for c in keep]).na.fill("")
 
 
 def read_ledger_report(spark: SparkSession, path: str, skip_rows: int = 4) -> DataFrame:
-    """Exported ledger report — skip leading rows, the next row is the
-    header, ``Date`` as ``d MMM yyyy`` (lenient), rows with any null dropped."""
-    # ids start at 0 in the first split and increase within it, so the
-    # first skip_rows + 1 lines are ids 0..skip_rows (no global sort needed)
-    lines = spark.read.text(path).withColumn("_i", F.monotonically_increasing_id())
-    header = [c.strip() for c in lines.filter(F.col("_i") == skip_rows).first()["value"].split(",")]
-    data = lines.filter(F.col("_i") > skip_rows).select(F.split("value", ",").alias("c"))
-    df = data.select(*[F.get(F.col("c"), i).alias(h) for i, h in enumerate(header)])
+    """Exported ledger reports — per file, ``skip_rows`` leading rows are
+    skipped and the next one is the header; quoted cells may hold commas;
+    ``Date`` is ``d MMM yyyy`` (lenient); rows with any null or empty cell are
+    dropped. A cell may not span lines.
+
+    A file's first rows lie in its first block, where line ids are
+    consecutive, so each row knows its place without a sort.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_i"))
+    starts = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_i").alias("_first"))
+    numbered = lines.join(starts, "_file").withColumn(
+        "_n", F.when(F.col("_block") == 0, F.col("_i") - F.col("_first")))
+    first = numbered.filter(F.col("_n") == skip_rows).orderBy("_file").first()
+    if first is None:
+        return spark.createDataFrame([], "Date date")
+    names = [c.strip() for c in next(csv.reader([first["value"]]))]
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    data = numbered.filter(F.col("_n").isNull() | (F.col("_n") > skip_rows)).filter(F.trim("value") != "")
+    row = data.select(F.from_csv("value", cells, {"escape": '"'}).alias("c"))
+    df = row.select(*[F.col(f"c.c{i}").alias(h) for i, h in enumerate(names)])
     if "Date" in df.columns:
         df = df.withColumn("Date", lenient_report_date("Date"))
     return df.dropna(how="any")

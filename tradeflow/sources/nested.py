@@ -31,6 +31,9 @@ BOARD_SCHEMA = T.StructType([
     T.StructField("cards", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
         T.StructField("shortLink", T.StringType()), T.StructField("idList", T.StringType()),
+        T.StructField("desc", T.StringType()), T.StructField("due", T.StringType()), T.StructField("url", T.StringType()),
+        T.StructField("coordinates", T.StructType([T.StructField("latitude", T.DoubleType()),
+                                                   T.StructField("longitude", T.DoubleType())])),
         T.StructField("labels", T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))),
         T.StructField("attachments", T.ArrayType(T.StructType([T.StructField("url", T.StringType())]))),
         T.StructField("customFieldItems", T.ArrayType(T.StructType([
@@ -60,7 +63,8 @@ def board_cards(boards: DataFrame) -> DataFrame:
     return cards.select("board_name", "board_id", "card_pos", "c.id", "c.name", "c.shortLink", "c.idList",
                         list_name.alias("list_name"),
                         F.transform("c.labels", lambda x: x["name"]).alias("labels"),
-                        F.transform("c.attachments", lambda x: x["url"]).alias("attachments"))
+                        F.transform("c.attachments", lambda x: x["url"]).alias("attachments"),
+                        "c.desc", "c.due", "c.url", "c.coordinates.latitude", "c.coordinates.longitude")
 
 
 def custom_field_values(boards: DataFrame) -> DataFrame:
@@ -74,10 +78,12 @@ def custom_field_values(boards: DataFrame) -> DataFrame:
     j = items.select("card_id", F.col("i.idValue").alias("idValue"), F.col("i.value").alias("value"),
                      fdef["name"].alias("field"), fdef["type"].alias("type"), fdef["options"].alias("options"))
     opt_text = F.element_at(F.filter("options", lambda o: o["id"] == F.col("idValue")), 1)["value"]["text"]
-    val = (F.when(F.col("type") == "checkbox", F.col("value.checked"))
-           .when(F.col("type") == "date", F.col("value.date"))
-           .when(F.col("type") == "text", F.col("value.text"))
-           .when(F.col("type") == "number", F.col("value.number"))
+    # an item with a value takes it by type; only an item without one looks up its option
+    val = (F.when(F.col("value").isNotNull(),
+                  F.when(F.col("type") == "checkbox", F.col("value.checked"))
+                  .when(F.col("type") == "date", F.col("value.date"))
+                  .when(F.col("type") == "text", F.col("value.text"))
+                  .when(F.col("type") == "number", F.col("value.number")))
            .when(F.col("type") == "list", opt_text))
     return j.select("card_id", "field", val.alias("value"))
 
@@ -89,6 +95,15 @@ def pivot_fields(df: DataFrame, *, key: str, field: str, value: str, fields: Seq
     return g.agg(F.first(value, ignorenulls=True)) if agg == "first" else g.agg(getattr(F, agg)(value))
 
 
+def field_columns(values: DataFrame, fields: Sequence[str], key: str = "card_id",
+                  unused: Sequence[str] = ("spouting_done",)) -> DataFrame:
+    """One column per declared field under its cleaned name; ``unused`` ones are left out."""
+    from tradeflow.functions.text import clean_field_name
+    wide = pivot_fields(values, key=key, field="field", value="value", fields=fields)
+    names = {f: clean_field_name(f) for f in fields}
+    return wide.select(key, *[F.col(f"`{f}`").alias(n) for f, n in names.items() if n not in unused])
+
+
 def open_lists(boards: DataFrame) -> DataFrame:
     """S3: list lookup (open lists only) joined with the board keys."""
     return (boards.select(F.col("id").alias("board_id"), F.col("name").alias("board_name"),
@@ -115,29 +130,51 @@ LINE_ITEM = T.StructType([T.StructField("LineItemID", T.StringType()), T.StructF
                           T.StructField("UnitAmount", T.DoubleType()), T.StructField("LineAmount", T.DoubleType())])
 QUOTE = T.StructType([T.StructField("QuoteID", T.StringType()), T.StructField("QuoteNumber", T.StringType()),
                       T.StructField("Reference", T.StringType()), T.StructField("Status", T.StringType()),
-                      T.StructField("DateString", T.StringType()),
-                      T.StructField("Contact", T.StructType([T.StructField("Name", T.StringType())])),
+                      T.StructField("DateString", T.StringType()), T.StructField("UpdatedDateUTC", T.StringType()),
+                      T.StructField("Contact", T.StructType([
+                          T.StructField("ContactID", T.StringType()), T.StructField("Name", T.StringType()),
+                          T.StructField("EmailAddress", T.StringType())])),
                       T.StructField("LineItems", T.ArrayType(LINE_ITEM))])
 QUOTE_PAGE = T.StructType([T.StructField("Quotes", T.ArrayType(QUOTE))])
+_LINE_KEYS = ("ItemCode", "Description", "Quantity", "UnitAmount", "LineAmount")
 
 
 def quote_lines_from_json(pages: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Page documents -> one row per line item with header fields repeated;
-    DELETED quotes removed; quotes without line items go to the error side."""
-    q = (pages.select(F.from_json(json_col, QUOTE_PAGE).alias("p"))
-         .select(F.explode("p.Quotes").alias("q")))
-    errors = q.filter(F.coalesce(F.size("q.LineItems"), F.lit(0)) <= 0) \
-        .select(F.col("q.QuoteNumber").alias("quote_no"), F.lit("no_line_items").alias("error"))
-    lines = (q.filter(F.col("q.Status") != "DELETED")
-             .select(F.col("q.QuoteNumber").alias("quote_no"), F.col("q.Reference").alias("quote_ref"),
-                     F.col("q.Contact.Name").alias("customer"), F.col("q.Status").alias("quote_status"),
-                     F.to_date(F.col("q.DateString")).alias("created"),
-                     F.explode("q.LineItems").alias("li"))
-             .select("quote_no", "quote_ref", "customer", "quote_status", "created",
-                     F.col("li.ItemCode").alias("item_code"), F.col("li.Description").alias("item_desc"),
-                     F.col("li.Quantity").alias("quantity"), F.col("li.UnitAmount").alias("unit_price"),
-                     F.col("li.LineAmount").alias("line_total")))
-    return lines, errors
+    """Page documents -> one row per line item with the quote's fields
+    repeated. DELETED quotes are removed, quotes without a status stay. The
+    second frame has one row per problem of a quote or line: (quote_no,
+    line_id, error)."""
+    from tradeflow.functions.text import pct_from_text
+    q = (pages.select(F.from_json(json_col, QUOTE_PAGE).alias("p")).select(F.explode("p.Quotes").alias("q"))
+         .filter(~F.col("q.Status").eqNullSafe("DELETED")))
+    millis = F.regexp_extract("q.UpdatedDateUTC", r"(\d{13})", 1)
+    head = q.select(
+        F.col("q.QuoteNumber").alias("quote_no"), F.col("q.Reference").alias("quote_ref"),
+        F.col("q.Contact.Name").alias("customer"), F.col("q.QuoteID").alias("quote_id"),
+        F.col("q.Contact.ContactID").alias("contact_id"), F.col("q.Contact.EmailAddress").alias("_email"),
+        F.col("q.Status").alias("quote_status"), F.to_date(F.col("q.DateString")).alias("created"),
+        F.to_date(F.timestamp_millis(F.when(millis != "", millis.cast("long")))).alias("updated"),
+        F.col("q.LineItems").alias("_items"))
+    item = head.withColumn("li", F.explode("_items"))
+    lines = item.select(
+        "quote_no", "quote_ref", "customer", "quote_id", "contact_id", "quote_status", "created", "updated",
+        F.round(pct_from_text("li.Description"), 2).alias("line_pct"),
+        F.col("li.ItemCode").alias("item_code"), F.col("li.Description").alias("item_desc"),
+        F.col("li.LineItemID").alias("line_id"), F.col("li.Quantity").alias("quantity"),
+        F.col("li.UnitAmount").alias("unit_price"), F.col("li.LineAmount").alias("line_total"))
+    none = F.lit(None).cast("string").alias("line_id")
+    tests = {"no_line_items": F.coalesce(F.size("_items"), F.lit(0)) <= 0, "no_reference": F.col("quote_ref").isNull(),
+             "no_email": F.col("_email").isNull(), "no_updated_date": F.col("updated").isNull()}
+    of_quotes = head.select("quote_no", none, F.explode(F.array_compact(F.array(
+        *[F.when(cond, F.lit(name)) for name, cond in tests.items()]))).alias("error"))
+    of_lines = item.select("quote_no", F.col("li.LineItemID").alias("line_id"), F.explode(F.array_compact(F.array(
+        *[F.when(F.col(f"li.{k}").isNull(), F.lit(f"no_{k}")) for k in _LINE_KEYS]))).alias("error"))
+    return lines, of_quotes.unionByName(of_lines)
+
+
+def human_lines(lines: DataFrame) -> DataFrame:
+    """The lines without their technical ids."""
+    return lines.drop("quote_id", "contact_id", "line_id")
 
 
 def complex_to_text(df: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Incremental labour feed with Structured Streaming.
 
-New scheduler exports land as JSON files in a folder; each micro-batch is
-de-duplicated within a watermark (re-sent bookings are dropped, bookings
-that differ in hours survive, as the reference's de-duplication requires)
-and appended to the labour table. The checkpoint location makes the query
-restartable after a failure without re-appending a batch.
+New scheduler exports land as JSON files in a folder. A booking that is
+already in the labour table (all key columns equal, nulls included) is
+dropped wherever and whenever it is sent again; a booking that differs in
+hours survives, and a booking that arrives late is kept however old it is:
+de-duplication is an anti-join with the table, not a matter of age.
+
+Every micro-batch overwrites its own partition (``batch_id``), so a batch that
+is replayed after a failure leaves the table as one run would.
 """
 
 from __future__ import annotations
@@ -19,17 +22,35 @@ BOOKING_SCHEMA = ("task_id string, name string, employee string, start_date date
 DEDUP_KEYS = ["task_id", "name", "employee", "start_date", "end_date", "daily_hours"]
 
 
-def labour_stream(spark: SparkSession, folder: str, watermark: str = "1 day") -> DataFrame:
+def labour_stream(spark: SparkSession, folder: str) -> DataFrame:
     s = spark.readStream.schema(BOOKING_SCHEMA).json(folder)
-    s = s.withWatermark("exported_at", watermark).dropDuplicatesWithinWatermark(DEDUP_KEYS)
     return s.withColumn("num_days", inclusive_days("start_date", "end_date")) \
         .withColumn("total_hours", total_hours("num_days", "daily_hours"))
 
 
+def new_bookings(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The batch's bookings, each once, that ``known`` does not hold."""
+    once = batch.dropDuplicates(DEDUP_KEYS)
+    if known is None:
+        return once
+    same = F.lit(True)
+    for k in DEDUP_KEYS:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}"))
+    return once.alias("b").join(known.select(*DEDUP_KEYS).alias("k"), same, "left_anti")
+
+
 def start_feed(spark: SparkSession, folder: str, out_path: str, checkpoint: str, trigger_once: bool = True):
-    """Append each batch to parquet at ``out_path`` (idempotent per batch id)."""
+    """Adds each batch's new bookings to the table at ``out_path``."""
+    schema = labour_stream(spark, folder).schema
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        # the schema is given: an empty or absent folder reads as no rows of other batches
+        session = batch.sparkSession
+        known = None
+        if batch_id > 0:
+            known = (session.read.schema(schema.add("batch_id", "long")).parquet(out_path)
+                     .filter(F.col("batch_id") != batch_id))
+        new_bookings(batch, known).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (labour_stream(spark, folder).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint))
