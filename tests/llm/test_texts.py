@@ -79,11 +79,18 @@ def test_token_files_equal_whole_text_encoding(spark, run_ids):
     assert token_files.round_trip(docs(spark, []), tokenizer_path(), 2).count() == 0
 
 
-def test_full_memo_still_encodes():
+def test_pieces_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
     spec = open(tokenizer_path(), encoding="utf-8").read()
+    r = random.Random(12)
+    signs = "ab eé_Zſ ' 's 'll 0 9²½ \t\n\r\x0b\x0c\x1c\x85\xa0\u2003 .,!?-ªºµ×÷ßøÿŉ日本🙂👩‍👧ǅⅧ\u0301\x00\x7f"
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(0, 40))) for _ in range(4000)]
     small, large = token_files.Encoder(spec, memo_words=3), token_files.Encoder(spec)
-    texts = ["one two three four", "five one six", "one two seven"]
-    assert [small([t])[0] for t in texts] == large(texts)
+    for t in texts:
+        want = np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert small(t) == large(t) == want, repr(t)
+    assert len(small.memo) == 3
 
 
 # --- personal data -----------------------------------------------------------------------------------------------

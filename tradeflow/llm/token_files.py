@@ -24,10 +24,10 @@ so any file system works and only committed files appear: a lost executor's
 task is written again. Reading: Spark's binary reader; the header alone orders
 the files.
 
-Encoding: each piece the tokenizer's pre-tokenizer pattern splits off is
-encoded on its own by the tokenizers library and remembered, as pieces do not
-influence each other; texts with an added token's string, and tokenizers
-without this pattern, are encoded whole.
+Encoding: each piece that the tokenizer's pre-tokenizer pattern splits off is
+encoded on its own by the tokenizers library's model and remembered for the
+worker's later tasks, as pieces do not influence each other; texts with an
+added token's string, and tokenizers without this pattern, are encoded whole.
 
 Defined results: a null text is empty and holds only the end id; a null id
 sorts first; documents of equal id follow each other by the hash of their
@@ -44,10 +44,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeflow.llm.common import map_batches, shared_path, utf8
+from tradeflow.llm.common import map_batches, shared_path, utf8, written
 
 MAGIC, SAMPLE = b"TFTOKEF1", 256
-RUN_IDS, MEMO_WORDS = 2_000_000, 600_000
+RUN_IDS, MEMO_WORDS = 2_000_000, 1_200_000
 # the pre-tokenizer pattern of byte-level BPE; a fixed value
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -137,49 +137,67 @@ def unpack(data: bytes):
     return part, seq, doc_ids, ids, ef
 
 
-def _worker_memo(name: str) -> dict:
-    """A dict that lives as long as the Python worker, over all its tasks."""
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies use for each byte: printable bytes stand for
+    themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class Pieces(dict):
+    """Piece -> its ids as bytes; a piece not yet known is encoded by the tokenizer's model."""
+
+    def __init__(self, model, width: int, limit: int):
+        super().__init__()
+        self.model, self.width, self.limit = model, width, limit
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(plain)])
+        if len(self) < self.limit:  # a full memo keeps the pieces seen first, the frequent ones
+            self[piece] = ids
+        return ids
+
+
+def _worker_memo(name: str, make) -> dict:
+    """A memo that lives as long as the Python worker, over all its tasks."""
     import sys
-    return sys.__dict__.setdefault("_tradeflow_memo", {}).setdefault(name, {})
+    held = sys.__dict__.setdefault("_tradeflow_memo", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
 
 
 class Encoder:
     """Whole-text ids by the tokenizers library, with remembered pieces."""
 
-    def __init__(self, spec: str, memo: dict | None = None, memo_words: int = MEMO_WORDS):
+    def __init__(self, spec: str, width: int = 4, memo_words: int = MEMO_WORDS, shared: bool = False):
+        import re
+
         import regex
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.width = Tokenizer.from_str(spec), width
         own = json.loads(spec)
         pre = own.get("pre_tokenizer") or {}
-        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                         and not pre.get("add_prefix_space") and not own.get("normalizer"))
+        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                         and not own.get("normalizer") and own["model"].get("type") == "BPE")
         self.added = [t["content"] for t in own.get("added_tokens") or ()]
         self.pieces = regex.compile(PIECES)
-        self.memo = {} if memo is None else memo
-        self.memo_words = memo_words
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        whole = {i for i, t in enumerate(texts) if not self.by_piece or any(a in t for a in self.added)}
-        split = [[] if i in whole else self.pieces.findall(t) for i, t in enumerate(texts)]
-        memo = self.memo
-        new = list({p for s in split for p in s if p not in memo})
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        if len(memo) + len(new) > self.memo_words:  # a full memo keeps the pieces seen first, the frequent ones
-            memo = dict(zip(new, ids)) | {p: memo[p] for s in split for p in set(s) if p in memo}
-        else:
-            memo.update(zip(new, ids))
-        out = []
-        for i, s in enumerate(split):
-            if i in whole:
-                out.append(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
-            else:
-                flat: list[int] = []
-                for piece in s:
-                    flat += memo[piece]
-                out.append(flat)
-        return out
+        # texts of ASCII and Latin letters split alike by the standard library, which is faster
+        self.unusual = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+        make = lambda: Pieces(self.tokenizer.model, width, memo_words)
+        self.memo = _worker_memo(f"{zlib.crc32(spec.encode())}-{width}", make) if shared else make()
+
+    def __call__(self, text: str) -> bytes:
+        """The ids, little endian, that ``encode(text, add_special_tokens=False)`` gives."""
+        if not self.by_piece or any(a in text for a in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        pieces = (self.pieces if self.unusual.search(text) else self.plain).findall(text)
+        return b"".join(map(self.memo.__getitem__, pieces))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -199,27 +217,30 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         import numpy as np
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(spec, _worker_memo(f"{zlib.crc32(spec.encode())}"))
+        encode = Encoder(spec, width, shared=True)
+        last = end_id.to_bytes(width, "little")
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list = []
+        ids: list[bytes] = []
         ends: list[int] = []
         held: list = []
         total = 0
+
+        def packed():
+            return {"file": [pack(part, seq, held, np.frombuffer(b"".join(ids), dtype=f"<u{width}"), ends, width)]}
+
         for b in batches:
-            keys, texts = b["id"].to_pylist(), b["text"].to_pylist()
-            for lo in range(0, len(texts), 256):
-                for key, found in zip(keys[lo:lo + 256], encode(texts[lo:lo + 256])):
-                    found.append(end_id)
-                    if held and total + len(found) > run_ids:
-                        yield {"file": [pack(part, seq, held, np.concatenate(ids), ends, width)]}
-                        seq, total = seq + 1, 0
-                        ids, ends, held = [], [], []
-                    ids.append(np.array(found, dtype=np.uint32))
-                    total += len(found)
-                    ends.append(total)
-                    held.append(key)
+            for key, text in zip(b["id"].to_pylist(), b["text"]):
+                found = encode(text.as_py()) + last
+                if held and total + len(found) // width > run_ids:
+                    yield packed()
+                    seq, total = seq + 1, 0
+                    ids, ends, held = [], [], []
+                ids.append(found)
+                total += len(found) // width
+                ends.append(total)
+                held.append(key)
         if held:
-            yield {"file": [pack(part, seq, held, np.concatenate(ids), ends, width)]}
+            yield packed()
 
     files = map_batches(ranged, runs, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
@@ -239,14 +260,10 @@ def read_documents(spark: SparkSession, path: str, id_name: str = "doc_id") -> D
                        "n_tokens": ends - starts,
                        "ids_crc32": [zlib.crc32(wide[s:e].tobytes()) for s, e in zip(starts, ends)]}
 
-    def heads(batches):
-        for b in batches:
-            rows = [struct.unpack_from("<4Q", d.as_py(), 8) for d in b["content"]]
-            yield {"part": [r[0] for r in rows], "seq": [r[1] for r in rows], "ids": [r[3] for r in rows]}
-
     found = spark.read.format("binaryFile").load(path).select("content")
-    rows = map_batches(found, documents, "part long, seq long, id long, at long, n_tokens long, ids_crc32 long")
-    files = map_batches(found, heads, "part long, seq long, ids long")
+    rows = written(map_batches(found, documents, "part long, seq long, id long, at long, n_tokens long, ids_crc32 long"),
+                   "token-rows")
+    files = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     parts = files.groupBy("part").agg(F.sum("ids").alias("ids"))  # one row per partition written
