@@ -35,33 +35,33 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame, *, node: str = "name", orde
     ``edges`` are directed links src -> dst; only links between two nodes with
     ord(src) < ord(dst) can veto a seed.
     """
-    spark = nodes.sparkSession
     n = nodes.select(F.col(node).alias("_n"), F.col(order).alias("_o"))
     e = (edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
          .join(n.withColumnRenamed("_n", "_s").withColumnRenamed("_o", "_so"), "_s")
          .join(n.withColumnRenamed("_n", "_d").withColumnRenamed("_o", "_do"), "_d")
          .filter(F.col("_so") < F.col("_do")).select("_s", "_d"))
-    e = cut_lineage(e)
     # Every round settles at least the earliest undecided node (its earlier
     # in-neighbours are all settled), so the loop ends by itself. A seed vetoes
     # its later neighbours at once, a member vetoes nothing: settled nodes leave
-    # the edge list, and the state shrinks to the undecided ones.
-    todo, done, rnd = cut_lineage(n.select("_n")), [], 0
-    while todo.limit(1).count():
+    # the links, and without links every node left is a seed.
+    e = cut_lineage(e)
+    todo, members, rnd = n.select("_n"), [], 0
+    while e.limit(1).count():
         rnd += 1
-        blocked = e.select(F.col("_d").alias("_n")).distinct()
-        seeds = cut_lineage(todo.join(blocked, "_n", "left_anti"))
-        members = cut_lineage(e.join(seeds.withColumnRenamed("_n", "_s"), "_s", "left_semi")
-                              .select(F.col("_d").alias("_n")).distinct())
-        done += [seeds.withColumn("_seed", F.lit(True)), members.withColumn("_seed", F.lit(False))]
-        settled = seeds.unionByName(members)
-        todo = cut_lineage(todo.join(settled, "_n", "left_anti"))
-        e = cut_lineage(e.join(settled.withColumnRenamed("_n", "_s"), "_s", "left_anti")
-                        .join(settled.withColumnRenamed("_n", "_d"), "_d", "left_anti"))
+        later = e.select(F.col("_d").alias("_n")).distinct()
+        seeds = todo.join(later, "_n", "left_anti")
+        lost = cut_lineage(e.join(seeds.withColumnRenamed("_n", "_s"), "_s", "left_semi")
+                           .select(F.col("_d").alias("_n")).distinct())
+        members.append(lost)
+        # a source that is no later node is a seed: its links, and those of its members, are done
+        e = cut_lineage(e.join(later.withColumnRenamed("_n", "_s"), "_s", "left_semi")
+                        .join(lost.withColumnRenamed("_n", "_s"), "_s", "left_anti")
+                        .join(lost.withColumnRenamed("_n", "_d"), "_d", "left_anti"))
+        todo = cut_lineage(todo.join(lost, "_n", "left_anti"))
     greedy_seeds.rounds = rnd
-    state = n.select("_n", F.lit(True).alias("_seed")).limit(0)
-    for part in done:
-        state = state.unionByName(part)
+    state = todo.withColumn("_seed", F.lit(True))
+    for part in members:
+        state = state.unionByName(part.withColumn("_seed", F.lit(False)))
     return state.select(F.col("_n").alias(node), F.col("_seed").alias("is_seed"))
 
 

@@ -15,6 +15,7 @@ from tradeflow.functions.text import (DUPLICATE_MARKERS, attachment_class, clean
                                       has_label, suburb)
 from tradeflow.operators.joins import anti_join, match_type
 from tradeflow.operators.link import phrase_join
+from tradeflow.session import cut_lineage
 
 
 def _any_contains(c: Column, markers: Sequence[str]) -> Column:
@@ -110,6 +111,7 @@ def job_quote_mapping(jobs: DataFrame, ref_quotes: DataFrame, *, job_name: str =
                .join(jobs.select(job_name, job_no), job_name)
                .select(F.col(job_name).alias("job_name"), F.col(job_no).alias("job_no"), "quote_no", "quote_ref",
                        match_type(F.col(ref_key)).alias("match_type"), "quote_value"))
+    matched = cut_lineage(matched)  # two branches read it
     has_primary = matched.filter(F.col("match_type") == "primary").select(F.col("job_name").alias(job_name)).distinct()
     no_match = (jobs.join(has_primary, job_name, "left_anti")
                 .filter((F.coalesce(F.col(status), F.lit("")) != no_quote_status)

@@ -78,7 +78,9 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
               .groupBy("_nid", "_nl")
               .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok")))
     cand = t_tok.join(chosen, "_tok")
-    pairs = cand.filter(F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl")))) \
+    # a literal search first: the pattern, one per name, is compiled for near matches only
+    pairs = cand.filter((F.instr(F.col("_tl"), F.col("_nl")) > 0)
+                        & F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl")))) \
         .select(F.col("_nid").alias(name_id), F.col("_tid").alias(text_id))
     # names without any word character (e.g. "#"): block on their first
     # character against the distinct non-word characters of each text
