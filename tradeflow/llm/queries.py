@@ -89,3 +89,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.without_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# windows as hex text, two letters a byte; runs of repeated windows that touch make one span
+ORACLES["op2_repeats"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS k
+      FROM (SELECT doc_id, h, unnest(range(n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS s FROM r),
+i AS (SELECT doc_id, sum(s) OVER (PARTITION BY doc_id ORDER BY p) AS g, p FROM g),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY doc_id, g),
+c AS (SELECT d.doc_id, d.n, d.h, coalesce(x.a, d.n) AS a, x.b, lag(x.b, 1, 0) OVER (PARTITION BY d.doc_id ORDER BY x.a) AS before,
+             lead(x.a, 1, d.n) OVER (PARTITION BY d.doc_id ORDER BY x.a) AS next FROM d LEFT JOIN x USING (doc_id)),
+k AS (SELECT doc_id, any_value(n) AS n, coalesce(sum(b - a), 0) AS gone, count(b) AS spans,
+             string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a)
+             || CASE WHEN count(b) > 0 THEN substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) ELSE '' END AS kept
+      FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256 FROM k"""
