@@ -53,13 +53,6 @@ def hours_per_person(labour: DataFrame, key: str = "name", person: str = "employ
     return labour.groupBy(key, person).agg(F.round(F.sum(hours), 2).alias("hours"))
 
 
-def first_seen_per_key(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
-    """Per key the value of each column at the smallest ``order`` among
-    rows where that column is non-null (``min_by ... FILTER``)."""
-    aggs = [F.expr(f"min_by(`{c}`, `{order}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in cols]
-    return df.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("n_members"))
-
-
 def last_seen_per_key(df: DataFrame, key: str, order: str, col: str, alias: str | None = None) -> DataFrame:
     """Per key the last non-null value in member order."""
     return df.groupBy(key).agg(
@@ -76,32 +69,11 @@ def ordered_members(df: DataFrame, key: str, order: str, member: str) -> DataFra
     return df.select(key, member, order).withColumn("pos", F.row_number().over(w))
 
 
-def sum_struct_fields(df: DataFrame, key: str, fields: Sequence[str], prefix: str = "sum_") -> DataFrame:
-    """Per key the sum of each field, nulls skipped; all-null -> null."""
-    return df.groupBy(key).agg(*[F.sum(f).alias(prefix + f) for f in fields])
-
-
 def distinct_values(df: DataFrame, key: str, col: str) -> DataFrame:
     """A14 set union across members: distinct (key, value) bridge rows."""
     return df.select(key, col).filter(F.col(col).isNotNull()).distinct()
 
 
-def mean_position(df: DataFrame, key: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Rounded mean of coordinates over non-null members."""
-    return df.groupBy(key).agg(F.round(F.avg(lon), 2).alias("longitude"),
-                               F.round(F.avg(lat), 2).alias("latitude"))
-
-
-def conditional_sums(df: DataFrame, key: str, cond_col: str, cases: dict[str, tuple[str, str]]) -> DataFrame:
-    """``sum(CASE WHEN cond_col = value THEN measure ELSE 0 END)`` per key.
-
-    ``cases = {alias: (value, measure_column)}``.
-    """
-    aggs = [F.sum(F.when(F.col(cond_col) == v, F.col(m)).otherwise(F.lit(0))).alias(a)
-            for a, (v, m) in cases.items()]
-    return df.groupBy(key).agg(*aggs)
-
-
 def exact_median_and_mean(values: DataFrame, col: str, median_alias: str = "median",
                           mean_alias: str = "mean") -> DataFrame:
     """Exact median (``percentile_cont(0.5)``) and ``round(avg, 2)`` of an

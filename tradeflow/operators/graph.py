@@ -122,14 +122,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "nam
             .select(F.col("_n").alias(node), F.coalesce("_p", "_n").alias("component")))
 
 
-def component_groups(components: DataFrame, node: str = "name") -> DataFrame:
-    """Bridge rows (project, job, n_members); a component is named by its
-    smallest member (no member list is gathered into one row, so a giant
-    component stays spread over tasks)."""
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
-    return components.join(sizes, "component").select(F.col("component").alias("project"), node, "n_members")
-
-
 def project_members(groups: DataFrame, standalone: DataFrame, *, node: str = "name") -> DataFrame:
     """projects = groups ∪ standalone jobs (each its own project); on a name
     clash the standalone project wins. Rows: (project, job, shared_drains)."""

@@ -56,11 +56,6 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def ordered_nulls_last(*cols: tuple[str, bool]) -> list[Column]:
-    """DuckDB-style ordering (nulls last both ways); (name, descending)."""
-    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in cols]
-
-
 # ---------------------------------------------------------------------------
 # Report registry
 _COMMENT = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.S)
@@ -98,14 +93,16 @@ def register_report(registry: dict[str, Report], name: str, sql: str) -> Report
     return rep
 
 
-def run_report(spark: SparkSession, registry: dict[str, Report], name: str, **params) -> tuple[DataFrame | None, str | None]:
-    """Run a report with bound parameters; errors come back as values."""
+def run_report(spark: SparkSession, registry: dict[str, Report], name: str, frames: dict[str, DataFrame] | None = None,
+               **params) -> tuple[DataFrame | None, str | None]:
+    """Run a report with bound parameters, and tables for the ``{names}`` in
+    its text; errors come back as values."""
     try:
         rep = registry[name]
         missing = [v for v in rep.variables if v not in params]
         if missing:
             return None, f"missing parameters: {missing}"
-        return spark.sql(rep.sql, args={k: params[k] for k in rep.variables}), None
+        return spark.sql(rep.sql, args={k: params[k] for k in rep.variables}, **(frames or {})), None
     except Exception as e:  # noqa: BLE001 - reported to the caller
         return None, f"{type(e).__name__}: {e}"
 
@@ -141,9 +138,3 @@ def queries_by_last_use(queries: DataFrame, usage: DataFrame, name: str = "name"
     """Saved queries by last use, never-used last."""
     lu = usage.groupBy(F.col("query_name").alias(name)).agg(F.max("last_used_at").alias("last_used_at"))
     return queries.join(lu, name, "left").orderBy(F.col("last_used_at").desc_nulls_last(), F.col(name))
-
-
-def count_and_share(df: DataFrame, *keys: str) -> DataFrame:
-    """A17 helper: rows per group and share of all rows (window over the grouped result)."""
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))

@@ -285,3 +285,38 @@ def project_booking_date(spark, sf_dir):
     j, m = _members(spark, sf_dir)
     rows = m.select("project", "name").join(j.select("name", "report_sent_to_eqc"), "name")
     return last_seen_per_key(rows, "project", "name", "report_sent_to_eqc", "booking_date")
+
+
+@register("customer_job_list", "A5", oracle=lambda: duck_cte("customer_titles", "job_cards") + """
+SELECT customer_name AS name, card_title AS job_name, card_id,
+       CAST(row_number() OVER (PARTITION BY customer_name ORDER BY card_id, card_title) AS INTEGER) AS pos FROM fx_job_cards""")
+def customer_job_list(spark, sf_dir):
+    """The ordered jobs of each customer, as bridge rows."""
+    return J.customer_jobs(fixture(spark, sf_dir, "job_cards"))
+
+
+# a customer's goods of one day and state: several lines give equal rows
+_LEDGER = """SELECT o_custkey AS customer, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag FROM {lineitem}
+JOIN {orders} ON l_orderkey = o_orderkey"""
+
+
+@register("ledger_distinct", "A6", oracle=lambda: f"""
+SELECT DISTINCT * FROM ({_LEDGER.format(lineitem='lineitem', orders='orders')})""")
+def ledger_distinct(spark, sf_dir):
+    """Exact duplicates collapse."""
+    return _ledger_sides(spark, sf_dir)[0]
+
+
+@register("ledger_duplicates", "A6,K4", oracle=lambda: f"""
+SELECT customer, day, flag FROM (SELECT *, row_number() OVER (PARTITION BY customer, day, flag) AS n
+FROM ({_LEDGER.format(lineitem='lineitem', orders='orders')})) WHERE n > 1""")
+def ledger_duplicates(spark, sf_dir):
+    """The surplus copies, one row each."""
+    return _ledger_sides(spark, sf_dir)[1]
+
+
+def _ledger_sides(spark, sf_dir):
+    from tradeflow.operators.aggregate import drop_exact_duplicates
+    from tradeflow.plans.fixtures import tables
+    t = tables(spark, sf_dir)
+    return drop_exact_duplicates(spark.sql(_LEDGER, lineitem=t["lineitem"], orders=t["orders"]))

@@ -112,6 +112,23 @@ def quote_categories(spark, sf_dir):
     return Q.quote_category_quantities(quote_lines_df(spark, sf_dir))
 
 
+@register("quote_categories_all", "A9", oracle=lambda: duck_quote_lines_cte() + "," + _sql_categories(Q.QUOTE_CATEGORIES)
+          + _ALL_CATEGORIES)
+def quote_categories_all(spark, sf_dir):
+    """The same under its earlier name."""
+    return quote_categories(spark, sf_dir)
+
+
+@register("quotes_merged", "A10", oracle=lambda: duck_quote_lines_cte() + """,
+h AS (SELECT quote_no, customer, round(sum(line_total), 2) AS quote_value FROM fx_quote_lines GROUP BY quote_no, customer)
+SELECT customer AS project, 'various' AS quote_no, 'derived' AS quote_status, 'merged' AS quote_source,
+       count(*) AS n_quotes, round(sum(quote_value), 2) AS quote_value FROM h GROUP BY customer""")
+def quotes_merged(spark, sf_dir):
+    """A10: the quotes of each customer merged into one."""
+    h = quote_lines_df(spark, sf_dir).groupBy("quote_no", "customer").agg(F.round(F.sum("line_total"), 2).alias("quote_value"))
+    return Q.merge_quotes(h.select("quote_no", "quote_value"), h.select(F.col("customer").alias("project"), "quote_no"))
+
+
 @register("quote_category_lines", "A9", oracle=lambda: duck_quote_lines_cte() + "," + _sql_categories(Q.QUOTE_CATEGORIES) + """
 SELECT l.quote_no, c.category, l.item_desc, round(l.line_pct * l.quantity, 4) AS line_qty
 FROM fx_quote_lines l JOIN cats c ON regexp_matches(l.item_desc, c.pattern) AND NOT regexp_matches(l.item_desc, c.without)""")

@@ -66,20 +66,28 @@ def approval_time_stats(spark, sf_dir):
     return exact_median_and_mean(d, "d", "median_time_difference", "mean_time_difference")
 
 
-JOBS_BY_APPROVAL_SQL = """
-SELECT card_title AS name, url, report_by, status, report_sent_to_eqc, eqc_approved_date
+JOBS_BY_APPROVAL_SQL = """-- jobs of the given states approved since a date
+SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date
 FROM {cards}
-WHERE status IN ('Approved', 'Awaiting Approval', 'Completed') AND eqc_approved_date >= :eqc_approved_date
+WHERE array_contains({{ statuses }}, status) AND eqc_approved_date >= {{ since }}
 ORDER BY report_sent_to_eqc DESC NULLS LAST"""
 
 
-@register("jobs_by_approval_date", "R5,R14,P6,P7", oracle=lambda: _duck_cards() + JOBS_BY_APPROVAL_SQL.format(
-    cards="cards").replace(":eqc_approved_date", "DATE '2021-06-01'"))
+@register("jobs_by_approval_date", "R5,R13,R14,P6,P7", oracle=lambda: _duck_cards() + """
+SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date
+FROM cards WHERE status IN ('Approved', 'Awaiting Approval', 'Completed') AND eqc_approved_date >= DATE '2021-06-01'
+ORDER BY report_sent_to_eqc DESC NULLS LAST""")
 def jobs_by_approval_date(spark, sf_dir):
-    """Template report run with a bound parameter (no text substitution)."""
+    """A registered template run with bound parameters (no text substitution)."""
     import datetime as dt
-    return spark.sql(JOBS_BY_APPROVAL_SQL, args={"eqc_approved_date": dt.date(2021, 6, 1)},
-                     cards=_cards(spark, sf_dir))
+    reports: dict[str, R.Report] = {}
+    R.register_report(reports, "jobs_by_approval_date", JOBS_BY_APPROVAL_SQL)
+    df, error = R.run_report(spark, reports, "jobs_by_approval_date", {"cards": _cards(spark, sf_dir)},
+                             statuses=F.array(*[F.lit(s) for s in ("Approved", "Awaiting Approval", "Completed")]),
+                             since=dt.date(2021, 6, 1))
+    if error:
+        raise RuntimeError(error)
+    return df
 
 
 QUOTES_AFTER_SQL = "SELECT * FROM {quotes} WHERE quote_no > :quote_no ORDER BY quote_no ASC"

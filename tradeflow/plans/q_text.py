@@ -127,3 +127,17 @@ def field_names(spark, sf_dir):
     raw = F.concat(F.col("p_type"), F.lit(" ("), F.col("p_brand"), F.lit(")/"), F.col("p_name"), F.lit(": 2nd"))
     return p.select("p_partkey", X.clean_field_name_col(raw).alias("field"),
                     X.description_text([("Name", "p_name"), ("Brand", "p_brand")]).alias("description"))
+
+
+@register("text_datetimes", "T12", oracle=lambda: """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS ts
+FROM lineitem""")
+def text_datetimes(spark, sf_dir):
+    """Text to timestamp; bad text gives null."""
+    from pyspark.sql import functions as F
+
+    from tradeflow.functions.text import text_to_datetime
+    from tradeflow.plans.fixtures import tables
+    li = tables(spark, sf_dir)["lineitem"]
+    text = F.when(F.col("l_linenumber") == 3, "not a date").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    return li.select("l_orderkey", "l_linenumber", text_to_datetime(text).alias("ts"))
