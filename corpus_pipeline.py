@@ -45,8 +45,8 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more for toxicity go."""
     labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", KEY)
-    scored = written(toxicity.scores(_own(docs), labels, id_col=KEY), "scores")
-    return _without(docs, scored.filter("score >= 0.5"))
+    model, _ = toxicity.fit(_own(docs), labels, id_col=KEY)
+    return docs.filter(model.score_column(_key(), utf8("text")) < 0.5)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ import math
 import re
 from collections import Counter
 
-import pyarrow.compute as pc
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,14 +119,6 @@ def _presence(batches):
     yield {"term": list(held), "n": list(held.values())}
 
 
-def _presence(batches):
-    """Documents that hold each term, one row per term and task."""
-    held: Counter = Counter()
-    for b in batches:
-        held.update(pc.list_flatten(b["terms"]).to_pylist())
-    yield {"term": list(held), "n": list(held.values())}
-
-
 class BlockMaxIndex:
     """Exact top-k cosine over sparse example vectors, with block maxima."""
 
@@ -140,41 +131,35 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         n_blocks = -(-len(order) // block)
         self.maxima = np.zeros((n_terms, n_blocks))
-        self.postings: list[dict] = []  # of each block: term -> (rows in block, weights)
+        self.blocks: list[tuple] = []  # of each block: row, term and weight of every posting
         for k in range(n_blocks):
-            post: dict[int, tuple[list, list]] = {}
-            for r, i in enumerate(order[k * block:(k + 1) * block]):
-                for t, w in zip(*vectors[i]):
-                    p = post.setdefault(t, ([], []))
-                    p[0].append(r)
-                    p[1].append(w)
-            self.postings.append({t: (np.array(r), np.array(w)) for t, (r, w) in post.items()})
-            for t, (_, w) in post.items():
-                self.maxima[t, k] = max(w)
+            own = [vectors[i] for i in order[k * block:(k + 1) * block]]
+            row = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+            term = np.array([x for t, _ in own for x in t], dtype=np.int64)
+            weight = np.array([x for _, w in own for x in w])
+            self.blocks.append((row, term, weight, len(own)))
+            np.maximum.at(self.maxima[:, k], term, weight)
 
     def nearest(self, terms: list[int], weights: list[float], k: int, without: int = -1):
         """(rows, cosines) of the k nearest, best first; ``without``: a row that takes no part."""
         import numpy as np
+        query = np.zeros(len(self.maxima))
+        query[terms] = weights
         bound = np.asarray(weights) @ self.maxima[terms]
         best = np.empty(0)
         rows = np.empty(0, dtype=np.int64)
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
                 break
-            start = b * self.block
-            score = np.zeros(min(self.block, len(self.labels) - start))
-            post = self.postings[b]
-            for t, w in zip(terms, weights):
-                if t in post:
-                    r, v = post[t]
-                    score[r] += w * v
-            own = np.flatnonzero(score > 0)
-            own = own[own + start != without]
-            if len(best) == k:  # a block without a better row, or an equal one of an earlier example
-                own = own[score[own] >= best[-1] - 1e-12]
+            row, term, weight, size = self.blocks[b]
+            score = np.bincount(row, query[term] * weight, size)
+            least = best[-1] - 1e-12 if len(best) == k else 1e-15
+            own = np.flatnonzero(score >= least) + b * self.block
+            own = own[own != without]
             if not len(own):
                 continue
-            best, rows = np.concatenate((best, np.round(score[own], 12))), np.concatenate((rows, own + start))
+            best = np.concatenate((best, np.round(score[own - b * self.block], 12)))
+            rows = np.concatenate((rows, own))
             keep = np.lexsort((self.order[rows], -best))[:k]
             best, rows = best[keep], rows[keep]
         return rows, best
@@ -203,10 +188,63 @@ def logistic_curve(votes, labels, rounds: int = 50) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-           neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``(id, score, evidence)`` per row of ``docs``; evidence holds the ids of the nearest examples."""
+class Model:
+    """Terms, index and calibration; plain Python and numpy, sent to the tasks."""
+
+    def __init__(self, terms: list[str], idf: list[float], rows: list[tuple], neighbours: int = NEIGHBOURS):
+        """``rows``: (id, label, term numbers, counts) of the examples."""
+        self.place, self.idf, self.neighbours = {t: i for i, t in enumerate(terms)}, idf, neighbours
+        weighed = [(i, y, *weigh(t, c, idf)) for i, y, t, c in rows]
+        own = [x for x in weighed if x[2]]
+        blank = [x[1] for x in weighed if not x[2]]
+        self.prior = (sum(blank) + 0.5) / (len(blank) + 1) if blank else 0.0
+        self.ids = [x[0] for x in own]
+        self.index = BlockMaxIndex([(x[2], x[3]) for x in own], [x[1] for x in own], max(1, len(terms)))
+        row_of = {int(i): r for r, i in enumerate(self.index.order)}
+        self.own_row = {i: row_of[n] for n, i in enumerate(self.ids)}
+        votes = [self.index.vote(x[2], x[3], neighbours, row_of[n]) for n, x in enumerate(own)]
+        known = [(v, x[1]) for v, x in zip(votes, own) if not math.isnan(v)]
+        self.slope, self.offset = logistic_curve(*zip(*known)) if known else (0.0, 0.0)
+
+    def score(self, id_, terms, counts, memo: dict) -> tuple[float, list]:
+        """(score, ids of the nearest examples); an example is no neighbour of itself."""
+        key = (tuple(terms), tuple(counts), self.own_row.get(id_, -1))
+        if key not in memo:
+            if len(memo) > 50_000:
+                memo.clear()
+            own = weigh(terms, counts, self.idf)
+            found, cos = self.index.nearest(*own, self.neighbours, key[2]) if own[0] else ([], [])
+            value, near = self.prior, []
+            if len(found):
+                vote = float((cos * self.index.labels[found]).sum() / cos.sum())
+                value = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * vote + self.offset))))
+                near = [self.ids[self.index.order[r]] for r in found]
+            memo[key] = (value, near)
+        return memo[key]
+
+    def score_column(self, id_col, text_col):
+        """The score of a text where it stands: no row is moved."""
+        from collections.abc import Iterator
+
+        import pandas as pd
+
+        def of(batches):
+            words, memo = {}, {}
+            for ids, texts in batches:
+                out = []
+                for i, t in zip(ids, texts):
+                    found = sorted(count_terms(t, self.place, words).items())
+                    out.append(self.score(i, [k for k, _ in found], [n for _, n in found], memo)[0])
+                yield pd.Series(out, dtype="float64")
+
+        of.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(of, "double")(id_col, text_col)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
+        neighbours: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+    """The model, and ``(id, terms, counts)`` of every row of ``docs``."""
     spark = docs.sparkSession
     chosen = written(chosen_examples(labels, max_examples, id_col, label_col), "examples")
     picked = F.broadcast(chosen.select(F.col(id_col).alias("id"), "label"))  # at most max_examples rows
@@ -214,43 +252,24 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = written(own.join(picked, "id").dropDuplicates(["id"]), "example-texts")
     terms = informative_terms(texts.repartition(spark.sparkContext.defaultParallelism, "id"), max_terms)
     vectors = written(term_vectors(docs, terms, id_col, text_col), "term-vectors")
-
     n_docs = vectors.count()
     df = {r.term: r.n for r in map_batches(vectors.select("terms"), _presence, "term int, n long")
           .groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = [math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))]
     rows = sorted((r.id, r.label, r.terms, r.counts) for r in
                   vectors.join(picked, "id").dropDuplicates(["id"]).collect())  # at most max_examples rows
-    weighed = [(i, y, *weigh(t, c, idf)) for i, y, t, c in rows]
-    with_terms = [x for x in weighed if x[2]]
-    blank = [x[1] for x in weighed if not x[2]]
-    prior = (sum(blank) + 0.5) / (len(blank) + 1) if blank else 0.0
-    index = BlockMaxIndex([(x[2], x[3]) for x in with_terms], [x[1] for x in with_terms], max(1, len(terms)))
-    place = {int(i): r for r, i in enumerate(index.order)}
-    votes = [index.vote(x[2], x[3], neighbours, place[n]) for n, x in enumerate(with_terms)]
-    known = [(v, x[1]) for v, x in zip(votes, with_terms) if not math.isnan(v)]
-    slope, offset = logistic_curve(*zip(*known)) if known else (0.0, 0.0)
-    ids = [x[0] for x in with_terms]
-    own_row = {i: place[n] for n, i in enumerate(ids)}  # an example is no neighbour of itself
+    return Model(terms, idf, rows, neighbours), vectors
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           label_col: str = "toxic", **options) -> DataFrame:
+    """``(id, score, evidence)`` per row of ``docs``; evidence holds the ids of the nearest examples."""
+    model, vectors = fit(docs, labels, id_col, text_col, label_col, **options)
 
     def score(batches):
-        seen: dict[tuple, tuple] = {}
+        memo: dict = {}
         for b in batches:
-            out = []
-            for i, t, c in zip(b["id"].to_pylist(), b["terms"].to_pylist(), b["counts"].to_pylist()):
-                key = (tuple(t), tuple(c), own_row.get(i, -1))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    own, near = weigh(t, c, idf), []
-                    found, cos = index.nearest(*own, neighbours, key[2]) if own[0] else ([], [])
-                    value = prior
-                    if len(found):
-                        vote = float((cos * index.labels[found]).sum() / cos.sum())
-                        value = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * vote + offset))))
-                        near = [ids[index.order[r]] for r in found]
-                    seen[key] = (value, near)
-                out.append(seen[key])
+            out = [model.score(*x, memo) for x in zip(b["id"].to_pylist(), b["terms"].to_pylist(), b["counts"].to_pylist())]
             yield {"id": b["id"], "score": [x[0] for x in out], "evidence": [x[1] for x in out]}
 
     return map_batches(vectors, score, "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)
