@@ -67,6 +67,19 @@ _ITEM_PREFIX = ("CASE p.p_type WHEN 'ECONOMY' THEN 'Remove and replace sewer pip
                 "ELSE 'Fence and clothes line reinstate - ' END")
 
 
+# Attachments of unshared jobs: every class, and both kinds that are skipped.
+_ATTACHMENT = ("CASE t.n_regionkey WHEN 0 THEN 'https://trello.com/1/cards/c' || CAST(t.c_custkey AS STRING) || '/site.HEIC' "
+               "WHEN 1 THEN 'https://trello.com/1/cards/c' || CAST(t.c_custkey AS STRING) || '/plan.pdf' "
+               "WHEN 2 THEN 'https://trello.com/1/cards/c' || CAST(t.c_custkey AS STRING) || '/set.rar' "
+               "WHEN 3 THEN CASE t.c_mktsegment WHEN 'AUTOMOBILE' THEN 'https://trello.com/1/x/mail.eml' "
+               "WHEN 'BUILDING' THEN 'https://trello.com/1/x/walk.mov' WHEN 'FURNITURE' THEN 'https://trello.com/b/board' "
+               "WHEN 'HOUSEHOLD' THEN 'https://trello.com/1/x/noname' "
+               "ELSE 'https://drive.google.com/drive/x?usp=drive_link' END "
+               "ELSE CASE t.c_mktsegment WHEN 'AUTOMOBILE' THEN 'https://drive.google.com/drive/folders/x' "
+               "WHEN 'BUILDING' THEN 'https://mail.google.com/mail/x' WHEN 'FURNITURE' THEN 'https://go.xero.com/x' "
+               "WHEN 'HOUSEHOLD' THEN 'https://docs.google.com/document/d/x' ELSE 'https://example.com/x' END END")
+
+
 def _job_title_select() -> str:
     """customer ⋈ nation -> (c_custkey, title, job_name_raw)."""
     seg = _title_case("c.c_mktsegment")
@@ -160,7 +173,7 @@ SELECT t.c_custkey AS card_id,
        CASE WHEN t.c_acctbal < 1000 THEN {d.drop_nulls(d.arr(
            f"CASE WHEN {prev_k} IS NULL THEN NULL ELSE {link.format(k=prev_k)} END",
            f"CASE WHEN {next_k} IS NULL THEN NULL ELSE {link.format(k=next_k)} END"))}
-            ELSE {d.arr("'https://docs.google.com/document/d/c' || CAST(t.c_custkey AS STRING)")} END AS attachments,
+            ELSE {d.arr(_ATTACHMENT)} END AS attachments,
        t.c_name AS customer_name,
        lower(replace(t.c_name, '#', '.')) || '@example.com' AS customer_email,
        CASE WHEN t.c_acctbal < 5000 THEN 'PM ' || {seg} ELSE NULL END AS project_manager,

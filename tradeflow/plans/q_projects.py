@@ -58,6 +58,17 @@ def labour_cleaned(spark, sf_dir):
     return kept.select("labour_id", "name", "employee", "total_hours")
 
 
+_EXCLUDED = ("Supplier#000000001", "Supplier#000000003")
+
+
+@register("labour_rejected", "P3,K4", oracle=lambda: ctes("labour") + f"""
+SELECT labour_id, employee, 'excluded_employee' AS reason FROM fx_labour_raw WHERE employee IN {_EXCLUDED}""")
+def labour_rejected(spark, sf_dir):
+    """P3 with an exclusion list: what it turns away, with the reason."""
+    rows, _ = PF.labour_hours(spark, sf_dir)
+    return J.filter_labour(rows, excluded=_EXCLUDED)[1].select("labour_id", "employee", "reason")
+
+
 @register("jobs_with_hours", "J6,A3,D2", bench=True, oracle=lambda: ctes("jobs", "labour") + """
 SELECT j.name, j.short_url, h.labour_hours, h.n_site_staff, h.n_labour_records
 FROM fx_jobs j LEFT JOIN fx_job_hours h ON h.name = j.name""")
@@ -80,12 +91,21 @@ def hours_per_employee(spark, sf_dir):
     return hours_per_person(J.filter_labour(rows)[0])
 
 
-@register("attachment_classes", "F11,F12", oracle=lambda: ctes("groups") + """
-SELECT name, url,
-       CASE WHEN host = 'trello.com' AND split_part(path, '/', 2) = 'c' THEN 'linked_cards'
-            WHEN host = 'docs.google.com' THEN 'documents'
-            ELSE 'other_links' END AS kind
-FROM fx_att2""")
+@register("attachment_classes", "F11,F12", oracle=lambda: ctes("groups") + r"""
+SELECT name, url, kind FROM (
+  SELECT name, url, CASE
+    WHEN host = 'trello.com' THEN CASE
+      WHEN regexp_matches(path, '(\.jpg|\.jpeg|\.JPG|\.png|\.PNG|\.HEIC|\.heic)$') THEN 'pictures'
+      WHEN regexp_matches(path, '(\.pdf|\.PDF|\.doc|\.docx|\.xls|\.xlsx)$') THEN 'documents'
+      WHEN regexp_matches(path, '(\.zip|\.rar)$') THEN 'archives'
+      WHEN regexp_matches(path, '(\.eml|\.html)$') THEN 'emails'
+      WHEN path LIKE '%noname' THEN NULL
+      WHEN regexp_matches(path, '(\.mp4|\.mov|\.gif)$') THEN 'videos'
+      WHEN split_part(path, '/', 2) = 'c' THEN 'linked_cards' ELSE 'other_links' END
+    WHEN url LIKE '%?usp=drive_link' THEN NULL
+    WHEN host = 'drive.google.com' THEN 'drive_folder' WHEN host = 'docs.google.com' THEN 'documents'
+    WHEN host = 'mail.google.com' THEN 'emails' WHEN host = 'go.xero.com' THEN 'financials' ELSE 'other_links' END AS kind
+  FROM fx_att2) WHERE kind IS NOT NULL""")
 def attachment_classes(spark, sf_dir):
     j, _ = PF.jobs_table(spark, sf_dir)
     return J.attachment_links(j).select("name", "url", "kind")

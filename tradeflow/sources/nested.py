@@ -58,8 +58,8 @@ def board_cards(boards: DataFrame) -> DataFrame:
     attachment URLs as arrays, and the card position as a stable order."""
     cards = boards.select(F.col("name").alias("board_name"), F.col("id").alias("board_id"), "lists",
                           F.posexplode("cards").alias("card_pos", "c"))
-    list_name = F.element_at(F.filter("lists", lambda l: (l["id"] == F.col("c.idList"))
-                                      & ~F.coalesce(l["closed"], F.lit(False))), 1)["name"]
+    list_name = F.try_element_at(F.filter("lists", lambda l: (l["id"] == F.col("c.idList"))
+                                      & ~F.coalesce(l["closed"], F.lit(False))), F.lit(1))["name"]
     return cards.select("board_name", "board_id", "card_pos", "c.id", "c.name", "c.shortLink", "c.idList",
                         list_name.alias("list_name"),
                         F.transform("c.labels", lambda x: x["name"]).alias("labels"),
@@ -74,10 +74,10 @@ def custom_field_values(boards: DataFrame) -> DataFrame:
     lookup on the row, no join, so documents never pair with each other)."""
     items = (boards.select("customFields", F.explode("cards").alias("c"))
              .select("customFields", F.col("c.id").alias("card_id"), F.explode("c.customFieldItems").alias("i")))
-    fdef = F.element_at(F.filter("customFields", lambda f: f["id"] == F.col("i.idCustomField")), 1)
+    fdef = F.try_element_at(F.filter("customFields", lambda f: f["id"] == F.col("i.idCustomField")), F.lit(1))
     j = items.select("card_id", F.col("i.idValue").alias("idValue"), F.col("i.value").alias("value"),
                      fdef["name"].alias("field"), fdef["type"].alias("type"), fdef["options"].alias("options"))
-    opt_text = F.element_at(F.filter("options", lambda o: o["id"] == F.col("idValue")), 1)["value"]["text"]
+    opt_text = F.try_element_at(F.filter("options", lambda o: o["id"] == F.col("idValue")), F.lit(1))["value"]["text"]
     # an item with a value takes it by type; only an item without one looks up its option
     val = (F.when(F.col("value").isNotNull(),
                   F.when(F.col("type") == "checkbox", F.col("value.checked"))
