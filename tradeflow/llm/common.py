@@ -61,6 +61,8 @@ def running(df: DataFrame, group: list[str], block: str, order: list[Column], me
         if group else Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*group, block, *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
                                       for n in measures])
+    # dealt by the block too: an earlier exchange by the group alone would leave a large group in one task
+    df = df.repartition(*group, block)
     inner = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumns({f"_i_{n}": F.coalesce(F.sum(m).over(inner), F.lit(0)) for n, m in measures.items()})
     joined = rows.join(per, [*group, block])
