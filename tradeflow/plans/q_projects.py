@@ -340,3 +340,16 @@ def _ledger_sides(spark, sf_dir):
     from tradeflow.plans.fixtures import tables
     t = tables(spark, sf_dir)
     return drop_exact_duplicates(spark.sql(_LEDGER, lineitem=t["lineitem"], orders=t["orders"]))
+
+
+@register("projects_formatted", "R8,A14", oracle=lambda: ctes("rollup") + """
+SELECT p.*, s.statuses FROM fx_projects p LEFT JOIN (
+  SELECT m.project, list_sort(list(DISTINCT j.status)) AS statuses
+  FROM fx_members m JOIN fx_jobs j ON j.name = m.name WHERE j.status IS NOT NULL GROUP BY m.project) s ON s.project = p.project
+ORDER BY s.statuses""")
+def projects_formatted(spark, sf_dir):
+    """The projects with their statuses, ordered by them (as many elements as there are states of a card)."""
+    j, m = _members(spark, sf_dir)
+    statuses = (m.select("project", "name").join(j.select("name", "status"), "name").filter("status IS NOT NULL")
+                .groupBy("project").agg(F.array_sort(F.collect_set("status")).alias("statuses")))
+    return PF.projects(spark, sf_dir).join(statuses, "project", "left").orderBy("statuses")
