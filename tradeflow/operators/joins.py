@@ -141,3 +141,12 @@ def rate_lookup(rates_wide: DataFrame, work: DataFrame, *, code_col: str = "look
     j = work.join(first, (work[work_code] == first[code_col]) & (work[who_col] == first[who_col]), "left") \
         .drop(first[who_col]).drop(code_col)
     return j.filter(F.col("rate").isNotNull()), j.filter(F.col("rate").isNull())
+
+
+def union_tagged(tables: dict[str, DataFrame], tag: str) -> DataFrame:
+    """Tables of differing columns in one, each row tagged with its table's name (missing columns null)."""
+    out = None
+    for name, df in tables.items():
+        part = df.withColumn(tag, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

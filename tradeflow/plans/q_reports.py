@@ -191,7 +191,7 @@ def top5_quotes(spark, sf_dir):
     return R.top_k(h, 5, F.col("quote_no").desc())
 
 
-@register("cards_union_boards", "U2,U3,U4,F15", oracle=lambda: _duck_cards() + """
+@register("cards_union_boards", "U2,F15", oracle=lambda: _duck_cards() + """
 SELECT short_url, card_title, board_name, 'https://www.trello.com/c/' || short_url AS card_url, NULL AS note
 FROM cards WHERE board_name = 'Current Jobs'
 UNION ALL
@@ -224,3 +224,35 @@ def events_pivot(spark, sf_dir):
     out = pivot_fields(e, key="user_id", field="event_type", value="value",
                        fields=["click", "error", "purchase", "signup", "view"], agg="sum")
     return out.select("user_id", *[F.round(c, 6).alias(c) for c in ["click", "error", "purchase", "signup", "view"]])
+
+
+@register("cost_rows_tagged", "U3", oracle=lambda: """
+SELECT 'Labour' AS cost_type, 'P' || CAST(l_partkey AS VARCHAR) AS code, l_quantity AS hours, NULL AS total
+FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT 'Supplier', 'P' || CAST(l_partkey AS VARCHAR), NULL, floor(l_extendedprice) FROM lineitem WHERE l_returnflag <> 'R'""")
+def cost_rows_tagged(spark, sf_dir):
+    """Labour and supplier rows of differing columns in one table, tagged by their kind."""
+    from tradeflow.operators.joins import union_tagged
+    li = tables(spark, sf_dir)["lineitem"].withColumn("code", F.concat(F.lit("P"), F.col("l_partkey").cast("string")))
+    labour = li.filter("l_returnflag = 'R'").select("code", F.col("l_quantity").alias("hours"))
+    supplier = li.filter("l_returnflag <> 'R'").select("code", F.floor("l_extendedprice").cast("double").alias("total"))
+    return union_tagged({"Labour": labour, "Supplier": supplier}, "cost_type").select("cost_type", "code", "hours", "total")
+
+
+@register("dash_jobs_by_board_status", "A17", oracle=lambda: _duck_cards() + """
+SELECT board_name, status, count(*) AS n FROM cards GROUP BY board_name, status""")
+def dash_jobs_by_board_status(spark, sf_dir):
+    return _cards(spark, sf_dir).groupBy("board_name", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("dash_quote_points", "A17", oracle=lambda: ctes("mapping") + """
+SELECT j.name, j.latitude, j.longitude, round(sum(m.quote_value), 2) AS quote_value
+FROM fx_jobs j JOIN fx_mapping m ON m.job_name = j.name WHERE m.match_type <> 'no_match'
+GROUP BY j.name, j.latitude, j.longitude""")
+def dash_quote_points(spark, sf_dir):
+    """Quote value of each job at its place on the map."""
+    jobs, _ = PF.jobs_table(spark, sf_dir)
+    m = PF.mapping_table(spark, sf_dir, jobs).filter("match_type <> 'no_match'").select(
+        F.col("job_name").alias("name"), "quote_value")
+    return jobs.join(m, "name").groupBy("name", "latitude", "longitude").agg(
+        F.round(F.sum("quote_value"), 2).alias("quote_value"))

@@ -105,7 +105,7 @@ def epoch_text(spark, sf_dir):
                     X.datetime_to_text("ts").alias("ts_text"))
 
 
-@register("template_vars", "F14,R13", oracle=lambda: r"""
+@register("template_vars", "F14", oracle=lambda: r"""
 SELECT event_id, regexp_extract_all('SELECT * FROM t WHERE a = {{ ' || event_type || ' }} AND b > {{since}}',
                                     '\{\{\s*(\w+)\s*\}\}', 1) AS variables
 FROM events""")
