@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tradeflow.llm.common import map_batches, utf8, written
 
-LENGTH, GRAM, CHUNK, BUCKET_BYTES, CROWD = 400, 64, 1 << 20, 4 << 20, 20_000
+LENGTH, GRAM, CHUNK, BUCKET_BYTES, CROWD = 400, 64, 1 << 20, 1 << 20, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -150,30 +150,35 @@ def suffix_classes(data, length: int):
     have equal classes and stand in the order of their positions."""
     import numpy as np
     n = len(data)
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
-    depth = min(8, length)
+    bits = max(1, n.bit_length())
+    depth = min(5, length)
+    padded = np.concatenate((data, np.zeros(depth, dtype=np.uint8))).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
     for j in range(depth):
         key = (key << np.uint64(8)) | padded[j:j + n]
-    order = np.argsort(key, kind="stable")
-    rank = _ranks(key, order)
+    order, rank = _ranked(key, 8 * depth, bits)
     while depth < length:
         step = min(depth, length - depth)
-        ahead = np.full(n, 0, dtype=np.int64)
-        ahead[:n - step] = rank[step:] + 1
-        key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key, order)
+        ahead = np.zeros(n, dtype=np.uint64)
+        ahead[:n - step] = rank[step:] + np.uint64(1)
+        order, rank = _ranked((rank << np.uint64(bits)) | ahead, 2 * bits, bits)
         depth += step
     return order, rank
 
 
-def _ranks(key, order):
+def _ranked(key, key_bits: int, bits: int):
+    """(order, rank) of ``key``; ties by position. Key and position are sorted as one number where they fit."""
     import numpy as np
-    new = np.concatenate(([0], (key[order][1:] != key[order][:-1]).astype(np.int64)))
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
+    if key_bits + bits <= 64:
+        both = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+        order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        sorted_ = both >> np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+    rank = np.empty(len(key), dtype=np.uint64)
+    rank[order] = np.cumsum(np.concatenate(([False], sorted_[1:] != sorted_[:-1])))
+    return order, rank
 
 
 def repeated_windows(strings: list[bytes], counts: list[int], length: int, keep_first: bool):
@@ -220,6 +225,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                 "k1 long, k2 long, anchor long, start long, n long, whole long"), "runs")
     many = (found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
             .filter("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")))
+    many = written(many, "anchors")  # as a table of its own, the join can split a hot anchor
     shared = written(found.join(many, "anchor"), "shared")
     # one run of each (anchor, bytes), the first in corpus order, stands for all
     first = F.min(F.struct("k1", "k2", "start", "n")).alias("r")
