@@ -335,6 +335,35 @@ def test_decontamination_verbatim_reparameterised_and_clean(spark, local_windows
     assert decontaminate.contaminated(docs(spark, rows), items.limit(0), local_windows=local_windows).count() == 0
 
 
+@pytest.mark.parametrize("local_windows", [0, 1_000_000])
+def test_decontamination_in_any_case_and_line_length(spark, local_windows):
+    r = random.Random(13)
+    item = ("Near the old Straße mill Alice Brown counts 12 sacks of flour and then Peter Stone weighs 40 kg of wheat "
+            "before Maria carries 7 baskets home.")
+    other = item.replace("12", "15").replace("40", "55").replace("7", "9")
+    uneven = "Cover 5 of the plates with cloth and 5 of the bowls with paper and 5 of the cups with foil."
+    forms = [item, item.upper(), item.lower(), item.title(), item.replace(" ", "\n"), "\n".join(item.upper().split(" ")), other.upper(),
+             other.title()]
+    forms += [item.replace(f" {w}", f"\n{w}") for w in ("Alice", "Peter", "kg", "Maria")]
+    items = spark.createDataFrame([(1, item), (2, uneven)], "item_id long, text string")
+    rows = [(k, f"{prose(r, 30)} {t} {prose(r, 10)}") for k, t in enumerate(forms)]
+    rows += [(100, prose(r, 300).upper()), (101, item.upper()[:60]), (102, uneven.replace("5 of the bowls", "8 of the bowls").upper())]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.contaminated(docs(spark, rows), items, local_windows=local_windows).collect()}
+    assert {d for d, i in got if i == 1} == set(range(len(forms)))
+    assert {d for d, i in got if d >= 100} == set()
+    assert all(got[k, 1].verbatim == (k not in (6, 7)) for k in range(len(forms)))
+    assert got[1, 1].cover == 1
+
+
+def test_template_of_mixed_signs():
+    tokens, slots = decontaminate.template("Go! So 1,200.5 KM by Ann-Lee O'Neil. Then 3. a x9 McD's A")
+    assert tokens == ["go", "so", "\1", "\2", "by", "\3", "o", "\3", "then", "\1", "a", "x", "\1", "\3", "s", "a"]
+    assert list(slots.values()) == ["1200.5", "km", "ann-lee", "neil", "3", "9", "mcd"]
+    assert decontaminate.plain(tokens, slots) == (
+        ["go", "so", "\1", "\2", "by", "ann", "lee", "o", "neil", "then", "\1", "\2", "x", "\1", "mcd", "s", "a"],
+        {2: "1200.5", 3: "km", 10: "3", 11: "a", 13: "9"})
+
+
 def test_windows_of_a_text_are_those_of_a_plain_loop():
     from xxhash import xxh3_64_intdigest
     r = random.Random(5)

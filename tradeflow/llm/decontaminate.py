@@ -7,13 +7,21 @@ capitalised words that does not start a sentence. Windows of ``width`` tokens
 of the templates are joined on their hash; a window needs ``MIN_LITERALS``
 literal words, so that runs of placeholders link nothing.
 
+Each text is read twice: typed as above, and plain, where names stay literal
+words, letters are case-folded and a word of ``UNITS`` after a number is a unit
+whatever stands between. Capitals and line breaks change nothing in the plain
+reading, so copies in upper, lower or title case and rewrapped ones are found
+by it; a pair counts if either reading covers it. Windows meet only windows of
+the same reading.
+
 A hit aligns a document position with an item position. Per document, item
 and alignment (document minus item position) the slot values must be
 consistent: each item value has one document value. A passage with other numbers throughout is a re-parameterised question; one that
 maps the same value to different values is only a similar form, and that
 alignment does not count. A document is contaminated by an item when
-consistent alignments cover at least ``min_cover`` of the item's windows
-(items shorter than a window: the whole item is the window).
+consistent alignments of one reading cover at least ``min_cover`` of the item's
+windows (items shorter than a window: the whole item is the window); the row
+reports the reading that covers more.
 
 Join: benchmark windows are sent to the tasks when there are at most
 ``LOCAL_WINDOWS`` of them (checked by a count); documents then emit only hits.
@@ -37,6 +45,7 @@ from pyspark.sql import functions as F
 from tradeflow.llm.common import map_batches, utf8, written
 
 WIDTH, MIN_COVER, MIN_LITERALS, LOCAL_WINDOWS = 5, 0.8, 2, 2_000_000
+TYPED, PLAIN = 0, 1  # the readings
 UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres
 kilometer kilometers kilometre kilometres centimeter centimeters mg g kg lb lbs oz gram grams kilogram kilograms
 pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds
@@ -46,11 +55,12 @@ cents euro euros usd eur gbp hz khz mhz ghz w kw mw v kv a j kj n pa kpa mol k c
 _UPPER = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"  # capitals of the Latin-1, Greek and Cyrillic alphabets
 _LETTER = r"[^\W\d_]"
 _NUMBER, _UNIT, _NAME = "\x01", "\x02", "\x03"
+# the first character tells the alternatives apart, so the search skips to it
 _SPECIAL = re.compile(
-    rf"(?P<start>[.!?\n][^\w]*{_LETTER}+)"
-    rf"|(?P<number>\d[\d,]*(?:\.\d+)?)(?:[^\w.!?\n]*(?P<unit>(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))"
+    rf"[.!?\n\d{_UPPER[1:-1]}](?:(?<=[.!?\n])(?P<start>[^\w]*{_LETTER}+)"
+    rf"|(?<=\d)(?P<number>[\d,]*(?:\.\d+)?)(?:[^\w.!?\n]*(?P<unit>(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))"
     rf"(?!{_LETTER}))?"
-    rf"|(?<!{_LETTER})(?P<name>{_UPPER}{_LETTER}+(?:[ '-]{_UPPER}{_LETTER}+)*)")
+    rf"|(?<!{_LETTER}.)(?<={_UPPER})(?P<name>{_LETTER}+(?:[ '-]{_UPPER}{_LETTER}+)*))", re.DOTALL)
 _TOKEN = re.compile(rf"[\x01\x02\x03]|{_LETTER}+")
 _CONTROL = re.compile(r"[\x01\x02\x03]")
 
@@ -62,14 +72,14 @@ def template(text: str | None) -> tuple[list[str], dict[int, str]]:
     def place(m: re.Match) -> str:
         if m.lastgroup == "start":
             return m[0]
-        if m["number"]:
-            values.append(m["number"].replace(",", "").rstrip("."))
-            if m["unit"]:
-                values.append(m["unit"].lower())
-                return f" {_NUMBER} {_UNIT} "
-            return f" {_NUMBER} "
-        values.append(m["name"].lower())
-        return f" {_NAME} "
+        if m.lastgroup == "name":
+            values.append(m[0].lower())
+            return f" {_NAME} "
+        values.append((m[0][0] + m["number"]).replace(",", "").rstrip("."))
+        if m["unit"]:
+            values.append(m["unit"].lower())
+            return f" {_NUMBER} {_UNIT} "
+        return f" {_NUMBER} "
 
     text = "\n" + (text or "")
     if _CONTROL.search(text):
@@ -78,22 +88,51 @@ def template(text: str | None) -> tuple[list[str], dict[int, str]]:
     return tokens, (dict(zip((k for k, t in enumerate(tokens) if t <= _NAME), values)) if values else {})
 
 
+def plain(tokens: list[str], slots: dict[int, str]) -> tuple[list[str], dict[int, str]]:
+    """The plain reading of a text from its template: names as words, folded letters, units after any number."""
+    out, kept, after = [], {}, 0
+    for k, value in slots.items():  # in the order of their positions
+        out += tokens[after:k]
+        after = k + 1
+        if tokens[k] == _NAME:
+            out += _TOKEN.findall(value)
+        else:
+            kept[len(out)] = value
+            out.append(tokens[k])
+    out += tokens[after:]
+    joined = " ".join(out)
+    if not joined.isascii():
+        out = joined.casefold().split(" ")
+    for k in [k for k, _ in kept.items() if out[k] == _NUMBER and k + 1 < len(out) and out[k + 1] in UNITS]:
+        kept[k + 1], out[k + 1] = out[k + 1], _UNIT
+    return out, kept
+
+
 def _signed(x: int) -> int:
     return (x ^ (1 << 63)) - (1 << 63)
 
 
 def _scan(text: str | None, widths: list[int], only: dict | None):
-    """``(position, width, hash, slots)`` of a text's windows with enough literals. ``only``: the words and
-    hashes to look for; a window with any other word is not hashed."""
+    """``(position, width, hash, slots)`` of the windows of a text's template with enough literals."""
+    return _windows(*template(text), widths, only, TYPED)
+
+
+def _readings(text: str | None):
+    typed = template(text)
+    return (TYPED, *typed), (PLAIN, *plain(*typed))
+
+
+def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only: dict | None, reading: int):
+    """Windows of one reading, which seeds their hashes. ``only``: the words and hashes to look for; a window with
+    any other word is not hashed."""
     from bisect import bisect_left
     from itertools import accumulate
 
     import numpy as np
     from xxhash import xxh3_64_intdigest
-    tokens, slots = template(text)
     if only is not None:
-        words = only["words"]
-        known = np.concatenate(([0], np.cumsum(np.fromiter((t in words for t in tokens), np.int64, len(tokens)))))
+        known = np.fromiter(map(only["words"].__contains__, tokens), np.int64, len(tokens))
+        known = np.concatenate(([0], np.cumsum(known)))
     starts = joined = None
     held = sorted(slots)
     for w in widths:
@@ -105,7 +144,7 @@ def _scan(text: str | None, widths: list[int], only: dict | None):
             joined = b" ".join(parts)
             starts = [0, *accumulate(len(p) + 1 for p in parts)]
         for k in at:
-            h = xxh3_64_intdigest(joined[starts[k]:starts[k + w] - 1])
+            h = xxh3_64_intdigest(joined[starts[k]:starts[k + w] - 1], reading)
             if only is None or h in only["hashes"]:
                 inside = held[bisect_left(held, k):bisect_left(held, k + w)]
                 if w - len(inside) >= min(MIN_LITERALS, w):
@@ -113,40 +152,44 @@ def _scan(text: str | None, widths: list[int], only: dict | None):
 
 
 def _hits(docs: DataFrame, widths: list[int], only: dict | None) -> DataFrame:
-    """Windows of documents ``(id, text)`` in each of ``widths``."""
+    """Windows of documents ``(id, text)`` in each of ``widths``, of both readings."""
     def found(batches):
         for b in batches:
             rows = [(i, k, w, _signed(h), s) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist())
-                    for k, w, h, s in _scan(t, widths, only)]
+                    for reading, tokens, slots in _readings(t)
+                    for k, w, h, s in _windows(tokens, slots, widths, only, reading)]
             yield {n: [r[c] for r in rows] for c, n in enumerate(("id", "pos", "width", "hash", "slots"))}
 
     return map_batches(docs, found, "id long, pos long, width int, hash long, slots array<string>")
 
 
 def item_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, at, width, hash, values)``; an item shorter than ``width`` is one window."""
+    """``(item, reading, at, width, hash, values)``; an item shorter than ``width`` is one window."""
     def found(batches):
         for b in batches:
             rows = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist()):
+                for reading, tokens, slots in _readings(t):
+                    w = min(width, len(tokens))
+                    rows += [(i, reading, k, w, _signed(h), s) for k, w, h, s in _windows(tokens, slots, [w], None, reading)]
+                # within a sentence of a document, a capitalised first word reads as a name
                 n = len(template(t)[0])
                 w = min(width, n)
-                rows += [(i, k, w, _signed(h), s) for k, w, h, s in _scan(t, [w], None)]
-                # within a sentence of a document, a capitalised first word reads as a name
                 inner = f"a {t}"
                 if len(template(inner)[0]) == n + 1:
-                    rows += [(i, k - 1, w, _signed(h), s) for k, w, h, s in _scan(inner, [w], None) if k == 1]
-            yield {n: [r[c] for r in rows] for c, n in enumerate(("item", "at", "width", "hash", "values"))}
+                    rows += [(i, TYPED, k - 1, w, _signed(h), s) for k, w, h, s in _scan(inner, [w], None) if k == 1]
+            yield {n: [r[c] for r in rows] for c, n in enumerate(("item", "reading", "at", "width", "hash", "values"))}
 
     own = items.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return map_batches(own, found, "item long, at long, width int, hash long, values array<string>").distinct()
+    schema = "item long, reading int, at long, width int, hash long, values array<string>"
+    return map_batches(own, found, schema).distinct()
 
 
 def _words(items: DataFrame, text_col: str) -> set[str]:
-    """The template tokens of the items."""
+    """The tokens of the items in both readings."""
     def found(batches):
         for b in batches:
-            yield {"word": list({_NAME, *(w for t in b["text"].to_pylist() for w in template(t)[0])})}
+            yield {"word": list({_NAME, *(w for t in b["text"].to_pylist() for r in _readings(t) for w in r[1])})}
 
     own = items.select(utf8(text_col).alias("text"))
     return {r.word for r in map_batches(own, found, "word string").distinct().collect()}
@@ -167,17 +210,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         only = {"hashes": {r.hash & (2 ** 64 - 1) for r in keys.collect()}, "words": _words(items, item_text)}
     hits = _hits(own, widths, only).join(F.broadcast(bench) if fits else bench, ["hash", "width"])
     hits = written(hits.withColumn("shift", F.col("pos") - F.col("at")), "hits")  # two branches read them
-    pair = ["id", "item", "shift"]
+    pair = ["id", "item", "reading", "shift"]
     slot = hits.select(*pair, F.explode(F.arrays_zip("values", "slots")).alias("s")).select(*pair, "s.*").distinct()
     # an item value with two values in the document breaks its alignment
     broken = (slot.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("values").alias("v"),
                                       F.max(F.col("values") != F.col("slots")).alias("other")))
     sound = (hits.select(*pair, "at").distinct()
              .join(broken, pair, "left").filter(F.coalesce(F.col("n") == F.col("v"), F.lit(True))))
-    total = bench.groupBy("item").agg(F.count_distinct("at").alias("n_windows"))
-    return (sound.groupBy("id", "item").agg(F.count_distinct("at").alias("covered"),
-                                            F.max(F.coalesce("other", F.lit(False))).alias("other"))
-            .join(total, "item").filter(F.col("covered") >= F.lit(min_cover) * F.col("n_windows"))
-            .select(F.col("id").alias(id_col), F.col("item").alias("item_id"),
-                    (F.col("covered") / F.col("n_windows")).alias("cover"), "n_windows",
-                    (~F.col("other")).alias("verbatim")))
+    total = bench.groupBy("item", "reading").agg(F.count_distinct("at").alias("n_windows"))
+    covered = (sound.groupBy("id", "item", "reading").agg(F.count_distinct("at").alias("covered"),
+                                                          F.max(F.coalesce("other", F.lit(False))).alias("other"))
+               .join(total, ["item", "reading"]).filter(F.col("covered") >= F.lit(min_cover) * F.col("n_windows")))
+    # a pair that both readings cover: the one that covers more, the typed one of equals
+    best = F.max(F.struct((F.col("covered") / F.col("n_windows")).alias("cover"), -F.col("reading"), "n_windows", "other"))
+    return (covered.groupBy("id", "item").agg(best.alias("best"))
+            .select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "best.cover", "best.n_windows",
+                    (~F.col("best.other")).alias("verbatim")))
