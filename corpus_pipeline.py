@@ -61,7 +61,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other parameters, go."""
-    found = decontaminate.contaminated(_own(docs), read(spark, sf_dir, "benchmark"), id_col=KEY)
+    found = decontaminate.contaminated(_own(docs), read(spark, sf_dir, "benchmark"), id_col=KEY, exact_windows=True)
     return _without(docs, written(found.select(KEY).distinct(), "contaminated"))
 
 

@@ -355,6 +355,27 @@ def test_decontamination_in_any_case_and_line_length(spark, local_windows):
     assert got[1, 1].cover == 1
 
 
+@pytest.mark.parametrize("local_windows", [0, 1_000_000])
+def test_decontamination_of_items_without_words(spark, monkeypatch, local_windows):
+    r = random.Random(17)
+    sums = "12 13 14 15 16 17 18 19"
+    units = "5 km 7 kg 9 lb 11 oz 13 ft"
+    people = "Ada Byron, Alan Turing, Grace Hopper, Emmy Noether"
+    half = "Add the even numbers below here: 2 4 6 8 10 12 14 16 18 20 22 24"
+    listed = [(1, sums), (2, units), (3, people), (4, half), (5, "41 42 43"), (6, "")]
+    items = spark.createDataFrame(listed, "item_id long, text string")
+    rows = [(10 + i, f"{prose(r, 20)} {t} {prose(r, 9)}") for i, t in listed[:5]]
+    rows += [(30, " ".join(str(r.randrange(100, 999)) for _ in range(300))), (31, units.replace("7", "8")), (32, people.upper()),
+             (33, "Grace Hopper, Ada Byron, Emmy Noether, Alan Turing"), (34, " ".join(sums.split()[::-1])), (35, "41 44 43"),
+             (37, "Add the even numbers " * 3), (38, units.upper())]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.contaminated(
+        docs(spark, rows), items, local_windows=local_windows, exact_windows=True).collect()}
+    assert set(got) == {(11, 1), (12, 2), (13, 3), (14, 4), (15, 5), (32, 3), (38, 2)}
+    assert all(x.verbatim for x in got.values())
+    monkeypatch.setattr(queries, "read", lambda s, d, t: docs(spark, rows) if t == "documents" else items)
+    assert {(x.doc_id, x.item_id) for x in queries.op10_decontaminate(spark, "").collect()} == set(got)
+
+
 def test_template_of_mixed_signs():
     tokens, slots = decontaminate.template("Go! So 1,200.5 KM by Ann-Lee O'Neil. Then 3. a x9 McD's A")
     assert tokens == ["go", "so", "\1", "\2", "by", "\3", "o", "\3", "then", "\1", "a", "x", "\1", "\3", "s", "a"]

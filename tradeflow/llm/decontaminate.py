@@ -14,6 +14,11 @@ reading, so copies in upper, lower or title case and rewrapped ones are found
 by it; a pair counts if either reading covers it. Windows meet only windows of
 the same reading.
 
+With ``exact_windows`` the plain windows of fewer literal words are kept too:
+their hash holds their slot values, so that they link equal values only. Items
+that have such windows get a third reading of all plain windows, which finds
+verbatim copies of items made mainly of numbers and units.
+
 A hit aligns a document position with an item position. Per document, item
 and alignment (document minus item position) the slot values must be
 consistent: each item value has one document value. A passage with other numbers throughout is a re-parameterised question; one that
@@ -29,7 +34,8 @@ Beyond that the windows of both sides are shuffled and joined. Both ways give
 the same rows.
 
 Defined results: null texts are empty and contaminate nothing; items without
-any window of enough literals are skipped. Repeated document rows with one id
+any window of enough literals are skipped unless ``exact_windows`` is set, then
+only items without any token are. Repeated document rows with one id
 count as one document. Rows with a null id are not reported and never removed.
 Equal items are reported each. Empty tables give an empty result. Other
 columns are not read.
@@ -45,7 +51,7 @@ from pyspark.sql import functions as F
 from tradeflow.llm.common import map_batches, utf8, written
 
 WIDTH, MIN_COVER, MIN_LITERALS, LOCAL_WINDOWS = 5, 0.8, 2, 2_000_000
-TYPED, PLAIN = 0, 1  # the readings
+TYPED, PLAIN, EXACT = 0, 1, 2  # the readings
 UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres
 kilometer kilometers kilometre kilometres centimeter centimeters mg g kg lb lbs oz gram grams kilogram kilograms
 pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds
@@ -122,9 +128,15 @@ def _readings(text: str | None):
     return (TYPED, *typed), (PLAIN, *plain(*typed))
 
 
-def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only: dict | None, reading: int):
+def _sparse(tokens: list[str], slots: dict[int, str], widths: list[int], only: dict | None):
+    """The windows of the plain reading without enough literals."""
+    return _windows(tokens, slots, widths, only, EXACT, sparse=True) if slots else ()
+
+
+def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only: dict | None, reading: int,
+             sparse: bool = False):
     """Windows of one reading, which seeds their hashes. ``only``: the words and hashes to look for; a window with
-    any other word is not hashed."""
+    any other word is not hashed. ``sparse``: the windows without enough literals instead, hashed with their values."""
     from bisect import bisect_left
     from itertools import accumulate
 
@@ -144,6 +156,15 @@ def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only:
             joined = b" ".join(parts)
             starts = [0, *accumulate(len(p) + 1 for p in parts)]
         for k in at:
+            if sparse:
+                inside = held[bisect_left(held, k):bisect_left(held, k + w)]
+                if w - len(inside) < min(MIN_LITERALS, w):
+                    values = [slots[j] for j in inside]
+                    exact = [joined[starts[k]:starts[k + w] - 1], *(v.encode("utf-8", "surrogatepass") for v in values)]
+                    h = xxh3_64_intdigest(b"\0".join(exact), reading)
+                    if only is None or h in only["hashes"]:
+                        yield k, w, h, values
+                continue
             h = xxh3_64_intdigest(joined[starts[k]:starts[k + w] - 1], reading)
             if only is None or h in only["hashes"]:
                 inside = held[bisect_left(held, k):bisect_left(held, k + w)]
@@ -151,27 +172,35 @@ def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only:
                     yield k, w, h, [slots[j] for j in inside]
 
 
-def _hits(docs: DataFrame, widths: list[int], only: dict | None) -> DataFrame:
-    """Windows of documents ``(id, text)`` in each of ``widths``, of both readings."""
+def _hits(docs: DataFrame, widths: list[int], only: dict | None, exact: bool) -> DataFrame:
+    """Windows of documents ``(id, text)`` in each of ``widths``, of both readings; ``exact``: the sparse ones too."""
     def found(batches):
         for b in batches:
             rows = [(i, k, w, _signed(h), s) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist())
                     for reading, tokens, slots in _readings(t)
-                    for k, w, h, s in _windows(tokens, slots, widths, only, reading)]
+                    for part in (_windows(tokens, slots, widths, only, reading),
+                                 _sparse(tokens, slots, widths, only) if exact and reading == PLAIN else ())
+                    for k, w, h, s in part]
             yield {n: [r[c] for r in rows] for c, n in enumerate(("id", "pos", "width", "hash", "slots"))}
 
     return map_batches(docs, found, "id long, pos long, width int, hash long, slots array<string>")
 
 
-def item_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, reading, at, width, hash, values)``; an item shorter than ``width`` is one window."""
+def item_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text",
+                 exact: bool = False) -> DataFrame:
+    """``(item, reading, at, width, hash, values)``; an item shorter than ``width`` is one window. ``exact``: a third
+    reading of the plain windows and the sparse ones, for items that have any of these."""
     def found(batches):
         for b in batches:
             rows = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist()):
                 for reading, tokens, slots in _readings(t):
                     w = min(width, len(tokens))
-                    rows += [(i, reading, k, w, _signed(h), s) for k, w, h, s in _windows(tokens, slots, [w], None, reading)]
+                    full = [(k, w, _signed(h), s) for k, w, h, s in _windows(tokens, slots, [w], None, reading)]
+                    rows += [(i, reading, *x) for x in full]
+                    if exact and reading == PLAIN:
+                        sparse = [(k, w, _signed(h), s) for k, w, h, s in _sparse(tokens, slots, [w], None)]
+                        rows += [(i, EXACT, *x) for x in sparse + full if sparse]
                 # within a sentence of a document, a capitalised first word reads as a name
                 n = len(template(t)[0])
                 w = min(width, n)
@@ -197,18 +226,20 @@ def _words(items: DataFrame, text_col: str) -> set[str]:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", width: int = WIDTH,
-                 min_cover: float = MIN_COVER, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
+                 min_cover: float = MIN_COVER, local_windows: int = LOCAL_WINDOWS,
+                 exact_windows: bool = False) -> DataFrame:
     """``(id, item_id, cover, n_windows, verbatim)`` for each contaminated pair; ``verbatim`` is false
-    where a slot has another value than in the item."""
+    where a slot has another value than in the item. ``exact_windows``: windows of too few literals count where
+    their values are equal."""
     own = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).filter(F.col("id").isNotNull())
-    bench = item_windows(items, width, item_id, item_text)
+    bench = item_windows(items, width, item_id, item_text, exact_windows)
     keys = bench.select("hash").distinct()
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # at most ``width`` values
     fits = keys.limit(local_windows + 1).count() <= local_windows
     only = None
     if fits:
         only = {"hashes": {r.hash & (2 ** 64 - 1) for r in keys.collect()}, "words": _words(items, item_text)}
-    hits = _hits(own, widths, only).join(F.broadcast(bench) if fits else bench, ["hash", "width"])
+    hits = _hits(own, widths, only, exact_windows).join(F.broadcast(bench) if fits else bench, ["hash", "width"])
     hits = written(hits.withColumn("shift", F.col("pos") - F.col("at")), "hits")  # two branches read them
     pair = ["id", "item", "reading", "shift"]
     slot = hits.select(*pair, F.explode(F.arrays_zip("values", "slots")).alias("s")).select(*pair, "s.*").distinct()
