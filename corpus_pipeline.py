@@ -6,7 +6,8 @@ returns the columns of documents (the last adds the shard); ``run`` writes
 each stage's rows as Parquet in the shared folder and rereads them.
 
 Rows with a null doc_id go by a key made from their text, so that they are
-judged like any other; rows that share a key (repeated rows) share its fate.
+judged like any other. Rows that share a key share its fate, but for near
+copies, where each of their texts is judged by itself.
 Extra columns of ``docs`` pass through. An empty table gives an empty result.
 
 The first two stages cannot be said in SQL, so there is no ORACLE_SQL; the
@@ -50,12 +51,15 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one of the smallest key; its repeated rows collapse to one."""
-    groups = simhash.near_duplicates(_own(docs), id_col=KEY)
-    kept = written(groups.filter(F.col(KEY) == F.col("component_id")).groupBy(KEY).count(), "kept")
-    keyed = _keyed(docs)
-    once = keyed.join(kept.filter("count = 1"), KEY, "left_semi")
-    again = keyed.join(kept.filter("count > 1"), KEY, "left_semi").dropDuplicates([KEY])
+    """One document of each SimHash component stays, the one of the smallest key and text hash; its repeated rows
+    collapse to one."""
+    both = [KEY, "text_hash"]  # rows of one key may hold unlike texts
+    text_hash = F.xxhash64(utf8("text")).alias("text_hash")
+    groups = simhash.near_duplicates(docs.select(F.struct(_key(), text_hash).alias("of"), "text"), id_col="of")
+    kept = written(groups.filter(F.col("of") == F.col("component_id")).select("of.*").groupBy(both).count(), "kept")
+    keyed = docs.select(_key(), text_hash, F.struct("*").alias("row"))
+    once = keyed.join(kept.filter("count = 1"), both, "left_semi")
+    again = keyed.join(kept.filter("count > 1"), both, "left_semi").dropDuplicates(both)
     return once.unionByName(again).select("row.*")
 
 

@@ -84,6 +84,15 @@ def test_stages_keep_clean_rows_and_their_columns(spark, corpus):
     assert placed.columns.count("shard") == 1 and placed.columns.count("size") == 1
 
 
+def test_near_copies_of_one_id_with_unlike_texts(spark, tmp_path):
+    r = random.Random(19)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (6, a), (3, c), (9, c), (9, d), (None, d)]
+    full = [(i, t, "en", "s", None, "a", 1, "b", 2) for i, t in rows]
+    left = dict(pipeline.STAGES)["near_copies"](spark, spark.createDataFrame(full, SCHEMA), str(tmp_path)).collect()
+    assert Counter(map(key, left)) == Counter({(5, a): 1, (5, b): 1, (3, c): 1, (None, d): 1})
+
+
 def test_run_and_empty_table(spark, corpus, tmp_path):
     assert pipeline.run(spark, corpus).count() > 300
     for t in ("documents", "labels", "benchmark"):
