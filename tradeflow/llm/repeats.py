@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by longest-previous-factor arrays.
+"""Exact removal of repeated byte strings by equal windows in suffix order.
 
 Every text is a string of UTF-8 bytes; a window is a substring of ``length``
 bytes. A window is repeated if an equal one starts anywhere else.
@@ -15,11 +15,9 @@ out of the document, hold them all.
 3. Otherwise each distinct run is fetched once and the runs of an anchor are
    laid side by side in corpus order. Prefix doubling puts all suffixes in
    order to the depth ``length``; suffixes that agree that far stand together,
-   by position. The nearest smaller position before a suffix in that order then
-   shares ``length`` bytes with it or none does, and likewise the next smaller
-   one, so the longest previous factor, cut off at ``length``, tells at once
-   which windows have an earlier copy; the first of each such stretch is the one
-   kept by ``keep_first``.
+   by position, with one rank. A window is repeated if a neighbour has its rank;
+   the first of each such stretch is the one kept by ``keep_first``. Only this
+   equality is computed: no longest-previous-factor array is built.
 4. An anchor with more than ``crowd`` distinct runs (a passage in very many
    contexts) is not laid side by side in one task: its windows are counted by
    their 128-bit hash in a shuffled aggregate instead, with the same outcome.
