@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeflow.llm.common import map_batches, utf8, written
+from tradeflow.llm.common import if_small, map_batches, written
 
 ORDER, MAX_EXAMPLES, MAX_CELLS = 4, 300, 2_000_000
 STEP = 1 << 20  # bytes scored at once
@@ -101,7 +101,7 @@ def examples(docs: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "d
         F.col(lang_col).alias("lang"), "text", F.xxhash64(F.col(id_col).cast("string"), "text").alias("h"))
     rates = labelled.groupBy("lang").agg((F.lit(4.0 * max_examples) / F.count("*")).alias("rate"))
     share = F.pmod("h", F.lit(1 << 32)) / F.lit(float(1 << 32))
-    near = labelled.join(rates, "lang").filter(share < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    near = labelled.join(if_small(rates), "lang").filter(share < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "h")
     return near.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max_examples).select("lang", "text")
 
