@@ -2,13 +2,16 @@
 
 X2 (reference parity) — greedy one-hop groups in card order: a shared job is
 a *seed* unless an earlier seed links to it; a group is a seed plus the jobs
-it links to. Sequential in the reference; here it is decided in rounds:
-each round settles every undecided job without an undecided earlier in-neighbour
-as a seed, and the jobs those seeds link to as members; settled jobs and
-their links leave the state. Rounds = the longest chain of alternating
-seeds among shared jobs. State is checkpointed to the shared checkpoint
-folder, so plans stay one round deep and a lost executor re-reads the last
-written state instead of replaying the loop.
+it links to. Sequential in the reference; here by order-prefix contraction:
+each round takes the longest prefix of the order whose inner links fit one bounded
+task, which scans them in order and so settles the whole prefix; the jobs that
+its seeds link to, the settled jobs and their links leave the state, and
+the next prefix may hold twice as many links, up to a cap. In the same round
+every undecided job without an undecided earlier in-neighbour is settled as a
+seed wherever it stands, so links that hang together only loosely are settled
+in parallel. Rounds: the logarithm of the links until the cap, then at
+most links / cap. State is written to the shared checkpoint folder, so plans
+stay one round deep and a lost executor re-reads it instead of replaying.
 
 X3 (transitive) — connected components by hooking and pointer jumping with
 the same round/checkpoint structure.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeflow.session import cut_lineage
+from tradeflow.session import cut_lineage, scratch_path, written
 
 
 def split_shared(jobs: DataFrame, flag: str = "shared_drains") -> tuple[DataFrame, DataFrame]:
@@ -28,47 +31,97 @@ def split_shared(jobs: DataFrame, flag: str = "shared_drains") -> tuple[DataFram
     return jobs.filter(f), jobs.filter(~f)
 
 
+FIRST_LINKS, MOST_LINKS = 1 << 14, 1 << 19  # inner links of the first prefix, and of the largest
+
+
+def _prefix_end(e: DataFrame, links: int, most: int):
+    """(end, whole): links into an order value below ``end`` are ``most`` at best; ``whole`` if all are. From a sample of
+    bounded size, then counted. (None, False) if no such end is found."""
+    if links <= most:
+        return None, True
+    sample = sorted(r[0] for r in e.select("_do").sample(min(1.0, 20_000 / links), seed=links).collect())
+    at = min(len(sample) - 1, len(sample) * most // links)
+    while at > 0:
+        end = sample[at]
+        if 0 < e.filter(F.col("_do") < F.lit(end)).count() <= most:
+            return end, False
+        at //= 2
+    return None, False
+
+
+def _scan_prefix(inner: DataFrame) -> DataFrame:
+    """The later nodes of a prefix that an earlier seed links to, by one scan of its links in order (one bounded task)."""
+    node_type = inner.schema["_d"].dataType
+
+    def scan(table):
+        import pyarrow as pa
+        lost: set = set()
+        order = table.sort_by([("_do", "ascending")])
+        for s, d in zip(order["_s"].to_pylist(), order["_d"].to_pylist()):
+            if s not in lost:  # every link into s comes before: its end is earlier
+                lost.add(d)
+        return pa.table({"_n": pa.array(list(lost), type=table.schema.field("_d").type)})
+
+    return inner.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(scan, f"_n {node_type.simpleString()}")
+
+
 def greedy_seeds(nodes: DataFrame, edges: DataFrame, *, node: str = "name", order: str = "ord",
-                 src: str = "src", dst: str = "dst") -> DataFrame:
+                 src: str = "src", dst: str = "dst", first_links: int = FIRST_LINKS, most_links: int = MOST_LINKS) -> DataFrame:
     """X2 seeds: ``(node, is_seed)`` for every row of ``nodes`` (the shared jobs).
 
     ``edges`` are directed links src -> dst; only links between two nodes with
     ord(src) < ord(dst) can veto a seed.
     """
+    spark = nodes.sparkSession
     n = nodes.select(F.col(node).alias("_n"), F.col(order).alias("_o"))
     e = (edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
          .join(n.withColumnRenamed("_n", "_s").withColumnRenamed("_o", "_so"), "_s")
          .join(n.withColumnRenamed("_n", "_d").withColumnRenamed("_o", "_do"), "_d")
-         .filter(F.col("_so") < F.col("_do")).select("_s", "_d"))
-    # Every round settles at least the earliest undecided node (its earlier
-    # in-neighbours are all settled), so the loop ends by itself. A seed vetoes
-    # its later neighbours at once, a member vetoes nothing: settled nodes leave
-    # the links, and without links every node left is a seed.
+         .filter(F.col("_so") < F.col("_do")).select("_s", "_d", "_so", "_do"))
+    # A seed vetoes its later neighbours at once, a member vetoes nothing: settled
+    # nodes leave the links, and without links every node left is a seed. Every
+    # round settles at least the sources of the earliest link.
     e = cut_lineage(e)
-    todo, members, rnd = n.select("_n"), [], 0
-    while e.limit(1).count():
-        rnd += 1
-        later = e.select(F.col("_d").alias("_n")).distinct()
-        seeds = todo.join(later, "_n", "left_anti")
-        lost = cut_lineage(e.join(seeds.withColumnRenamed("_n", "_s"), "_s", "left_semi")
-                           .select(F.col("_d").alias("_n")).distinct())
-        members.append(lost)
+    members, rounds, most = scratch_path(spark, "greedy-members"), 0, first_links
+
+    def keep(lost: DataFrame) -> DataFrame:
+        lost = cut_lineage(lost.distinct())
+        lost.write.mode("append").parquet(members)
+        return lost
+
+    def without(e: DataFrame, lost: DataFrame) -> DataFrame:
+        return cut_lineage(e.join(lost.withColumnRenamed("_n", "_s"), "_s", "left_anti")
+                           .join(lost.withColumnRenamed("_n", "_d"), "_d", "left_anti"))
+
+    while links := e.count():
+        rounds += 1
+        end, whole = _prefix_end(e, links, most)
+        if whole:
+            keep(_scan_prefix(e))
+            break
+        most = min(2 * most, most_links)
+        if end is not None:
+            lost = cut_lineage(_scan_prefix(e.filter(F.col("_do") < F.lit(end))))
+            # nodes before the end are settled: those not lost are seeds
+            lost = keep(lost.unionByName(e.filter((F.col("_so") < F.lit(end)) & (F.col("_do") >= F.lit(end)))
+                                         .join(lost.withColumnRenamed("_n", "_s"), "_s", "left_anti").select(F.col("_d").alias("_n"))))
+            e = without(e.filter(F.col("_so") >= F.lit(end)), lost)
         # a source that is no later node is a seed: its links, and those of its members, are done
-        e = cut_lineage(e.join(later.withColumnRenamed("_n", "_s"), "_s", "left_semi")
-                        .join(lost.withColumnRenamed("_n", "_s"), "_s", "left_anti")
-                        .join(lost.withColumnRenamed("_n", "_d"), "_d", "left_anti"))
-        todo = cut_lineage(todo.join(lost, "_n", "left_anti"))
-    greedy_seeds.rounds = rnd
-    state = todo.withColumn("_seed", F.lit(True))
-    for part in members:
-        state = state.unionByName(part.withColumn("_seed", F.lit(False)))
-    return state.select(F.col("_n").alias(node), F.col("_seed").alias("is_seed"))
+        later = e.select(F.col("_d").alias("_s")).distinct()
+        lost = keep(e.join(later, "_s", "left_anti").select(F.col("_d").alias("_n")))
+        e = without(e.join(later, "_s", "left_semi"), lost)
+    greedy_seeds.rounds = rounds
+    if not rounds:
+        return n.select(F.col("_n").alias(node), F.lit(True).alias("is_seed"))
+    lost = spark.read.schema(n.select("_n").schema).parquet(members).distinct().withColumn("_lost", F.lit(True))
+    return n.join(lost, "_n", "left").select(F.col("_n").alias(node), F.col("_lost").isNull().alias("is_seed"))
 
 
 def greedy_groups(shared: DataFrame, all_jobs: DataFrame, edges: DataFrame, *, node: str = "name",
                   order: str = "ord", src: str = "src", dst: str = "dst") -> DataFrame:
     """X2 + X4: bridge rows ``(project, job)``; project = sorted member names
     joined with ' + '. Members = seed ∪ its links that are jobs; equal names collapse."""
+    edges = written(edges.select(src, dst), "links")  # for the seeds, then for their members
     seeds = greedy_seeds(shared, edges, node=node, order=order, src=src, dst=dst) \
         .filter("is_seed").select(F.col(node).alias("_seed"))
     known = all_jobs.select(F.col(node).alias("_m")).distinct()

@@ -7,10 +7,13 @@ sides are left to AQE, which broadcasts one when its measured size is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tradeflow.session import scratch_path
 
 
 def explode_ids_lookup(tasks: DataFrame, people: DataFrame, projects: DataFrame, *,
@@ -87,6 +90,45 @@ def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str], *,
     return j.select(*cols)
 
 
+def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "occurrence") -> DataFrame:
+    """``df`` with the place of each row among the rows of its key, from 0, in the given order (ties in any order among
+    rows equal in it). The rows are dealt by ranges of (key, order) and written, so that a key with a large share
+    of the rows is numbered by many tasks: places within a range, plus the key's rows in the ranges before."""
+    spark = df.sparkSession
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
+    path = scratch_path(spark, "occurrences")
+    dealt.write.parquet(path)  # ranges are fixed here: both readers below see the same
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    per = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)) - 1
+    cond = F.col("d._range") == F.col("p._range")
+    for c in same:
+        cond = cond & c
+    numbered = dealt.withColumn("_inner", inner).alias("d").join(per.alias("p"), cond)
+    return numbered.select("d.*", (F.col("_inner") + F.col("_before")).alias(name)).drop("_range", "_inner")
+
+
+def aligned_merge(left: DataFrame, right: DataFrame, on: Sequence[str], *, left_order: Sequence[str | Column],
+                  right_order: Sequence[str | Column], columns: Mapping[str, Column], tag: tuple[str, str, str]) -> DataFrame:
+    """J8 on lines: the n-th row of a key on the left meets the n-th on the right, and rows without a partner stay alone:
+    max(lines) rows per key instead of lines x lines. ``columns`` maps output names to columns over the sides
+    ``l`` and ``r``; ``tag`` as in :func:`outer_merge`. Null keys meet nothing."""
+    l = occurrences(left, on, left_order).withColumn("_there", F.lit(True)).alias("l")
+    r = occurrences(right, on, right_order).withColumn("_there", F.lit(True)).alias("r")
+    cond = F.col("l.occurrence") == F.col("r.occurrence")
+    for k in on:
+        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    name, left_label, right_label = tag
+    return l.join(r, cond, "full_outer").select(
+        *[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in on],
+        F.coalesce("l.occurrence", "r.occurrence").alias("occurrence"), *[c.alias(n) for n, c in columns.items()],
+        F.when(F.col("r._there").isNull(), left_label).otherwise(right_label).alias(name))
+
+
 def resolve_link_urls(links: DataFrame, cards: DataFrame, *, name_col: str = "job_name", url_col: str = "url",
                       id_col: str = "short_url", path_segment: int = 2) -> tuple[DataFrame, DataFrame]:
     """Linked-card URL -> path segment ``path_segment`` (0-based after the

@@ -2,34 +2,44 @@
 
 The reference tests every (name, text) pair: O(names x texts). Here both
 joins are *blocked equi-joins followed by an exact verification*, so the
-work grows with the number of candidate pairs, not with the product.
+work grows with the number of candidate pairs, not with the product. Texts
+travel once: the keys carry the text's 64-bit hash, and only candidates meet
+the text again.
 
 phrase_join (J2) — ``(^|\\W) name (\\W|$)`` on lower-cased text.
     Because the pattern forces a boundary just before and just after the
     match, every maximal ``\\w+`` run of the name is a whole ``\\w+`` token
-    of the text. So the pair can only match if the text contains the name's
-    rarest token; we equi-join on that token and verify with the regex.
-
-contains_join (J4) — literal, case-sensitive ``name in text``.
-    A text containing a name contains each of the name's substrings, in
-    particular the rarest one of its key length: the largest power of two
-    within the name (32 at most). Such a key is more than half of the name, so
-    candidates stay close to the matches however many names there are; the
-    texts emit their substrings once per key length present. Candidates are
-    verified with ``instr``.
-
-Rarity is measured only for tokens/grams that occur in some name (a
-semi-join before the count), so the frequency table is bounded by the name
-side. Hot keys: the name side (one row per name) becomes a broadcast side
-when AQE measures it small; otherwise the join is a shuffle join whose skewed partitions AQE splits.
-The big side is never collected per key.
+    of the text, and the name's consecutive tokens are consecutive there. A
+    name of two tokens or more is blocked on its rarest pair of consecutive
+    tokens, a name of one on that token, a name of none (``#``) on its first
+    character; texts emit tokens or characters only if such names exist.
+
+contains_join (J4) — literal, case-sensitive ``name in text``, by winnowing.
+    A class c of needles has the gram length q and the window w with
+    q + w - 1 = c: texts emit, of every w consecutive q-grams, the first in an
+    order that both sides share. A needle of c code points or more holds a whole
+    window, and so does each text that contains it: they share its pick. Longer
+    needles pick for each of their windows and are blocked on the rarest pick.
+    The order puts the grams first that are rare among the needles, by a sketch
+    of fixed size (``SKETCH`` counts, hashed), so that picks tell needles apart.
+    Needles shorter than the smallest class are classes of their own length
+    with a window of one: their keys are exact.
+
+Rarity is measured only for keys that occur in some name (a semi-join before
+the count), so the frequency table is bounded by the name side. The name side is
+broadcast where a count shows it to be small; otherwise the join is a shuffle
+join whose skewed partitions AQE splits. The big side is never collected per key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeflow.session import written
+
 _WORD = r"(?U)\w+"
 _META = r"([\\^$.|?*+()\[\]{}])"
 
@@ -45,9 +55,63 @@ def boundary_pattern(name_lower: Column) -> Column:
     return F.concat(F.lit(r"(?Ud)(^|\W)"), regex_quote(name_lower), F.lit(r"(\W|$)"))
 
 
-def tokens(c: Column) -> Column:
-    """Distinct Unicode ``\\w+`` tokens of a (lower-cased) text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(_WORD), 0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _steps(n: Column) -> Column:
+    """1 to n; empty for n < 1."""
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def distinct_texts(texts: DataFrame, text_id: str, text_col: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows (_rid, _tid, _tv), distinct (_tid, _tv)): rows repeat texts, keys are made once per text. ``_tid`` is the
+    text's hash; joins back are on hash and text. Both are written once: what made the texts is not run again for
+    keys, verification and join back."""
+    rows = written(texts.select(F.col(text_id).alias("_rid"), text_col.alias("_tv")).filter(F.col("_tv").isNotNull())
+                   .withColumn("_tid", F.xxhash64("_tv")), "texts")
+    return rows, written(rows.select("_tid", "_tv").distinct(), "distinct-texts")
+
+
+BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 8 << 20  # of the name side, counted before it is broadcast
+
+
+def candidates(name_keys: DataFrame, tx: DataFrame, text_keys: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
+    """(_tid, _tv, *names): pairs that share the name's key with the fewest texts. ``name_keys`` (*names, _class, _key);
+    ``text_keys`` adds (_class, _key) to the texts (_tid, _tv), distinct per text.
+
+    A name side that is counted to be small is broadcast: texts meet it where they are read. Otherwise
+    the keys are dealt out without their texts, which only candidates meet again."""
+    key = ["_class", "_key"]
+    name_keys = written(name_keys, "name-keys")
+    size = name_keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(names[-1])), F.lit(0))).first()
+    small = size[0] <= BROADCAST_KEYS and size[1] <= BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda df: df)
+    keyed = text_keys(tx)
+    known = keyed.select("_tid", *key).join(hint(name_keys.select(*key).distinct()), key, "left_semi")
+    known = known if small else written(known, "known-keys")
+    seen = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_df"))
+    chosen = (name_keys.join(seen, key, "left").groupBy(*names)
+              .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), *key)).alias("_at")).select(*names, "_at.*")
+              .filter("_df > 0").drop("_df"))
+    if small:
+        return keyed.join(F.broadcast(written(chosen, "chosen-keys")), key).select("_tid", "_tv", *names)
+    return known.join(chosen, key).select("_tid", *names).join(tx, "_tid").select("_tid", "_tv", *names)
+
+
+PAIR, TOKEN, CHARACTER = 2, 1, 0
+
+
+def _phrase_keys(c: Column, kind: int) -> Column:
+    """Distinct hashes of the text's consecutive token pairs, tokens or non-word characters."""
+    if kind == CHARACTER:
+        return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\W"), 0), lambda x: F.xxhash64(x)))
+    words = F.regexp_extract_all(c, F.lit(_WORD), 0)
+    if kind == TOKEN:
+        return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
+    return let(words, lambda t: F.array_distinct(F.transform(
+        _steps(F.size(t) - 1), lambda i: F.xxhash64(F.get(t, i - 1), F.get(t, i)))))
 
 
 def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: str,
@@ -55,79 +119,102 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     """All (name, text) pairs where the lower-cased name occurs in the
     lower-cased text bounded by start/end or a non-word character.
 
-    Returns ``(pairs(name_id, text_id), unblockable_names)``; names with no
-    word character at all cannot be blocked and are returned separately
-    (the caller decides; none occur for addresses).
+    Returns ``(pairs(name_id, text_id), names without any word character)``.
+    Null and empty names and null texts match nothing.
     """
-    n = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_nl")) \
-        .filter(F.col("_nl").isNotNull())
-    n_tok = n.select("_nid", "_nl", F.explode(tokens(F.col("_nl"))).alias("_tok"))
-    unblockable = n.join(n_tok.select("_nid").distinct(), "_nid", "left_anti")
-
-    # short texts (references): carry the lower-cased text with its tokens
-    t = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text_col)).alias("_tl")) \
-        .filter(F.col("_tl").isNotNull())
-    t_tok = t.select("_tid", "_tl", F.explode(tokens(F.col("_tl"))).alias("_tok"))
-
-    # document frequency of the tokens that occur in names
-    name_tokens = n_tok.select("_tok").distinct()
-    df_tok = t_tok.join(name_tokens, "_tok", "left_semi") \
-        .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-    # rarest token per name (a token absent from all texts -> df 0 -> no candidates)
-    chosen = (n_tok.join(df_tok, "_tok", "left")
-              .groupBy("_nid", "_nl")
-              .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok")))
-    cand = t_tok.join(chosen, "_tok")
+    n = names.select(F.col(name_id).alias("_nid"), F.lower(F.col(name_col)).alias("_nl")).filter(F.length("_nl") > 0)
+    n_words = F.size(F.regexp_extract_all(F.col("_nl"), F.lit(_WORD), 0))
+    n = n.withColumn("_class", F.least(n_words, F.lit(PAIR)))
+    kinds = sorted(r[0] for r in n.select("_class").distinct().collect())  # three at most
+    rows, tx = distinct_texts(texts, text_id, F.lower(F.col(text_col)))
+    pairs, chars = None, n.filter(F.col("_class") == CHARACTER).select(F.col("_nid").alias(name_id), F.col("_nl").alias(name_col))
+    if not kinds:
+        return rows.join(n, F.lit(False)).select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
+    for kind in kinds:
+        own = n.filter(F.col("_class") == kind)
+        if kind == CHARACTER:
+            keys = own.select("_nid", "_nl", "_class", F.xxhash64(F.substring("_nl", 1, 1)).alias("_key"))
+        else:
+            keys = own.select("_nid", "_nl", "_class", F.explode(_phrase_keys(F.col("_nl"), kind)).alias("_key"))
+        found = candidates(keys, tx, lambda t, kind=kind: t.select("_tid", "_tv", F.lit(kind).alias("_class"), F.explode(
+            _phrase_keys(F.col("_tv"), kind)).alias("_key")), ["_nid", "_nl"])
+        pairs = found if pairs is None else pairs.unionByName(found)
     # a literal search first: the pattern, one per name, is compiled for near matches only
-    pairs = cand.filter((F.instr(F.col("_tl"), F.col("_nl")) > 0)
-                        & F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl")))) \
-        .select(F.col("_nid").alias(name_id), F.col("_tid").alias(text_id))
-    # names without any word character (e.g. "#"): block on their first
-    # character against the distinct non-word characters of each text
-    t_nw = t.select("_tid", "_tl", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("_tl"), F.lit(r"(?U)\W"), 0))).alias("_ch"))
-    u = unblockable.filter(F.length("_nl") > 0).withColumn("_ch", F.substring("_nl", 1, 1))
-    rest = (t_nw.join(u, "_ch")
-            .filter(F.rlike(F.col("_tl"), boundary_pattern(F.col("_nl"))))
-            .select(F.col("_nid").alias(name_id), F.col("_tid").alias(text_id)))
-    return pairs.unionByName(rest), unblockable.select(F.col("_nid").alias(name_id), F.col("_nl").alias(name_col))
-
-
-MAX_KEY = 32
-
-
-def _grams(c: Column, q: int | Column) -> Column:
-    """Distinct substrings of length ``q`` of ``c`` (empty when shorter)."""
-    q = F.lit(q) if isinstance(q, int) else q
-    n_start = F.greatest(F.length(c) - q + 1, F.lit(0))
-    idx = F.sequence(F.lit(1), n_start)
-    return F.array_distinct(F.transform(F.when(n_start > 0, idx).otherwise(F.array().cast("array<int>")),
-                                        lambda i: F.substring(c, i, q)))
-
-
-def key_length(c: Column) -> Column:
-    """The largest power of two within the length of ``c``, at most ``MAX_KEY``."""
-    out, k = F.lit(1), 2
-    while k <= MAX_KEY:
+    verified = (pairs.filter((F.instr(F.col("_tv"), F.col("_nl")) > 0)
+                             & F.rlike(F.col("_tv"), boundary_pattern(F.col("_nl"))))
+                .select("_tid", "_tv", "_nid"))
+    return verified.join(rows, ["_tid", "_tv"]).select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
+
+
+CLASSES, SKETCH = (8, 16, 32), 1 << 13
+
+
+def needle_class(c: Column) -> Column:
+    """The largest class within the length of ``c``; shorter needles are a class of their own length."""
+    out = F.length(c)
+    for k in CLASSES:
         out = F.when(F.length(c) >= k, F.lit(k)).otherwise(out)
-        k *= 2
     return out
 
 
+def gram_length(k: int) -> int:
+    return k // 2 if k in CLASSES else k
+
+
+SHORT = 256  # code points: a substring counts from the start of its text, so longer texts are split first
+
+
+def _grams(c: Column, q: int) -> Column:
+    """Hashes of all substrings of ``q`` code points, in order."""
+    short = F.transform(_steps(F.length(c) - (q - 1)), lambda i: F.xxhash64(F.lit(q), F.substring(c, i, F.lit(q))))
+    long = let(F.split(c, ""), lambda x: F.transform(
+        _steps(F.size(x) - (q - 1)), lambda i: F.xxhash64(F.lit(q), F.array_join(F.slice(x, i, q), ""))))
+    return F.when(F.length(c) <= SHORT, short).otherwise(long)
+
+
+def needle_sketch(needles: DataFrame, classes: list[int]) -> Column:
+    """How many needles hold a gram, as 15 bits of its logarithm, by the gram's hash modulo ``SKETCH``: a constant array."""
+    held = None
+    for k in classes:
+        part = needles.filter(F.col("_class") == k).select(F.explode(F.array_distinct(_grams(F.col("_nv"), gram_length(k)))).alias("_g"))
+        held = part if held is None else held.unionByName(part)
+    seen = held.groupBy(F.pmod("_g", F.lit(SKETCH)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.log2(F.col("n") + 1) * 600, F.lit(32767)).cast("int")
+    levels = dict(seen.select("at", level).collect())  # SKETCH rows at most
+    return F.split(F.lit(",".join(str(levels.get(i, 0)) for i in range(SKETCH))), ",").cast("array<int>")
+
+
+def picks(c: Column, k: int, sketch: Column) -> Column:
+    """The distinct keys that winnowing picks from ``c`` for class ``k``: 15 bits of rarity above 48 of the hash."""
+    q = gram_length(k)
+    w = k - q + 1
+    key = lambda g: F.shiftleft(F.get(sketch, F.pmod(g, F.lit(SKETCH)).cast("int")).cast("long"), 48).bitwiseOR(
+        g.bitwiseAND(F.lit((1 << 48) - 1)))
+    return let(F.transform(_grams(c, q), key), lambda h: F.array_distinct(F.transform(
+        _steps(F.size(h) - (w - 1)), lambda i: F.least(*[F.get(h, i + (j - 1)) for j in range(w)]) if w > 1 else F.get(h, i - 1))))
+
+
+def contains_keys(needles: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The keys (_nid, _nv, _class, _key) of needles (_nid, _nv), and a function that adds (_class, _key) to texts (_tid, _tv)."""
+    n = needles.withColumn("_class", needle_class(F.col("_nv")))
+    classes = sorted(r[0] for r in n.select("_class").distinct().collect())  # seven short ones and CLASSES at most
+    sketch = needle_sketch(n, classes) if classes else None
+
+    def keys(df: DataFrame, c: str, own: Callable[[int], Column]) -> DataFrame:
+        out = None
+        for k in classes:
+            part = df.filter(own(k)).select(*[x for x in df.columns if x != "_class"], F.lit(k).alias("_class"),
+                                            F.explode(picks(F.col(c), k, sketch)).alias("_key"))
+            out = part if out is None else out.unionByName(part)
+        return df.withColumns({"_class": F.lit(0), "_key": F.lit(0).cast("long")}).limit(0) if out is None else out
+
+    return keys(n, "_nv", lambda k: F.col("_class") == k), lambda texts: keys(texts, "_tv", lambda k: F.length("_tv") >= k)
+
+
 def contains_candidates(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``(_tid, _nid, _nv)`` that share the needle's rarest key; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
-    keyed = needles.withColumn("_k", key_length(F.col("_nv")))
-    keys = keyed.select("_nid", "_nv", F.explode(_grams(F.col("_nv"), F.col("_k"))).alias("_key"))
-    lengths = sorted(r[0] for r in keyed.select("_k").distinct().collect())  # powers of two up to MAX_KEY
-    if not lengths:
-        return needles.select(F.lit(None).cast(texts.schema["_tid"].dataType).alias("_tid"), "_nid", "_nv").limit(0)
-    grams = F.concat(*[_grams(F.col("_tv"), k) for k in lengths])
-    t_keys = (texts.select("_tid", F.explode(grams).alias("_key"))
-              .join(keys.select("_key").distinct(), "_key", "left_semi"))
-    key_df = t_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
-    chosen = (keys.join(key_df, "_key", "left").groupBy("_nid", "_nv")
-              .agg(F.min_by("_key", F.struct(F.coalesce("_df", F.lit(0)), F.col("_key"))).alias("_key")))
-    return t_keys.join(chosen, "_key").select("_tid", "_nid", "_nv")
+    """Pairs ``(_tid, _tv, _nid, _nv)`` that share the needle's rarest key; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
+    own, their = contains_keys(needles)
+    return candidates(own, texts, their, ["_nid", "_nv"])
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
@@ -138,14 +225,12 @@ def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needl
     every text). ``texts`` may hold several rows per ``text_id`` (e.g. one
     per text column); the result is distinct on (needle_id, text_id). Ledgers
     repeat the same text on many rows, so keys are made once per distinct text
-    (by its 64-bit hash) and verified matches are joined back on (hash, text).
+    and verified matches are joined back on (hash, text).
     """
     nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
         .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0)).distinct()
-    rows = texts.select(F.col(text_id).alias("_rid"), F.col(text_col).alias("_tv")) \
-        .filter(F.col("_tv").isNotNull()).withColumn("_tid", F.xxhash64("_tv"))
-    tx = rows.select("_tid", "_tv").distinct()
-    verified = (contains_candidates(nd, tx).join(tx, "_tid").filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
+    rows, tx = distinct_texts(texts, text_id, F.col(text_col))
+    verified = (contains_candidates(nd, tx).filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
                 .select("_tid", "_tv", "_nid"))
     return verified.join(rows, ["_tid", "_tv"]).select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
 

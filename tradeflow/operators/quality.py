@@ -49,16 +49,18 @@ def schema_check(df: DataFrame, table: str, expected: T.StructType) -> DataFrame
 def job_card_checks(cards: DataFrame, *, title: str = "card_title", card_id: str = "card_id",
                     required: Sequence[str] = ("card_title", "card_id", "status")) -> DataFrame:
     """DQ2: non-empty, required columns, digit-title share >= 50 %, no duplicate ids."""
+    # a column that is not there gives no figure, and the check on it fails
+    there = lambda c, figure: figure if c in cards.columns else F.lit(None).cast("long")
     m = cards.agg(F.count(F.lit(1)).alias("n"),
-                  F.count(F.when(F.col(title).rlike(r"^\d"), 1)).alias("n_digit"),
-                  F.count_distinct(card_id).alias("n_ids"))
+                  there(title, F.count(F.when(F.col(title).rlike(r"^\d"), 1))).alias("n_digit"),
+                  there(card_id, F.count_distinct(card_id)).alias("n_ids"))
     missing = [c for c in required if c not in cards.columns]
     pct = F.when(F.col("n") > 0, F.col("n_digit") * 100.0 / F.col("n")).otherwise(F.lit(0.0))
     return _rows(m, "job_cards", [
         ("non_empty", "error", F.col("n") > 0, F.col("n"), 1.0),
         ("required_columns", "error", F.lit(not missing), F.lit(len(missing)), 0.0),
-        ("job_title_share_pct", "warning", pct >= 50, pct, 50.0),
-        ("duplicate_ids", "warning", F.col("n") - F.col("n_ids") == 0, F.col("n") - F.col("n_ids"), 0.0),
+        ("job_title_share_pct", "warning", F.coalesce(pct >= 50, F.lit(False)), pct, 50.0),
+        ("duplicate_ids", "warning", F.coalesce(F.col("n") - F.col("n_ids") == 0, F.lit(False)), F.col("n") - F.col("n_ids"), 0.0),
     ])
 
 

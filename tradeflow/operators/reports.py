@@ -128,13 +128,60 @@ def save_query(saved: DataFrame, name: str, sql: str) -> DataFrame:
     return saved.select("name", "sql").join(row.select("name"), "name", "left_anti").unionByName(row)
 
 
-def last_used(usage_log: DataFrame, keys: Sequence[str] = ("query_name", "user_email"),
-              ts: str = "last_used_at") -> DataFrame:
+USE_KEYS = ("query_name", "user_email")
+
+
+def append_uses(batches: DataFrame, path: str) -> None:
+    """Adds uses (query_name, user_email, last_used_at, use_id, batch) to the append-only log at ``path``. A batch
+    that is sent again replaces itself, so a replay leaves the log as one run would."""
+    batches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_uses(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def compact_uses(log: DataFrame, base: DataFrame | None = None, keys: Sequence[str] = USE_KEYS) -> DataFrame:
+    """The usage upsert as last write wins: per key the latest (last_used_at, use_id) and the number of uses. Uses
+    that the log holds twice count once; ``base``, an earlier compaction, is merged with the uses of later batches."""
+    once = log.dropDuplicates([*keys, "last_used_at", "use_id"])
+    per = once.select(*keys, F.struct("last_used_at", "use_id").alias("_use"), F.lit(1).cast("long").alias("n_uses"))
+    if base is not None:
+        per = per.unionByName(base.select(*keys, F.struct("last_used_at", "use_id").alias("_use"), "n_uses"))
+    return per.groupBy(*keys).agg(F.max("_use").alias("_use"), F.sum("n_uses").alias("n_uses")).select(*keys, "_use.*", "n_uses")
+
+
+def last_used(usage_log: DataFrame, keys: Sequence[str] = USE_KEYS, ts: str = "last_used_at") -> DataFrame:
     """R15 usage upsert as a last-write-wins view over an append-only log."""
     return usage_log.groupBy(*keys).agg(F.max(ts).alias(ts))
 
 
-def queries_by_last_use(queries: DataFrame, usage: DataFrame, name: str = "name") -> DataFrame:
-    """Saved queries by last use, never-used last."""
+def queries_by_last_use(queries: DataFrame, usage: DataFrame, name: str = "name", place: str | None = None) -> DataFrame:
+    """Saved queries by last use, never-used last; ``place`` names a column for their place in that order."""
     lu = usage.groupBy(F.col("query_name").alias(name)).agg(F.max("last_used_at").alias("last_used_at"))
-    return queries.join(lu, name, "left").orderBy(F.col("last_used_at").desc_nulls_last(), F.col(name))
+    order = (F.col("last_used_at").desc_nulls_last(), F.col(name))
+    listed = queries.join(lu, name, "left")
+    if place:  # a list of saved queries, not of their uses
+        return listed.withColumn(place, F.row_number().over(Window.orderBy(*order)))
+    return listed.orderBy(*order)
+
+
+# ---------------------------------------------------------------------------
+# The pattern filter over any table and column
+FILTER_SQL = """
+SELECT * FROM {table}
+WHERE exists({{ matches }}, m -> %s ILIKE m) AND NOT coalesce(exists({{ exceptions }}, m -> %s ILIKE m), FALSE)"""
+
+
+def filter_table(spark: SparkSession, df: DataFrame, column: str, matches: Sequence[str], exceptions: Sequence[str] = ()) -> DataFrame:
+    """Rows whose ``column`` is like any of ``matches`` and none of ``exceptions``, as a report with bound lists.
+    Only the column's name enters the text, and it is checked. Without matches no row qualifies."""
+    check_identifier(column)
+    reports: dict[str, Report] = {}
+    register_report(reports, "filter_table", FILTER_SQL % (column, column))
+    # an empty list is bound as one null, which nothing is like
+    bound = {k: F.array(*([F.lit(x) for x in v] or [F.lit(None)])) for k, v in (("matches", matches), ("exceptions", exceptions))}
+    out, error = run_report(spark, reports, "filter_table", {"table": df}, **bound)
+    if error:
+        raise ValueError(error)
+    return out

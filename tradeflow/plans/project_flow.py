@@ -18,7 +18,7 @@ from tradeflow.operators import finance, graph, jobs as J, quotes as Q
 from tradeflow.operators.aggregate import labour_per_key
 from tradeflow.operators.joins import explode_ids_lookup, left_join_with_gap, resolve_link_urls
 from tradeflow.plans.fixtures import fixture
-from tradeflow.session import cut_lineage
+from tradeflow.session import written
 
 
 def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +48,18 @@ def jobs_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return J.jobs_from_cards(cleaned), removed
 
 
+def jobs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs, written: for queries that read them more than once."""
+    return written(jobs_table(spark, sf_dir)[0], "jobs")
+
+
 def ref_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.latest_quote_per_ref(Q.quote_headers(quote_lines(spark, sf_dir)))
 
 
 def mapping_table(spark: SparkSession, sf_dir: str, jobs: DataFrame | None = None) -> DataFrame:
-    jobs = jobs if jobs is not None else jobs_table(spark, sf_dir)[0]
-    return J.job_quote_mapping(jobs, ref_quotes(spark, sf_dir))
+    jobs = jobs if jobs is not None else jobs_once(spark, sf_dir)
+    return J.job_quote_mapping(jobs, written(ref_quotes(spark, sf_dir), "ref-quotes"))
 
 
 def jobs_with_hours(spark: SparkSession, sf_dir: str, jobs: DataFrame | None = None,
@@ -81,29 +86,26 @@ def members_table(jobs: DataFrame) -> DataFrame:
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one row per project with its financials."""
-    jobs = jobs_table(spark, sf_dir)[0]
-    labour_raw, _ = labour_hours(spark, sf_dir)
-    labour = J.filter_labour(labour_raw)[0]
-    lines = quote_lines(spark, sf_dir)
-    headers = Q.quote_headers(lines)
-    refs = Q.latest_quote_per_ref(headers)
-    # Stage boundaries: the bridge tables are written (reliable checkpoint)
-    # before the roll-up, which keeps each plan small and each rerun short.
-    mapping = cut_lineage(J.job_quote_mapping(jobs, refs))
-    values = lines.groupBy("quote_no").agg(F.sum("line_total").alias("value_raw"))
-    members = cut_lineage(members_table(jobs))
+    # What several branches read is written once: jobs, one row per quote, cleaned
+    # labour, and the bridge tables. That keeps each plan small and each rerun short.
+    jobs = jobs_once(spark, sf_dir)
+    labour = written(J.filter_labour(labour_hours(spark, sf_dir)[0])[0].select(
+        "name", "employee", "start_date", "end_date", "total_hours"), "labour")
+    headers = written(Q.quote_headers(quote_lines(spark, sf_dir), raw_value="value_raw"), "quote-headers")
+    values = headers.select("quote_no", "value_raw")
+    mapping = written(J.job_quote_mapping(jobs, Q.latest_quote_per_ref(headers.drop("value_raw"))), "mapping")
+    members = written(members_table(jobs), "members")
     costs = fixture(spark, sf_dir, "costs")
-    cost_links = cut_lineage(finance.link_rows_to_projects(finance.project_needles(members), costs,
-                                                           row_id="row_id", text_cols=["Project", "Description"]))
+    cost_links = written(finance.link_rows_to_projects(finance.project_needles(members), costs,
+                                                       row_id="row_id", text_cols=["Project", "Description"]), "cost-links")
     # Work start/end only need min(start)/max(end) of the linked rows, so the
     # labour rows are pre-aggregated per distinct name (partial aggregation)
     # and the contains join runs on names, not on every booking.
     labour_spans = labour.groupBy("name").agg(F.min("start_date").alias("start_date"),
                                               F.max("end_date").alias("end_date")) \
         .withColumn("labour_id", F.col("name"))
-    labour_links = cut_lineage(finance.link_rows_to_projects(
+    labour_links = written(finance.link_rows_to_projects(
         finance.project_needles(members, with_raw_name=False), labour_spans, row_id="labour_id",
-        text_cols=["name"]))
-    job_hours = labour_per_key(labour)
+        text_cols=["name"]), "labour-links")
     return finance.project_rollup(members, jobs, mapping, values, cost_links, costs, labour_links, labour_spans,
-                                  job_hours)
+                                  labour_per_key(labour))

@@ -45,9 +45,9 @@ raw AS (
                 ELSE 'column_' || CAST(i AS VARCHAR) END) AS r
   FROM h JOIN w ON w.sheet = h.sheet JOIN st s ON s.sheet = h.sheet AND s.row_idx = h.header_row)
 SELECT sheet, header_row, n_cols,
-       list_transform(r, lambda x, i:
-         CASE WHEN len(list_filter(r[1:i - 1], lambda m: m = x)) > 0
-              THEN x || '_' || CAST(len(list_filter(r[1:i - 1], lambda m: m = x)) AS VARCHAR) ELSE x END) AS headers
+       list_reduce(list_transform(r, lambda x: [x]), lambda t, x: list_concat(t, [CASE WHEN NOT list_contains(t, x[1]) THEN x[1]
+         ELSE list_filter(list_transform(range(1, len(t) + 2), lambda k: x[1] || '_' || CAST(k AS VARCHAR)),
+                          lambda y: NOT list_contains(t, y))[1] END]), CAST([] AS VARCHAR[])) AS headers
 FROM raw""")
 def grid_headers(spark, sf_dir):
     return G.detect_headers(grid(spark, sf_dir))
@@ -112,8 +112,8 @@ def grid_rows_rejected(spark, sf_dir):
     return G.normalise_rows(g, G.detect_headers(g), strict=True)[1]
 
 
-#: each document with a second table after three blank rows, with a repeated header
-_TWO_TABLES = "text || chr(10) || chr(10) || chr(10) || chr(10) || 'k,v,k,' || chr(10) || source || ',' || lang || ',,1'"
+#: each document with a second table after three blank rows, with repeated headers of which one takes another's next name
+_TWO_TABLES = "text || chr(10) || chr(10) || chr(10) || chr(10) || 'k,k,k_1,' || chr(10) || source || ',' || lang || ',,1'"
 
 
 @register("grid_table_rows", "G6,G3", oracle=lambda: DUCK_GRID.replace(
@@ -129,15 +129,15 @@ t AS (SELECT *, sum(sep_start) OVER (PARTITION BY sheet ORDER BY row_idx ROWS UN
 d AS (SELECT *, min(row_idx) OVER (PARTITION BY sheet, table_no) AS first_row,
              max(width) OVER (PARTITION BY sheet, table_no) AS n_cols FROM t WHERE NOT blank),
 raw AS (SELECT sheet, table_no, list_transform(range(n_cols), lambda i:
-           CASE WHEN cells[i + 1] IS NOT NULL AND NOT regexp_matches(cells[i + 1], '^[ 	
+           CASE WHEN cells[i + 1] IS NOT NULL AND NOT regexp_matches(cells[i + 1], '^[ 	
 ]*$')
-                THEN regexp_replace(cells[i + 1], '^[ 	
-]+|[ 	
+                THEN regexp_replace(cells[i + 1], '^[ 	
+]+|[ 	
 ]+$', '', 'g')
                 ELSE 'column_' || CAST(i AS VARCHAR) END) AS r FROM d WHERE row_idx = first_row),
-hd AS (SELECT sheet, table_no, list_transform(r, lambda x, i:
-         CASE WHEN len(list_filter(r[1:i - 1], lambda m: m = x)) > 0
-              THEN x || '_' || CAST(len(list_filter(r[1:i - 1], lambda m: m = x)) AS VARCHAR) ELSE x END) AS headers FROM raw)
+hd AS (SELECT sheet, table_no, list_reduce(list_transform(r, lambda x: [x]), lambda t, x: list_concat(t, [CASE WHEN NOT list_contains(t, x[1]) THEN x[1]
+         ELSE list_filter(list_transform(range(1, len(t) + 2), lambda k: x[1] || '_' || CAST(k AS VARCHAR)),
+                          lambda y: NOT list_contains(t, y))[1] END]), CAST([] AS VARCHAR[])) AS headers FROM raw)
 SELECT d.sheet, d.table_no, d.row_idx, hd.headers,
        list_transform(range(d.n_cols), lambda i: nullif(d.cells[i + 1], '')) AS "values"
 FROM d JOIN hd ON hd.sheet = d.sheet AND hd.table_no = d.table_no WHERE d.row_idx > d.first_row""")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from tradeflow.functions.text import batch_cast
 from tradeflow.operators import finance, joins
 from tradeflow.operators import reports as R
+from tradeflow.plans import project_flow as PF
+from tradeflow.plans.duck_flow import ctes
 from tradeflow.plans.fixtures import tables
 from tradeflow.plans.q_projects import CALCS_SQL, SALES_SQL, _budget_inputs
 from tradeflow.plans.q_grid import DUCK_GRID as _DUCK_GRID
 from tradeflow.plans.registry import register
-from tradeflow.session import scratch_path
+from tradeflow.session import scratch_path, written
 from tradeflow.sources import grid as G, io
+from tradeflow.sources.parsers import default_parsers
+from tradeflow.streaming import labour_feed as feed
 
 
 @register("orders_by_suffix", "S8", oracle=lambda: "SELECT * FROM orders")
@@ -132,17 +136,8 @@ def parser_choice(spark, sf_dir):
     docs = tables(spark, sf_dir)["documents"].withColumn(
         "parser", F.when(F.col("lang") == "en", "standard").when(F.col("lang") == "fr", "offset")
         .when(F.col("lang") == "de", "multi").otherwise("paginated"))
-    grid = lambda *own: G.grid_from_text(docs.filter(F.col("parser").isin(*own)), sheet="doc_id", text="text")
-    one, two = grid("standard", "paginated"), grid("offset")
-    parsed = (G.normalise_rows(one, G.detect_headers(one))[0].select("sheet")
-              .unionByName(G.normalise_rows(two, G.detect_headers(two, fixed_row=2))[0].select("sheet"))
-              .groupBy("sheet").agg(F.count(F.lit(1)).alias("n")))
-    tabs = G.segment_tables(grid("multi")).groupBy("sheet").agg(F.sum("n_rows").alias("n"))
-    j = docs.select(F.col("doc_id").cast("string").alias("sheet"), "parser").join(
-        parsed.unionByName(tabs), "sheet", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return j.select("sheet", "parser", F.col("n").alias("n_rows"), F.when(F.col("n") > 0, "ok").otherwise("failed")
-                    .alias("status"), ((F.col("parser") == "paginated") & G.truncation_suspect(F.col("n")))
-                    .alias("truncation_suspect"))
+    choices = docs.select(F.col("doc_id").cast("string").alias("sheet"), "parser")
+    return default_parsers().parse_sheets(G.grid_from_text(docs, sheet="doc_id", text="text"), choices)[1]
 
 
 @register("orders_sample", "O5", oracle=lambda: """
@@ -202,3 +197,64 @@ def parts_csv_export(spark, sf_dir):
         F.when(F.col("p_size") == 1, "").otherwise(F.col("p_brand"))).alias("line"))
     df = io.read_csv_filled(spark, _exported(rows, ["id,_code,,name"], scratch_path(spark, "parts")))
     return df.select("id", "_code", "name")
+
+
+# --------------------------------------------------------------------------- saved queries and their usage
+_USES = "SELECT event_type AS query_name, CAST(user_id AS VARCHAR) AS user_email, ts AS last_used_at, event_id AS use_id FROM events"
+
+
+def _usage(spark, sf_dir):
+    """The usage log as it arrives: every event is a use, written in monthly batches of which the last is sent twice."""
+    uses = tables(spark, sf_dir)["events"].select(F.col("event_type").alias("query_name"), F.col("user_id").cast("string").alias("user_email"),
+                                                  F.col("ts").alias("last_used_at"), F.col("event_id").alias("use_id"))
+    batches = uses.withColumn("batch", F.date_format("last_used_at", "yyyy-MM"))
+    last = batches.agg(F.max("batch").alias("batch"))
+    path = scratch_path(spark, "usage")
+    R.append_uses(batches, path)
+    R.append_uses(batches.join(last, "batch", "left_semi"), path)
+    return R.read_uses(spark, path, uses.schema)
+
+
+@register("usage_last_used", "R15", oracle=lambda: f"""
+SELECT query_name, user_email, max(last_used_at) AS last_used_at, arg_max(use_id, (last_used_at, use_id)) AS use_id, count(*) AS n_uses
+FROM ({_USES}) GROUP BY query_name, user_email""")
+def usage_last_used(spark, sf_dir):
+    """The append-only log compacted to the last use of each (query, user), whatever was sent twice."""
+    return R.compact_uses(_usage(spark, sf_dir))
+
+
+@register("queries_by_last_use", "O4", oracle=lambda: f"""
+WITH u AS (SELECT query_name, max(last_used_at) AS last_used_at FROM ({_USES}) GROUP BY query_name),
+q AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT p_type FROM part)
+SELECT q.name, u.last_used_at, row_number() OVER (ORDER BY u.last_used_at DESC NULLS LAST, q.name) AS place
+FROM q LEFT JOIN u ON u.query_name = q.name""")
+def queries_by_last_use(spark, sf_dir):
+    """The saved queries (event types, and part types, which nobody used) by their last use, never-used last."""
+    t = tables(spark, sf_dir)
+    saved = t["events"].select(F.col("event_type").alias("name")).union(t["part"].select("p_type")).distinct()
+    return R.queries_by_last_use(saved, R.compact_uses(_usage(spark, sf_dir)), place="place")
+
+
+# --------------------------------------------------------------------------- the labour feed
+_DROPS = 3
+
+
+@register("labour_feed", "W1", oracle=lambda: ctes("labour") + """
+SELECT DISTINCT split_part(labour_id, ':', 1) AS task_id, name, employee, start_date, end_date, daily_hours, num_days, total_hours
+FROM fx_labour_raw""")
+def labour_feed(spark, sf_dir):
+    """The bookings sent as JSON files in three drops, each with half of what came before sent again, through the
+    stream (one start per drop, as after restarts) into the labour table."""
+    rows, _ = PF.labour_hours(spark, sf_dir)
+    own = rows.select(F.substring_index("labour_id", ":", 1).alias("task_id"), "name", "employee", "start_date", "end_date", "daily_hours")
+    part = F.pmod(F.xxhash64(*own.columns), F.lit(2 * _DROPS))
+    path = scratch_path(spark, "labour-feed")
+    own = written(own.withColumn("_part", part), "bookings")
+    for drop in range(_DROPS):
+        sent = own.filter((F.floor(F.col("_part") / 2) == drop) | (F.floor(F.col("_part") / 2) < drop) & (F.col("_part") % 2 == 0))
+        # the files land in one folder, as the scheduler's exports do
+        sent.select("*", F.lit(f"2024-01-0{drop + 1}T00:00:00").alias("exported_at")).drop("_part") \
+            .write.option("ignoreNullFields", "false").json(f"{path}/in/drop={drop}")
+        feed.start_feed(spark, f"{path}/in/*", f"{path}/table", f"{path}/state").awaitTermination()
+    schema = feed.labour_stream(spark, f"{path}/in/*").schema
+    return feed.table(spark, f"{path}/table", schema).drop("exported_at", feed.MONTH, "batch_id")

@@ -115,8 +115,7 @@ def attachment_classes(spark, sf_dir):
           "SELECT project, name, shared_drains FROM fx_members")
 def project_members(spark, sf_dir):
     """Greedy one-hop shared-drain groups (parity with the sequential scan) + standalone jobs."""
-    j, _ = PF.jobs_table(spark, sf_dir)
-    return PF.members_table(j)
+    return PF.members_table(PF.jobs_once(spark, sf_dir))
 
 
 @register("link_components", "X3", oracle=lambda: ctes("groups") + """,
@@ -230,9 +229,8 @@ def job_structs_flat(spark, sf_dir):
 def cost_links(spark, sf_dir):
     """Any-substring link of ledger rows to projects (blocked by the longest keys), exact-name preference."""
     from tradeflow.operators.link import prefer_exact
-    from tradeflow.session import cut_lineage
-    j, _ = PF.jobs_table(spark, sf_dir)
-    members = cut_lineage(PF.members_table(j))  # written once, read by both needle branches
+    from tradeflow.session import written
+    members = written(PF.members_table(PF.jobs_once(spark, sf_dir)), "members")  # read by both needle branches
     costs = fixture(spark, sf_dir, "costs")
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
                                           text_cols=["Project", "Description"])
@@ -241,7 +239,7 @@ def cost_links(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    j, _ = PF.jobs_table(spark, sf_dir)
+    j = PF.jobs_once(spark, sf_dir)
     return j, PF.members_table(j)
 
 

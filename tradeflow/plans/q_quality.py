@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from tradeflow.operators import quality as DQ
+from tradeflow.operators.snapshots import Rule, Watched, compare, take
 from tradeflow.plans import project_flow as PF
 from tradeflow.plans.duck_flow import ctes
 from tradeflow.plans.fixtures import fixture
 from tradeflow.plans.registry import register
+from tradeflow.session import scratch_path
 
 
 @register("dq_quotes", "DQ3", oracle=lambda: ctes("quotes") + """,
@@ -67,7 +73,7 @@ LATERAL (VALUES ('jobs_le_cards', 'error', jobs <= cards, jobs, CAST(NULL AS DOU
 
 def _consistency(spark, sf_dir, projects):
     cards = fixture(spark, sf_dir, "job_cards")
-    jobs, _ = PF.jobs_table(spark, sf_dir)
+    jobs = PF.jobs_once(spark, sf_dir)
     return DQ.consistency_checks(cards, jobs, PF.mapping_table(spark, sf_dir, jobs), projects)
 
 
@@ -76,11 +82,69 @@ def dq_business(spark, sf_dir):
     return DQ.business_checks(PF.projects(spark, sf_dir))
 
 
-@register("dq_consistency", "DQ4,DQ7", oracle=lambda: ctes("rollup") + _CONSISTENCY)
+@register("dq_consistency", "DQ4", oracle=lambda: ctes("rollup") + _CONSISTENCY)
 def dq_consistency(spark, sf_dir):
     return _consistency(spark, sf_dir, PF.projects(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- snapshots
+_YESTERDAY = "1998-01-01"  # the run before: quotes and bookings made by then
+_RULES = (Rule("grows", "quotes"), Rule("grows", "quotes", "Xero"), Rule("constant", "quotes", "Simpro", "warning"),
+          Rule("unique", "jobs"), Rule("unique", "labour", severity="warning"), Rule("same_names", "jobs", "jobs_with_hours"),
+          Rule("kept_names", "jobs", severity="warning"), Rule("not_more", "jobs", "cards"), Rule("not_before", "labour", "start_date"),
+          Rule("schema", "jobs"), Rule("schema", "quotes"))
+
+
+def _taken(spark, sf_dir, path, until: str | None):
+    lines, cards = PF.quote_lines(spark, sf_dir), fixture(spark, sf_dir, "job_cards")
+    jobs, labour = PF.jobs_table(spark, sf_dir)[0], PF.labour_hours(spark, sf_dir)[0]
+    if until:  # the tables as they were: fewer quotes and bookings
+        lines = lines.filter((F.col("created") < F.lit(until).cast("date")) | (F.col("quote_source") == "Simpro"))
+        labour = labour.filter(F.col("start_date") < F.lit(until).cast("date"))
+    own = {"quotes": Watched(lines, source="quote_source"), "cards": Watched(cards.select("short_url"), key="short_url"),
+           "jobs": Watched(jobs.select("name", "status"), key="name"), "labour": Watched(labour.select("labour_id", "start_date"), "labour_id", dates=["start_date"]),
+           "jobs_with_hours": Watched(PF.jobs_with_hours(spark, sf_dir, jobs=jobs)[0].select("name"), key="name")}
+    take(spark, path, own, start=dt.date(1993, 1, 1))
+    return path
+
+
+def _snapshot_oracle(swap: bool) -> str:
+    """Each rule by plain counts; ``swap``: the earlier run is checked against the later one."""
+    cut = f"created < DATE '{_YESTERDAY}'"
+    old, new = ("TRUE", f"({cut} OR quote_source = 'Simpro')") if swap else (f"({cut} OR quote_source = 'Simpro')", "TRUE")
+    booked = f"start_date < DATE '{_YESTERDAY}'" if swap else "TRUE"
+    return ctes("labour", "jobs", "quotes") + f""",
+m AS (SELECT (SELECT count(*) FROM fx_quote_lines WHERE {old}) AS q0, (SELECT count(*) FROM fx_quote_lines WHERE {new}) AS q1,
+             (SELECT count(*) FROM fx_quote_lines WHERE quote_source = 'Xero' AND {old}) AS x0,
+             (SELECT count(*) FROM fx_quote_lines WHERE quote_source = 'Xero' AND {new}) AS x1,
+             (SELECT count(*) FROM fx_quote_lines WHERE quote_source = 'Simpro') AS s,
+             (SELECT count(*) - count(DISTINCT name) FROM fx_jobs) AS j,
+             (SELECT count(*) - count(DISTINCT labour_id) FROM fx_labour_raw WHERE {booked}) AS l,
+             (SELECT count(*) FROM fx_jobs) AS nj, (SELECT count(*) FROM fx_job_cards) AS nc,
+             (SELECT count(*) FROM fx_labour_raw WHERE {booked} AND start_date < DATE '1993-01-01') AS early)
+SELECT "table", "check", severity, passed, CAST(observed AS DOUBLE) AS observed, CAST(threshold AS DOUBLE) AS threshold
+FROM m, LATERAL (VALUES ('quotes', 'grows', 'error', q1 >= q0, q1, q0), ('quotes', 'grows:Xero', 'error', x1 >= x0, x1, x0),
+  ('quotes', 'constant:Simpro', 'warning', TRUE, s, s), ('jobs', 'unique', 'error', j = 0, j, 0), ('labour', 'unique', 'warning', l = 0, l, 0),
+  ('jobs', 'same_names:jobs_with_hours', 'error', TRUE, 0, 0), ('jobs', 'kept_names', 'warning', TRUE, 0, 0),
+  ('jobs', 'not_more:cards', 'error', nj <= nc, nj, nc), ('labour', 'not_before:start_date', 'error', early = 0, early, 0),
+  ('jobs', 'schema', 'error', TRUE, NULL, NULL), ('quotes', 'schema', 'error', TRUE, NULL, NULL)
+  ) v("table", "check", severity, passed, observed, threshold)"""
+
+
+@register("dq_snapshots", "DQ7", oracle=lambda: _snapshot_oracle(False))
+def dq_snapshots(spark, sf_dir):
+    """DQ7: the tables as of a date stored, the tables of today stored, and the documented rules between them."""
+    before, now = (_taken(spark, sf_dir, scratch_path(spark, f"snapshot-{n}"), u) for n, u in (("before", _YESTERDAY), ("now", None)))
+    return compare(spark, before, now, _RULES)
+
+
+@register("dq_snapshots_shrunk", "DQ7", oracle=lambda: _snapshot_oracle(True))
+def dq_snapshots_shrunk(spark, sf_dir):
+    """DQ7: the same runs the other way round, as after a lost export: the volume rules fail."""
+    before, now = (_taken(spark, sf_dir, scratch_path(spark, f"snapshot-{n}"), u) for n, u in (("before", None), ("now", _YESTERDAY)))
+    return compare(spark, before, now, _RULES)
+
+
 @register("dq_customer_overlap", "DQ4", oracle=lambda: """
 WITH c AS (SELECT DISTINCT c_name AS name FROM customer),
 q AS (SELECT DISTINCT c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey)

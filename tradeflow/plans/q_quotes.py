@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions.text import pct_from_text, zero_to_one
 from tradeflow.operators import quotes as Q
 from tradeflow.plans.fixtures import duck_cte, fixture
 from tradeflow.plans.registry import register
@@ -168,3 +169,28 @@ def quote_source_merge(spark, sf_dir):
                        prefer_right=["quote_value"],
                        left_only=["quote_status"],
                        tag=("quote_source", "Xero", "Simpro"))
+
+
+@register("quote_lines_merged", "J8,R11", oracle=lambda: duck_cte("quote_src_a", "quote_src_b") + """,
+b AS (SELECT *, """ + f"CASE WHEN {DUCK_PCT} = 0 THEN 1.0 ELSE {DUCK_PCT} END" + """ AS line_pct,
+             row_number() OVER (PARTITION BY quote_no ORDER BY item, quantity, total, date_approved) AS n FROM fx_quote_src_b),
+a AS (SELECT *, row_number() OVER (PARTITION BY quote_no ORDER BY line_id, item_desc, item_code, quantity, line_total, line_pct) AS n FROM fx_quote_src_a)
+SELECT coalesce(a.quote_no, b.quote_no) AS quote_no, coalesce(a.n, b.n) - 1 AS occurrence, coalesce(a.quote_ref, b.site) AS quote_ref,
+       coalesce(a.customer, b.customer) AS customer, a.quote_status AS quote_status, coalesce(CAST(a.created AS DATE), b.date_created) AS created,
+       coalesce(a.line_pct, b.line_pct) AS line_pct, a.item_code AS item_code, coalesce(b.item, a.item_desc) AS item_desc,
+       coalesce(a.quantity, b.quantity) AS quantity, coalesce(a.unit_price, b.unit_price) AS unit_price,
+       coalesce(b.total, a.line_total) AS line_total, CASE WHEN b.quote_no IS NULL THEN 'Xero' ELSE 'Simpro' END AS quote_source
+FROM a FULL OUTER JOIN b ON a.quote_no = b.quote_no AND a.n = b.n""")
+def quote_lines_merged(spark, sf_dir):
+    """J8 / R11 on lines: both sources' lines of a quote side by side, first with first, and what either has more of alone."""
+    from tradeflow.operators.joins import aligned_merge
+    a = fixture(spark, sf_dir, "quote_src_a")
+    b = fixture(spark, sf_dir, "quote_src_b").withColumn("line_pct", zero_to_one(pct_from_text("item")))
+    both = lambda x, y=None: F.coalesce(F.col(f"l.{x}"), F.col(f"r.{y or x}"))
+    return aligned_merge(a, b, ["quote_no"], left_order=["line_id", "item_desc", "item_code", "quantity", "line_total", "line_pct"], right_order=["item", "quantity", "total", "date_approved"],
+                         tag=("quote_source", "Xero", "Simpro"),
+                         columns={"quote_ref": both("quote_ref", "site"), "customer": both("customer"), "quote_status": F.col("l.quote_status"),
+                                  "created": F.coalesce(F.to_date("l.created"), F.col("r.date_created")), "line_pct": both("line_pct"),
+                                  "item_code": F.col("l.item_code"), "item_desc": F.coalesce("r.item", "l.item_desc"),
+                                  "quantity": both("quantity"), "unit_price": both("unit_price"),
+                                  "line_total": F.coalesce("r.total", "l.line_total")})

@@ -13,21 +13,33 @@ from tradeflow.plans.registry import register
 
 # Named-parameter report texts over the job-card view ``job_cards``.
 APPROVED_SQL = """
-SELECT card_title, url, CAST(eqc_approved_date AS DATE) AS eqc_approved_date, status, report_by
+SELECT card_title, url, CAST(eqc_approved_date AS DATE) AS eqc_approved_date, status, accepted_quote_value,
+       submitted_quote_value, quote_value, report_by
 FROM {cards} WHERE eqc_approved_date IS NOT NULL
 ORDER BY eqc_approved_date DESC NULLS LAST"""
 DECLINED_SQL = """
-SELECT card_title, url, CAST(eqc_declined_date AS DATE) AS eqc_declined_date, status, report_by
+SELECT card_title, url, CAST(eqc_declined_date AS DATE) AS eqc_declined_date, status, accepted_quote_value,
+       submitted_quote_value, quote_value, report_by
 FROM {cards} WHERE eqc_declined_date IS NOT NULL
 ORDER BY eqc_declined_date DESC NULLS LAST"""
 
 
+#: fields of a card that the fixture does not hold, from those it does; unsurveyed cards have no values
+_CARD_FIELDS = {
+    "report_by": "surveyed_by",
+    "survey_completed_on": "CASE WHEN surveyed_by IS NOT NULL THEN report_sent_to_eqc END",
+    "submitted_quote_value": "CASE WHEN surveyed_by IS NOT NULL THEN round(concrete_qty * 100, 2) END",
+    "accepted_quote_value": "CASE WHEN eqc_approved_date IS NOT NULL THEN round(concrete_qty * 90, 2) END",
+    "quote_value": "coalesce(CASE WHEN eqc_approved_date IS NOT NULL THEN round(concrete_qty * 90, 2) END, round(asphalt_qty * 100, 2))"}
+
+
 def _cards(spark, sf_dir):
-    return fixture(spark, sf_dir, "job_cards").withColumn("report_by", F.col("surveyed_by"))
+    return fixture(spark, sf_dir, "job_cards").withColumns({n: F.expr(x) for n, x in _CARD_FIELDS.items()})
 
 
 def _duck_cards() -> str:
-    return duck_cte("customer_titles", "job_cards") + ", cards AS (SELECT *, surveyed_by AS report_by FROM fx_job_cards)\n"
+    fields = ", ".join(f"{x} AS {n}" for n, x in _CARD_FIELDS.items())
+    return duck_cte("customer_titles", "job_cards") + f", cards AS (SELECT *, {fields} FROM fx_job_cards)\n"
 
 
 @register("approved_jobs", "R1,T11,P7,O1", oracle=lambda: _duck_cards() + APPROVED_SQL.format(cards="cards"))
@@ -67,14 +79,16 @@ def approval_time_stats(spark, sf_dir):
 
 
 JOBS_BY_APPROVAL_SQL = """-- jobs of the given states approved since a date
-SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date
+SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date,
+       survey_completed_on, quote_value
 FROM {cards}
 WHERE array_contains({{ statuses }}, status) AND eqc_approved_date >= {{ since }}
 ORDER BY report_sent_to_eqc DESC NULLS LAST"""
 
 
 @register("jobs_by_approval_date", "R5,R13,R14,P6,P7", oracle=lambda: _duck_cards() + """
-SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date
+SELECT card_title AS name, url, report_by, project_manager AS claim_manager, status, report_sent_to_eqc, eqc_approved_date,
+       survey_completed_on, quote_value
 FROM cards WHERE status IN ('Approved', 'Awaiting Approval', 'Completed') AND eqc_approved_date >= DATE '2021-06-01'
 ORDER BY report_sent_to_eqc DESC NULLS LAST""")
 def jobs_by_approval_date(spark, sf_dir):
@@ -108,12 +122,20 @@ def labour_after_date(spark, sf_dir):
                      args={"d": dt.date(1998, 1, 1)}, labour=rows)
 
 
-@register("variation_quotes", "R9,P5,P4,R10", oracle=lambda: ctes("quotes") + """
-SELECT DISTINCT quote_no, quote_ref FROM fx_quote_lines
+@register("variation_quotes", "R9,P5", oracle=lambda: ctes("quotes") + """
+SELECT * FROM fx_quote_lines
 WHERE (quote_ref ILIKE '%vo%' OR quote_ref ILIKE '%variation%') AND quote_ref NOT ILIKE '%avo%'
   AND quote_ref NOT ILIKE '%vog%'""")
 def variation_quotes(spark, sf_dir):
-    return R.variation_quotes(PF.quote_lines(spark, sf_dir)).select("quote_no", "quote_ref").distinct()
+    return R.variation_quotes(PF.quote_lines(spark, sf_dir))
+
+
+@register("parts_filtered", "R10,P4", oracle=lambda: """
+SELECT * FROM part WHERE (p_name ILIKE '%RED%' OR p_name ILIKE '%gr__n%' OR p_name ILIKE 'a%') AND p_name NOT ILIKE '%1%'
+  AND p_name NOT ILIKE '%o'""")
+def parts_filtered(spark, sf_dir):
+    """The pattern filter on a given table and column, with lists of matches and exceptions."""
+    return R.filter_table(spark, tables(spark, sf_dir)["part"], "p_name", ["%RED%", "%gr__n%", "a%"], ["%1%", "%o"])
 
 
 @register("quotes_deleted_excluded", "P8,P6", oracle=lambda: ctes("quotes") + """
@@ -251,7 +273,7 @@ FROM fx_jobs j JOIN fx_mapping m ON m.job_name = j.name WHERE m.match_type <> 'n
 GROUP BY j.name, j.latitude, j.longitude""")
 def dash_quote_points(spark, sf_dir):
     """Quote value of each job at its place on the map."""
-    jobs, _ = PF.jobs_table(spark, sf_dir)
+    jobs = PF.jobs_once(spark, sf_dir)
     m = PF.mapping_table(spark, sf_dir, jobs).filter("match_type <> 'no_match'").select(
         F.col("job_name").alias("name"), "quote_value")
     return jobs.join(m, "name").groupBy("name", "latitude", "longitude").agg(

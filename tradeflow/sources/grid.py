@@ -38,6 +38,16 @@ def row_stats(grid: DataFrame) -> DataFrame:
         .withColumn("n_filled", F.size(F.filter("cells", _non_blank)))
 
 
+def first_free(names: Column) -> Column:
+    """Names made unique in order: a name that is taken gets ``_1``, ``_2``, ..., the first that is free. The fold
+    carries the names taken, which are the result."""
+    def add(taken: Column, name: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.concat(name, F.lit("_"), k.cast("string")))
+        free = F.get(F.filter(tries, lambda x: ~F.array_contains(taken, x)), F.lit(0))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, name), free).otherwise(name)))
+    return F.aggregate(names, F.array().cast("array<string>"), add)
+
+
 def detect_headers(grid: DataFrame, *, scan_rows: int = 5, fixed_row: int | None = None) -> DataFrame:
     """G1 + G2 + G3: per sheet the header row and cleaned, widened, de-duplicated names.
 
@@ -45,7 +55,7 @@ def detect_headers(grid: DataFrame, *, scan_rows: int = 5, fixed_row: int | None
     non-empty cells, ties -> earliest; ``fixed_row`` (1-based) overrides it
     and yields no header when beyond the data. Names: blank -> ``column_{i}``
     (0-based), else stripped; widened to the widest row of the sheet; a
-    repeated name gets ``_k`` with k = number of earlier equal names.
+    repeated name gets the first free ``_k``.
     """
     st = row_stats(grid)
     widest = st.groupBy("sheet").agg(F.max("width").alias("n_cols"))
@@ -62,11 +72,7 @@ def detect_headers(grid: DataFrame, *, scan_rows: int = 5, fixed_row: int | None
     raw = F.transform(idx, lambda i: F.when(_non_blank(F.get(F.col("cells"), i)), _strip(F.get(F.col("cells"), i)))
                       .otherwise(F.concat(F.lit("column_"), i.cast("string"))))
     named = h.withColumn("_raw", raw)
-    dedup = F.transform(F.col("_raw"), lambda n, i: F.when(
-        F.size(F.filter(F.slice(F.col("_raw"), 1, i), lambda m: m == n)) > 0,
-        F.concat(n, F.lit("_"), F.size(F.filter(F.slice(F.col("_raw"), 1, i), lambda m: m == n)).cast("string")))
-        .otherwise(n))
-    return named.select("sheet", "header_row", "n_cols", dedup.alias("headers"))
+    return named.select("sheet", "header_row", "n_cols", first_free(F.col("_raw")).alias("headers"))
 
 
 def normalise_rows(grid: DataFrame, headers: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:

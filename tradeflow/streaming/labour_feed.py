@@ -3,15 +3,25 @@
 New scheduler exports land as JSON files in a folder. A booking that is
 already in the labour table (all key columns equal, nulls included) is
 dropped wherever and whenever it is sent again; a booking that differs in
-hours survives, and a booking that arrives late is kept however old it is:
-de-duplication is an anti-join with the table, not a matter of age.
+hours survives, and a booking that arrives late is kept however old it is.
 
-Every micro-batch overwrites its own partition (``batch_id``), so a batch that
-is replayed after a failure leaves the table as one run would.
+Two steps. Keyed state drops what was sent in the last ``keep`` (30 days by default): the
+watermark runs on the time of arrival, so no row is ever late, and the state
+holds recent keys only. What passes is new or was last sent longer
+ago; it meets the table in an anti-join. Equal bookings start on the same day, and
+the table is partitioned by the month of the start, so the anti-join reads only
+the months that the batch names: its cost follows the batch, not the table.
+
+Every micro-batch overwrites its own partitions (month, ``batch_id``: the number
+and a mark of the checkpoint) and never compares itself with them, so a batch
+that is replayed after a failure leaves the table as one run would, and a feed
+that starts over with another checkpoint neither overwrites nor repeats rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,39 +30,51 @@ from tradeflow.functions.text import inclusive_days, total_hours
 BOOKING_SCHEMA = ("task_id string, name string, employee string, start_date date, end_date date, "
                   "daily_hours double, exported_at timestamp")
 DEDUP_KEYS = ["task_id", "name", "employee", "start_date", "end_date", "daily_hours"]
+MONTH = "start_month"
 
 
-def labour_stream(spark: SparkSession, folder: str) -> DataFrame:
+def labour_stream(spark: SparkSession, folder: str, keep: str = "30 days") -> DataFrame:
+    """The bookings of the files in ``folder``, without those that came before within ``keep``."""
     s = spark.readStream.schema(BOOKING_SCHEMA).json(folder)
+    s = (s.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep)
+         .dropDuplicatesWithinWatermark(DEDUP_KEYS).drop("_arrived"))
     return s.withColumn("num_days", inclusive_days("start_date", "end_date")) \
-        .withColumn("total_hours", total_hours("num_days", "daily_hours"))
+        .withColumn("total_hours", total_hours("num_days", "daily_hours")) \
+        .withColumn(MONTH, F.coalesce(F.date_format("start_date", "yyyy-MM"), F.lit("none")))
 
 
-def new_bookings(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+def new_bookings(batch: DataFrame, known: DataFrame) -> DataFrame:
     """The batch's bookings, each once, that ``known`` does not hold."""
-    once = batch.dropDuplicates(DEDUP_KEYS)
-    if known is None:
-        return once
     same = F.lit(True)
     for k in DEDUP_KEYS:
         same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}"))
-    return once.alias("b").join(known.select(*DEDUP_KEYS).alias("k"), same, "left_anti")
+    return batch.dropDuplicates(DEDUP_KEYS).alias("b").join(known.select(*DEDUP_KEYS).alias("k"), same, "left_anti")
+
 
+def table(spark: SparkSession, out_path: str, schema) -> DataFrame:
+    """The labour table; the schema is given, so that a table without rows reads as none."""
+    return spark.read.schema(schema).parquet(out_path)
 
-def start_feed(spark: SparkSession, folder: str, out_path: str, checkpoint: str, trigger_once: bool = True):
+
+def start_feed(spark: SparkSession, folder: str, out_path: str, checkpoint: str, trigger_once: bool = True,
+               keep: str = "30 days"):
     """Adds each batch's new bookings to the table at ``out_path``."""
-    schema = labour_stream(spark, folder).schema
+    stream = labour_stream(spark, folder, keep)
+    schema = stream.schema.add("batch_id", "string")
+    mark = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(MONTH, "batch_id").parquet(out_path)  # the table exists
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # the schema is given: an empty or absent folder reads as no rows of other batches
-        session = batch.sparkSession
-        known = None
-        if batch_id > 0:
-            known = (session.read.schema(schema.add("batch_id", "long")).parquet(out_path)
-                     .filter(F.col("batch_id") != batch_id))
-        new_bookings(batch, known).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    q = (labour_stream(spark, folder).writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint))
+        own = f"{mark}-{batch_id}"
+        batch = batch.persist()  # the state's result, read for its months and for its rows
+        try:
+            months = [r[0] for r in batch.select(MONTH).distinct().collect()]  # calendar months
+            known = table(batch.sparkSession, out_path, schema).filter(F.col(MONTH).isin(months) & (F.col("batch_id") != own))
+            (new_bookings(batch, known).withColumn("batch_id", F.lit(own)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH, "batch_id").parquet(out_path))
+        finally:
+            batch.unpersist()
+
+    q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if trigger_once else q.trigger(processingTime="1 minute")
     return q.start()
