@@ -247,3 +247,41 @@ def test_the_pattern_filter_binds_its_lists(spark):
     assert get(["it's"]) == ["it's"] and get([]) == [] and get(["%' OR 1=1 --"]) == []
     with pytest.raises(ValueError):
         R.filter_table(spark, df, "ref; drop", ["%"])
+
+
+# -- G5, G7, G9, G11, S10 ---------------------------------------------------
+
+def test_column_letters(spark):
+    n = [1, 26, 27, 52, 53, 702, 703, 18_278]
+    df = spark.createDataFrame([(x,) for x in n], "n int").select(G.column_letters(F.col("n")))
+    assert [x[0] for x in df.collect()] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_tables_are_checked_for_columns_and_number(spark):
+    docs = spark.createDataFrame([("one", "a,b\n1,2"), ("two", "a,b\n1,2\n\n\n\na,c\n3,4\n5,6")], "doc string, text string")
+    g = G.grid_from_text(docs, sheet="doc", text="text")
+    found = G.segment_tables(g)
+    heads = G.table_rows(g).select("sheet", "table_no", "headers").distinct()
+    got = {(x.sheet, x.table_no, x.check): (x.passed, x.observed) for x in G.expectations(found, headers=heads, required=["a", "b"], min_tables=2).collect()}
+    assert got["two", 0, "required_columns"] == (True, 0) and got["two", 1, "required_columns"] == (False, 1)
+    assert got["one", None, "min_tables"] == (False, 1) and got["two", None, "min_tables"] == (True, 2)
+    ranges = {(x.sheet, x.table_no): x.range for x in G.a1_ranges(g, G.detect_ranges(g)).collect()}
+    assert sorted(ranges.values()) == ["one!A1:B2", "two!A1:B2", "two!A6:B8"]
+
+
+def test_each_report_is_read_by_its_own_header(spark, tmp_path):
+    from tradeflow.sources import io
+    (tmp_path / "a.csv").write_text("x\nDate,Debit,Note\n1 Jan 2024,5,a\n")
+    (tmp_path / "b.csv").write_text("x\nNote,Date,Debit\n\"b, c\",2 Feb 2024,7\n")
+    got = sorted(tuple(r) for r in io.read_ledger_report(spark, str(tmp_path), skip_rows=1).collect())
+    assert got == [(dt.date(2024, 1, 1), "5", "a"), (dt.date(2024, 2, 2), "7", "b, c")]
+    (tmp_path / "c.csv").write_text("x\nDate,Debit\n1 Jan 2024,5\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        io.read_ledger_report(spark, str(tmp_path), skip_rows=1)
+
+
+def test_errors_of_the_data_are_not_taken_for_a_refused_table(spark, tmp_path):
+    from tradeflow.sources import io
+    bad = spark.range(3).select(F.raise_error(F.lit("broken row")).alias("x"))
+    with pytest.raises(Exception, match="broken row"):
+        io.save_to(bad, "broken", ["catalog", "files"], str(tmp_path))

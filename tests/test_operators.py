@@ -130,7 +130,7 @@ def test_all_quote_categories_match_python_re(spark):
     df = spark.createDataFrame([(f"q{i}", t, 1.0, 2.0) for i, t in enumerate(lines)],
                                "quote_no string, item_desc string, line_pct double, quantity double")
     got = {(r.quote_no, r.category) for r in Q.quote_category_quantities(df).collect()}
-    exp = {(f"q{i}", k) for i, t in enumerate(lines) for k, _, pat, _, _ in Q.QUOTE_CATEGORIES if re.search(pat, t)}
+    exp = {(f"q{i}", k) for i, t in enumerate(lines) for k, _, pat, _ in Q.QUOTE_CATEGORIES if re.search(pat, t)}
     assert got == exp
 
 

@@ -236,14 +236,14 @@ def queries_by_last_use(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- the labour feed
-_DROPS = 3
+_DROPS = 2
 
 
 @register("labour_feed", "W1", oracle=lambda: ctes("labour") + """
 SELECT DISTINCT split_part(labour_id, ':', 1) AS task_id, name, employee, start_date, end_date, daily_hours, num_days, total_hours
 FROM fx_labour_raw""")
 def labour_feed(spark, sf_dir):
-    """The bookings sent as JSON files in three drops, each with half of what came before sent again, through the
+    """The bookings sent as JSON files in two drops, the second with half of what came before sent again, through the
     stream (one start per drop, as after restarts) into the labour table."""
     rows, _ = PF.labour_hours(spark, sf_dir)
     own = rows.select(F.substring_index("labour_id", ":", 1).alias("task_id"), "name", "employee", "start_date", "end_date", "daily_hours")

@@ -164,6 +164,31 @@ def board_lists(spark, sf_dir):
     return N.open_lists(board_docs(spark, sf_dir)).distinct()
 
 
+@register("board_fields", "S3", oracle=lambda: """
+SELECT DISTINCT 'b' || CAST(n_nationkey AS VARCHAR) AS board_id, n_name AS board_name, f AS field_id, x AS field_name, t AS field_type
+FROM customer JOIN nation ON c_nationkey = n_nationkey, LATERAL (VALUES ('cf1', 'Acct Bal', 'number'), ('cf2', 'Segment', 'list')) v(f, x, t)""")
+def board_fields(spark, sf_dir):
+    """The custom fields of every board."""
+    return N.field_definitions(board_docs(spark, sf_dir))
+
+
+@register("board_field_options", "S3", oracle=lambda: """
+SELECT DISTINCT 'b' || CAST(c_nationkey AS VARCHAR) AS board_id, 'cf2' AS field_id, 'Segment' AS field_name, 'o' || CAST(i AS VARCHAR) AS option_id,
+       s AS "option", i AS place
+FROM customer, LATERAL (VALUES (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE'), (3, 'HOUSEHOLD'), (4, 'MACHINERY')) v(i, s)""")
+def board_field_options(spark, sf_dir):
+    """The options of the boards' dropdown fields."""
+    return N.field_options(board_docs(spark, sf_dir))
+
+
+@register("board_labels", "S3", oracle=lambda: """
+SELECT 'b' || CAST(c_nationkey AS VARCHAR) AS board_id, CASE WHEN c_acctbal < 0 THEN 'Overdue' ELSE 'Standard' END AS label, count(*) AS n_cards
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def board_labels(spark, sf_dir):
+    """The labels in use on every board."""
+    return N.board_labels(board_docs(spark, sf_dir))
+
+
 @register("board_cards_text", "T8,D4", oracle=lambda: """
 SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, '["' || CASE WHEN c_acctbal < 0 THEN 'Overdue' ELSE 'Standard' END || '"]'
        AS labels, '["https://trello.com/c/s' || CAST(c_custkey AS VARCHAR) || '/plan.pdf"]' AS attachments

@@ -93,7 +93,7 @@ _WITHOUT_LOOKAHEAD = {
 def _sql_categories(cats) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = []
-    for k, d, r, s, w in cats:
+    for k, d, r, w in cats:
         must, not_ = _WITHOUT_LOOKAHEAD.get(k, (r, "$."))  # nothing follows the end
         rows.append(f"({quoted(k)}, {quoted(d)}, {quoted(must)}, {quoted(not_)}, {str(bool(w)).upper()})")
     return "cats(category, description, pattern, without, subs_work) AS (VALUES " + ", ".join(rows) + ")"

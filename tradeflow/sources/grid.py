@@ -9,6 +9,8 @@ the sheet width.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +77,13 @@ def detect_headers(grid: DataFrame, *, scan_rows: int = 5, fixed_row: int | None
     return named.select("sheet", "header_row", "n_cols", first_free(F.col("_raw")).alias("headers"))
 
 
+def to_schema(rows: DataFrame, headers: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """G5 with a given schema: one column per name of ``columns``, filled by position as the sheet has them; rows are
+    padded with null or cut to it, whatever width their sheet has. ``rows`` (sheet, row_idx, values)."""
+    own = rows.join(headers.select("sheet"), "sheet", "left_semi")
+    return own.select("sheet", "row_idx", *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(columns)])
+
+
 def normalise_rows(grid: DataFrame, headers: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """G4 + G5: data rows after the header, padded with null / truncated to the
     header width, ``''`` -> null. ``strict`` rejects rows whose width differs."""
@@ -151,25 +160,48 @@ def detect_ranges(grid: DataFrame, *, keep_last_row: bool = True) -> DataFrame:
             .withColumnRenamed("_tab", "table_no"))
 
 
+def column_letters(n: Column) -> Column:
+    """The letters of the n-th column (from 1): A to Z, AA to ZZ, AAA to ZZZ; null beyond."""
+    letter = lambda x: F.char(F.lit(65) + x.cast("int"))
+    two, three = n - 27, n - 703
+    at = lambda x, unit: F.pmod(F.floor(x / unit), F.lit(26))
+    return (F.when(n <= 26, letter(n - 1)).when(n <= 702, F.concat(letter(at(two, 26)), letter(at(two, 1))))
+            .when(n <= 18_278, F.concat(letter(at(three, 676)), letter(at(three, 26)), letter(at(three, 1)))))
+
+
+def a1_ranges(grid: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges of :func:`detect_ranges` in A1 notation, from column A to the width of the table's header row."""
+    heads = grid.select("sheet", F.col("row_idx").alias("start_row"), F.size("cells").alias("n_cols"))
+    j = ranges.join(heads, ["sheet", "start_row"])
+    first, last = (F.col("start_row") + 1).cast("string"), (F.col("end_row") + 1).cast("string")
+    return j.select("sheet", "table_no", "start_row", "end_row", "n_cols", F.concat(
+        F.col("sheet"), F.lit("!A"), first, F.lit(":"), column_letters(F.col("n_cols")), last).alias("range"))
+
+
 def truncation_suspect(n_rows: Column, page: int = 1000) -> Column:
     """``n > 0 and (n mod page < 10 or n mod page > page - 10)`` (Q14 parity)."""
     m = F.pmod(n_rows, F.lit(page))
     return (n_rows > 0) & ((m < 10) | (m > page - 10))
 
 
-def expectations(tables: DataFrame, *, min_rows: int = 1, page: int = 1000) -> DataFrame:
-    """Per table expectation rows (table, check, severity, passed, observed)."""
+def expectations(tables: DataFrame, *, min_rows: int = 1, page: int = 1000, headers: DataFrame | None = None,
+                 required: Sequence[str] = (), min_tables: int | None = None) -> DataFrame:
+    """Expectation rows (sheet, table_no, check, severity, passed, observed): enough rows and no sign of a page limit
+    per table; with ``headers`` (sheet, table_no, headers) the ``required`` names among each table's (observed: how
+    many are missing); with ``min_tables`` enough tables per sheet (table_no null)."""
     per = tables.select("sheet", "table_no", "n_rows")
-    checks = [
-        ("min_rows", "warning", F.col("n_rows") >= min_rows),
-        ("truncation", "error", ~truncation_suspect(F.col("n_rows"), page)),
-    ]
-    parts = [per.select("sheet", "table_no", F.lit(name).alias("check"), F.lit(sev).alias("severity"),
-                        cond.alias("passed"), F.col("n_rows").cast("double").alias("observed"))
-             for name, sev, cond in checks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    row = lambda df, name, severity, passed, observed: df.select(
+        "sheet", F.col("table_no").cast("long").alias("table_no"), F.lit(name).alias("check"), F.lit(severity).alias("severity"),
+        passed.alias("passed"), observed.cast("double").alias("observed"))
+    n = F.col("n_rows")
+    out = row(per, "min_rows", "warning", n >= min_rows, n).unionByName(row(per, "truncation", "error", ~truncation_suspect(n, page), n))
+    if headers is not None and required:
+        missing = F.size(F.array_except(F.array(*[F.lit(x) for x in required]), F.coalesce("headers", F.array().cast("array<string>"))))
+        named = per.join(headers.select("sheet", "table_no", "headers"), ["sheet", "table_no"], "left").withColumn("missing", missing)
+        out = out.unionByName(row(named, "required_columns", "error", F.col("missing") == 0, F.col("missing")))
+    if min_tables is not None:
+        count = per.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.lit(None).alias("table_no"))
+        out = out.unionByName(row(count, "min_tables", "warning", F.col("n") >= min_tables, F.col("n")))
     return out
 
 
@@ -179,3 +211,10 @@ def sheet_profile(grid: DataFrame) -> DataFrame:
     return st.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.max("width").alias("max_width"),
                                    F.sum("n_filled").alias("n_filled_cells"),
                                    F.count(F.when(F.col("n_filled") == 0, 1)).alias("n_blank_rows"))
+
+
+def sheet_overview(grid: DataFrame, *, first_cells: int = 5) -> DataFrame:
+    """G11 for people: the profile, the first cells of the first row, and the detected headers."""
+    first = grid.filter(F.col("row_idx") == 0).select("sheet", F.slice("cells", 1, first_cells).alias("first_cells"))
+    heads = detect_headers(grid).select("sheet", "header_row", "headers")
+    return sheet_profile(grid).join(first, "sheet", "left").join(heads, "sheet", "left")

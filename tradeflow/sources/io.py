@@ -11,6 +11,7 @@ import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +49,9 @@ def read_ledger_report(spark: SparkSession, path: str, skip_rows: int = 4) -> Da
     """Exported ledger reports — per file, ``skip_rows`` leading rows are
     skipped and the next one is the header; quoted cells may hold commas;
     ``Date`` is ``d MMM yyyy`` (lenient); rows with any null or empty cell are
-    dropped. A cell may not span lines.
+    dropped. A cell may not span lines. Files may have their columns in any
+    order: each is read by its own header, under the first file's order; a file
+    with other columns raises an error that names it.
 
     A file's first rows lie in its first block, where line ids are
     consecutive, so each row knows its place without a sort.
@@ -59,14 +62,22 @@ def read_ledger_report(spark: SparkSession, path: str, skip_rows: int = 4) -> Da
     starts = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_i").alias("_first"))
     numbered = lines.join(starts, "_file").withColumn(
         "_n", F.when(F.col("_block") == 0, F.col("_i") - F.col("_first")))
-    first = numbered.filter(F.col("_n") == skip_rows).orderBy("_file").first()
-    if first is None:
+    heads = numbered.filter(F.col("_n") == skip_rows).select("_file", "value").orderBy("_file")
+    per_file = [(r["_file"], [c.strip() for c in next(csv.reader([r["value"]]))]) for r in heads.collect()]  # one row a file
+    if not per_file:
         return spark.createDataFrame([], "Date date")
-    names = [c.strip() for c in next(csv.reader([first["value"]]))]
+    names = per_file[0][1]
+    odd = [f for f, own in per_file if sorted(own) != sorted(names)]
+    if odd:
+        raise ValueError(f"columns differ from those of {per_file[0][0]}: {odd[:5]}")
     cells = ", ".join(f"c{i} string" for i in range(len(names)))
     data = numbered.filter(F.col("_n").isNull() | (F.col("_n") > skip_rows)).filter(F.trim("value") != "")
-    row = data.select(F.from_csv("value", cells, {"escape": '"'}).alias("c"))
-    df = row.select(*[F.col(f"c.c{i}").alias(h) for i, h in enumerate(names)])
+    orders = spark.createDataFrame(per_file, "_file string, _names array<string>")
+    row = data.join(orders, "_file").select("_names", F.from_csv("value", cells, {"escape": '"'}).alias("c")) \
+        .select("_names", F.array(*[F.col(f"c.c{i}") for i in range(len(names))]).alias("c"))
+    # the k-th of equal names is the k-th place of that name in the file's own header
+    place = lambda h, k: F.get(F.filter(F.transform("_names", lambda x, i: F.when(x == h, i)), lambda i: i.isNotNull()), F.lit(k))
+    df = row.select(*[F.get("c", place(h, names[:i].count(h))).alias(h) for i, h in enumerate(names)])
     if "Date" in df.columns:
         df = df.withColumn("Date", lenient_report_date("Date"))
     return df.dropna(how="any")
@@ -106,7 +117,7 @@ def save_to(df: DataFrame, name: str, destinations: Sequence[str], path: str) ->
         try:
             save_table(df, name)
             done.append("catalog")
-        except Exception:  # noqa: BLE001 - fall back to files
+        except AnalysisException:  # the catalog refuses the table; errors of the data itself are raised
             if "files" not in destinations:
                 destinations = list(destinations) + ["files"]
     if "files" in destinations:

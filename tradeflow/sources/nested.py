@@ -112,6 +112,28 @@ def open_lists(boards: DataFrame) -> DataFrame:
             .select("board_id", "board_name", F.col("l.id").alias("list_id"), F.col("l.name").alias("list_name")))
 
 
+def field_definitions(boards: DataFrame) -> DataFrame:
+    """S3: the custom fields of every board, by board and field."""
+    return (boards.select(F.col("id").alias("board_id"), F.col("name").alias("board_name"), F.explode("customFields").alias("f"))
+            .select("board_id", "board_name", F.col("f.id").alias("field_id"), F.col("f.name").alias("field_name"),
+                    F.col("f.type").alias("field_type")).distinct())
+
+
+def field_options(boards: DataFrame) -> DataFrame:
+    """S3: the options of the dropdown fields of every board; fields without options have no row."""
+    fields = boards.select(F.col("id").alias("board_id"), F.explode("customFields").alias("f"))
+    return (fields.select("board_id", F.col("f.id").alias("field_id"), F.col("f.name").alias("field_name"), F.posexplode("f.options").alias("place", "o"))
+            .select("board_id", "field_id", "field_name", F.col("o.id").alias("option_id"), F.col("o.value.text").alias("option"),
+                    "place").distinct())
+
+
+def board_labels(boards: DataFrame) -> DataFrame:
+    """S3: the labels that the cards of every board carry, and how many cards do."""
+    cards = boards.select(F.col("id").alias("board_id"), F.explode("cards").alias("c"))
+    held = cards.select("board_id", F.explode(F.array_distinct(F.transform("c.labels", lambda x: x["name"]))).alias("label"))
+    return held.groupBy("board_id", "label").agg(F.count(F.lit(1)).alias("n_cards"))
+
+
 def checklist_items(boards: DataFrame, first_only: bool = False) -> DataFrame:
     """(card, checklist, item, state, due); empty checklists drop out.
     ``first_only`` keeps each checklist's first item (board-level variant)."""

@@ -70,7 +70,8 @@ def start_feed(spark: SparkSession, folder: str, out_path: str, checkpoint: str,
         try:
             months = [r[0] for r in batch.select(MONTH).distinct().collect()]  # calendar months
             known = table(batch.sparkSession, out_path, schema).filter(F.col(MONTH).isin(months) & (F.col("batch_id") != own))
-            (new_bookings(batch, known).withColumn("batch_id", F.lit(own)).write.mode("overwrite")
+            # dealt by month, so that a batch writes few files; AQE splits a month that holds most rows
+            (new_bookings(batch, known).withColumn("batch_id", F.lit(own)).hint("rebalance", MONTH).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH, "batch_id").parquet(out_path))
         finally:
             batch.unpersist()
