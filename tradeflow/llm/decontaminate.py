@@ -96,6 +96,9 @@ def template(text: str | None) -> tuple[list[str], dict[int, str]]:
 
 def plain(tokens: list[str], slots: dict[int, str]) -> tuple[list[str], dict[int, str]]:
     """The plain reading of a text from its template: names as words, folded letters, units after any number."""
+    if not slots:
+        joined = " ".join(tokens)
+        return (tokens if joined.isascii() else joined.casefold().split(" ")), {}
     out, kept, after = [], {}, 0
     for k, value in slots.items():  # in the order of their positions
         out += tokens[after:k]
@@ -133,54 +136,65 @@ def _sparse(tokens: list[str], slots: dict[int, str], widths: list[int], only: d
     return _windows(tokens, slots, widths, only, EXACT, sparse=True) if slots else ()
 
 
+def _known(tokens: list[str], widths: list[int], only: dict) -> dict[int, list[int]]:
+    """For each width the positions of the windows all of whose tokens are words to look for; no other window can match."""
+    import numpy as np
+    known = np.fromiter(map(only["words"].__contains__, tokens), np.int64, len(tokens))
+    known = np.concatenate(([0], np.cumsum(known)))
+    return {w: np.flatnonzero(known[w:] - known[:-w] == w).tolist() for w in widths if 1 <= w <= len(tokens)}
+
+
+def _bytes(tokens: list[str]) -> bytes:
+    return " ".join(tokens).encode("utf-8", "surrogatepass")
+
+
 def _windows(tokens: list[str], slots: dict[int, str], widths: list[int], only: dict | None, reading: int,
-             sparse: bool = False):
+             sparse: bool = False, at: dict[int, list[int]] | None = None):
     """Windows of one reading, which seeds their hashes. ``only``: the words and hashes to look for; a window with
-    any other word is not hashed. ``sparse``: the windows without enough literals instead, hashed with their values."""
+    any other word is not hashed. ``sparse``: the windows without enough literals instead, hashed with their values.
+    ``at``: the positions by width, if they are known."""
     from bisect import bisect_left
-    from itertools import accumulate
 
-    import numpy as np
     from xxhash import xxh3_64_intdigest
-    if only is not None:
-        known = np.fromiter(map(only["words"].__contains__, tokens), np.int64, len(tokens))
-        known = np.concatenate(([0], np.cumsum(known)))
-    starts = joined = None
+    if at is None:
+        at = {w: range(len(tokens) - w + 1) for w in widths if 1 <= w <= len(tokens)} if only is None else _known(tokens, widths, only)
     held = sorted(slots)
-    for w in widths:
-        if w < 1 or w > len(tokens):
-            continue
-        at = range(len(tokens) - w + 1) if only is None else np.flatnonzero(known[w:] - known[:-w] == w).tolist()
-        if at and starts is None:
-            parts = [t.encode("utf-8", "surrogatepass") for t in tokens]
-            joined = b" ".join(parts)
-            starts = [0, *accumulate(len(p) + 1 for p in parts)]
-        for k in at:
+    for w, places in at.items():
+        for k in places:
             if sparse:
                 inside = held[bisect_left(held, k):bisect_left(held, k + w)]
                 if w - len(inside) < min(MIN_LITERALS, w):
                     values = [slots[j] for j in inside]
-                    exact = [joined[starts[k]:starts[k + w] - 1], *(v.encode("utf-8", "surrogatepass") for v in values)]
+                    exact = [_bytes(tokens[k:k + w]), *(v.encode("utf-8", "surrogatepass") for v in values)]
                     h = xxh3_64_intdigest(b"\0".join(exact), reading)
                     if only is None or h in only["hashes"]:
                         yield k, w, h, values
                 continue
-            h = xxh3_64_intdigest(joined[starts[k]:starts[k + w] - 1], reading)
+            h = xxh3_64_intdigest(_bytes(tokens[k:k + w]), reading)
             if only is None or h in only["hashes"]:
                 inside = held[bisect_left(held, k):bisect_left(held, k + w)]
                 if w - len(inside) >= min(MIN_LITERALS, w):
                     yield k, w, h, [slots[j] for j in inside]
 
 
+def _text_windows(text: str | None, widths: list[int], only: dict | None, exact: bool):
+    """The windows of both readings of a document's text, and the sparse ones if ``exact``. Where the readings have the
+    same tokens, as in most texts, the words are looked up once for both."""
+    at = last = None
+    for reading, tokens, slots in _readings(text):
+        if only is not None and tokens != last:
+            at, last = _known(tokens, widths, only), tokens
+        yield from _windows(tokens, slots, widths, only, reading, at=at)
+        if exact and reading == PLAIN and slots:
+            yield from _windows(tokens, slots, widths, only, EXACT, sparse=True, at=at)
+
+
 def _hits(docs: DataFrame, widths: list[int], only: dict | None, exact: bool) -> DataFrame:
     """Windows of documents ``(id, text)`` in each of ``widths``, of both readings; ``exact``: the sparse ones too."""
     def found(batches):
         for b in batches:
             rows = [(i, k, w, _signed(h), s) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist())
-                    for reading, tokens, slots in _readings(t)
-                    for part in (_windows(tokens, slots, widths, only, reading),
-                                 _sparse(tokens, slots, widths, only) if exact and reading == PLAIN else ())
-                    for k, w, h, s in part]
+                    for k, w, h, s in _text_windows(t, widths, only, exact)]
             yield {n: [r[c] for r in rows] for c, n in enumerate(("id", "pos", "width", "hash", "slots"))}
 
     return map_batches(docs, found, "id long, pos long, width int, hash long, slots array<string>")
