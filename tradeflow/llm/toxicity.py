@@ -3,8 +3,8 @@
 Fit (bounded by documented parameters): ``max_examples`` labelled documents,
 the first in hash order of their ids, are the examples. Terms are the
 ``max_terms`` words or beginnings of words whose presence among the examples
-is most dependent on the label (chi-squared of at least ``MIN_CHI``, in at least
-``min_examples`` examples). Document frequencies for IDF are counted over the whole corpus.
+is most dependent on the label (chi-squared of at least ``MIN_CHI``, or a fifth of the
+number of examples if that is less, in at least ``min_examples`` examples, or a tenth of them). Document frequencies for IDF are counted over the whole corpus.
 
 Index: examples are ordered by their heaviest term and cut into blocks of
 ``block`` rows; each term keeps its largest weight per block. A query adds up
@@ -17,11 +17,13 @@ to a probability by a logistic curve fitted to the leave-one-out votes of the
 examples. Texts without any term (empty ones too) get the smoothed share of
 toxic labels among the examples without any term.
 
-Defined results: null text counts as empty. Rows with a null id are scored
-like any other and are never examples. Repeated rows each get a score; labels
-that contradict each other count as toxic; null labels are ignored. Without
-any label every score is 0.5 times nothing known: 0. An empty table gives an
-empty result. Other columns are not read.
+Defined results: null text counts as empty. The id is no input of a score: equal
+texts get equal scores, and an example that is scored has itself among its
+neighbours. Rows with a null id are scored like any other and are never
+examples; of several texts with one labelled id the one of the smallest hash is
+the example. Repeated rows each get a score; labels that contradict each
+other count as toxic; null labels are ignored. Without any label every score
+is 0. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,11 +91,13 @@ def informative_terms(examples: DataFrame, max_terms: int = MAX_TERMS, min_examp
     if not neg or not pos:
         return []
     a, b, all_ = F.col("pos"), F.col("neg"), float(neg + pos)
+    # chi-squared cannot exceed the number of examples: of few examples less is asked
+    least, min_examples = min(MIN_CHI, all_ / 5), max(1, min(min_examples, (neg + pos) // 10))
     chi = (all_ * F.pow(a * (neg - b) - b * (pos - a), 2.0) / ((a + b) * (all_ - a - b) * neg * pos))
     per = (map_batches(examples, counts, "term string, neg long, pos long").groupBy("term")
            .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
            .filter((a + b >= min_examples) & (a + b < all_)).select("term", chi.alias("chi")))
-    return sorted(r.term for r in per.filter(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(max_terms).collect())
+    return sorted(r.term for r in per.filter(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(max_terms).collect())
 
 
 def term_vectors(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,19 +205,19 @@ class Model:
         self.ids = [x[0] for x in own]
         self.index = BlockMaxIndex([(x[2], x[3]) for x in own], [x[1] for x in own], max(1, len(terms)))
         row_of = {int(i): r for r, i in enumerate(self.index.order)}
-        self.own_row = {i: row_of[n] for n, i in enumerate(self.ids)}
+        # calibration only: an example does not vote for itself
         votes = [self.index.vote(x[2], x[3], neighbours, row_of[n]) for n, x in enumerate(own)]
         known = [(v, x[1]) for v, x in zip(votes, own) if not math.isnan(v)]
         self.slope, self.offset = logistic_curve(*zip(*known)) if known else (0.0, 0.0)
 
-    def score(self, id_, terms, counts, memo: dict) -> tuple[float, list]:
-        """(score, ids of the nearest examples); an example is no neighbour of itself."""
-        key = (tuple(terms), tuple(counts), self.own_row.get(id_, -1))
+    def score(self, terms, counts, memo: dict) -> tuple[float, list]:
+        """(score, ids of the nearest examples): the text alone decides, whatever its row's id."""
+        key = (tuple(terms), tuple(counts))
         if key not in memo:
             if len(memo) > 50_000:
                 memo.clear()
             own = weigh(terms, counts, self.idf)
-            found, cos = self.index.nearest(*own, self.neighbours, key[2]) if own[0] else ([], [])
+            found, cos = self.index.nearest(*own, self.neighbours) if own[0] else ([], [])
             value, near = self.prior, []
             if len(found):
                 vote = float((cos * self.index.labels[found]).sum() / cos.sum())
@@ -222,7 +226,7 @@ class Model:
             memo[key] = (value, near)
         return memo[key]
 
-    def score_column(self, id_col, text_col):
+    def score_column(self, text_col):
         """The score of a text where it stands: no row is moved."""
         from collections.abc import Iterator
 
@@ -230,15 +234,15 @@ class Model:
 
         def of(batches):
             words, memo = {}, {}
-            for ids, texts in batches:
+            for texts in batches:
                 out = []
-                for i, t in zip(ids, texts):
+                for t in texts:
                     found = sorted(count_terms(t, self.place, words).items())
-                    out.append(self.score(i, [k for k, _ in found], [n for _, n in found], memo)[0])
+                    out.append(self.score([k for k, _ in found], [n for _, n in found], memo)[0])
                 yield pd.Series(out, dtype="float64")
 
-        of.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-        return F.pandas_udf(of, "double")(id_col, text_col)
+        of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(of, "double")(text_col)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -249,15 +253,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = written(chosen_examples(labels, max_examples, id_col, label_col), "examples")
     picked = F.broadcast(chosen.select(F.col(id_col).alias("id"), "label"))  # at most max_examples rows
     own = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    texts = written(own.join(picked, "id").dropDuplicates(["id"]), "example-texts")
+    # rows of one id may hold unlike texts: the one of the smallest hash is the example
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    texts = written(own.join(picked, "id").groupBy("id", "label").agg(least), "example-texts")
     terms = informative_terms(texts.repartition(spark.sparkContext.defaultParallelism, "id"), max_terms)
     vectors = written(term_vectors(docs, terms, id_col, text_col), "term-vectors")
     n_docs = vectors.count()
     df = {r.term: r.n for r in map_batches(vectors.select("terms"), _presence, "term int, n long")
           .groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = [math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))]
-    rows = sorted((r.id, r.label, r.terms, r.counts) for r in
-                  vectors.join(picked, "id").dropDuplicates(["id"]).collect())  # at most max_examples rows
+    labelled = texts.select("id", "label").join(term_vectors(texts, terms, "id"), "id")
+    rows = sorted((r.id, r.label, r.terms, r.counts) for r in labelled.collect())  # at most max_examples rows
     return Model(terms, idf, rows, neighbours), vectors
 
 
@@ -269,7 +275,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def score(batches):
         memo: dict = {}
         for b in batches:
-            out = [model.score(*x, memo) for x in zip(b["id"].to_pylist(), b["terms"].to_pylist(), b["counts"].to_pylist())]
+            out = [model.score(*x, memo) for x in zip(b["terms"].to_pylist(), b["counts"].to_pylist())]
             yield {"id": b["id"], "score": [x[0] for x in out], "evidence": [x[1] for x in out]}
 
     return map_batches(vectors, score, "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)
