@@ -47,7 +47,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more for toxicity go."""
     labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", KEY)
     model, _ = toxicity.fit(_own(docs), labels, id_col=KEY)
-    return docs.filter(model.score_column(_key(), utf8("text")) < 0.5)
+    return docs.filter(model.score_column(utf8("text")) < 0.5)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
