@@ -230,7 +230,6 @@ def test_battery_matches_plain_python_and_finds_random_tokens(spark, monkeypatch
     alphabet = secrets.ENCODINGS[-1][2]
     random_tokens = ["".join(r.choice(alphabet) for _ in range(r.randrange(20, 60))) for _ in range(300)]
     random_tokens += ["".join(r.choice("ABCDEF0123456789") for _ in range(32)) for _ in range(60)]
-    random_tokens = [t for t in random_tokens if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
     words = [f"{'-'.join(r.choice(['report', 'final', 'draft', 'annual', 'summary']) for _ in range(5))}-{r.randrange(2000, 2020)}"
              for _ in range(300)]
     both = spark.createDataFrame([(t,) for t in random_tokens + words], "t string").select("t", secrets.p_value(F.col("t")).alias("p"))
@@ -245,6 +244,18 @@ def test_battery_matches_plain_python_and_finds_random_tokens(spark, monkeypatch
     assert span.start == 4
 
 
+def test_a_token_of_a_million_characters_is_tested_in_seconds(spark):
+    import time
+    r = random.Random(4)
+    alphabet = secrets.ENCODINGS[-1][2]
+    long = "".join(r.choices(alphabet, k=1_000_000))
+    few = spark.createDataFrame([("a1" * 20,)], "t string").select(secrets.p_value(F.col("t")))
+    few.collect()  # plans and compiles
+    began = time.time()
+    p = spark.createDataFrame([(long,)], "t string").select(secrets.p_value(F.col("t")).alias("p")).collect()[0].p
+    assert time.time() - began < 60 and abs(p - plain_p(long)) < 1e-4
+
+
 # --- repeats -----------------------------------------------------------------------------------------------------
 
 def plain_repeats(rows, length, keep_first):
@@ -308,6 +319,28 @@ def test_suffix_classes_are_the_sorted_prefixes():
     assert all((rank[p] == rank[q]) == (text[p:p + 13] == text[q:q + 13]) for p, q in zip(inside, inside[1:]))
 
 
+def test_previous_factors_equal_a_quadratic_loop():
+    r = random.Random(1)
+    for trial in range(40):
+        n, length = r.randrange(1, 120), r.choice([1, 3, 5, 7, 12, 40])
+        text = bytes(r.choice(b"ab" if trial % 2 else b"abc") for _ in range(n))
+        data = np.frombuffer(text, dtype=np.uint8)
+        order, levels = repeats.suffix_levels(data, length)
+        own = order[order <= n - length] if trial % 3 else order[order % 4 > 0]
+        factor, source = repeats.previous_factors(data, own, levels, length)
+        for k, p in enumerate(own.tolist()):
+            shared = [next((m for m in range(length) if max(p, q) + m >= n or text[p + m] != text[q + m]), length) for q in own.tolist() if q < p]
+            assert factor[k] == max(shared, default=0)
+            assert (source[k] >= 0) == bool(shared) and (not shared or own[source[k]] < p)
+
+
+def test_smaller_before_equals_a_loop():
+    r = np.random.default_rng(2)
+    for values in [np.arange(50), np.arange(50)[::-1].copy(), r.permutation(400), np.zeros(0, np.int64)]:
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert repeats.smaller_before(values).tolist() == want
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------
 
 ITEMS = [(1, "A train leaves Paris at 9 km from the old mill and reaches 40 km of straight track before Alice waves goodbye."),
@@ -454,3 +487,64 @@ def test_labels_of_fold_zero_do_not_matter(spark):
     score = lambda labels: {x.doc_id: x.score for x in toxicity.scores(docs(spark, rows), labels).collect()}
     assert score(one) == score(two)
     assert json.dumps(score(one))
+
+
+def test_personal_data_in_very_long_runs_of_digits(spark):
+    import resource
+    assert pii.pattern_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert pii.pattern_spans("9" * 5000 + ".1.1.1") == []
+    model = pii.Tagger()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = pii.decode(model, ["1234 " * 60_000, *["a 12 b"] * 63])
+    assert len(found) == 64 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kB
+
+
+def test_decoding_does_not_depend_on_the_other_texts_and_equals_all_paths():
+    import itertools
+    model = pii.Tagger()
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab12@. ") for _ in range(n)) for n in (3, 70, 5, 200, 64, 65, 1)]
+    each = [pii.decode(model, [t], confidence=0.0)[0] for t in texts]
+    assert pii.decode(model, texts, confidence=0.0) == each
+    e = pii._emissions(model, ["1@a2"], pii.WIDTH, pii.STRIDE)[0]
+    score = lambda p: (e[np.arange(4), p].sum() + model.p["S"][p[0]] + model.bad_start[p[0]]
+                       + sum(model.p["A"][a, b] + model.bad[a, b] for a, b in zip(p, p[1:])))
+    best = max(itertools.product(range(pii.TAGS), repeat=4), key=lambda p: score(list(p)))
+    padded = np.zeros((1, 9, pii.TAGS))
+    padded[0, :4] = e
+    assert tuple(model.viterbi(e[None])[0]) == best == tuple(model.viterbi(padded, np.array([4]))[0, :4])
+    assert np.allclose(model.marginals(e[None])[0], model.marginals(padded, np.array([4]))[0, :4])
+
+
+def test_stretches_end_with_the_runs_they_touch():
+    text = "x " * 30 + "a-very-long-local-part-without-any-number @ an-equally-long-domain-name-of-letters.example and more words"
+    (s, e), = pii.stretches(text)
+    assert text[s:e].startswith("a-very") and "letters.example" in text[s:e]
+
+
+def test_equal_texts_have_equal_scores_under_any_id(spark):
+    r = random.Random(12)
+    bad, good = "vile awful nasty".split(), "calm fine lovely".split()
+    text = lambda y: " ".join(r.choice((bad if y else good) + ["the", "and", "house", "tree"]) for _ in range(12))
+    rows = [(i, text(i % 2), i % 2) for i in range(200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    twice = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, t) for _, t, _ in rows] + [(i + 1000, t) for i, t, _ in rows], "doc_id long, text string")
+    by = defaultdict(set)
+    own = {x.doc_id: x.text for x in twice.collect()}
+    for x in toxicity.scores(twice, labels).collect():
+        if x.doc_id is not None:
+            by[own[x.doc_id]].add(x.score)
+    assert all(len(v) == 1 for v in by.values())
+
+
+@pytest.mark.parametrize("n", [10, 100])
+def test_few_labels_still_tell_texts_apart(spark, n):
+    r = random.Random(n)
+    bad, good = "vile awful nasty".split(), "calm fine lovely".split()
+    text = lambda y: " ".join(r.sample(bad if y else good, 2) + [r.choice(["the", "and", "house", "tree"]) for _ in range(6)])
+    ids = [i for i in range(4 * n) if zlib.crc32(str(i).encode()) % 5][:n]
+    rows = [(i, text(k % 2), k % 2) for k, i in enumerate(ids)] + [(10_000 + k, text(k % 2), k % 2) for k in range(60)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:n]], "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.scores(d, labels).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, _, y in rows[n:]) >= 54
