@@ -13,7 +13,7 @@ for BIO tags, a CRF with learned transitions scores tag paths; both are trained
 in numpy by Adam on the exact CRF likelihood.
 
 Decoding: every span must hold a digit or an @, so only text within ``reach``
-characters of one is decoded; elsewhere no span can be. Each such stretch is
+characters of one, and on to the next space, is decoded; elsewhere no span can be. Each such stretch is
 cut into overlapping windows. A character's emissions are the mean over its
 windows, weighted by the distance to the window's edge, and one Viterbi path
 runs over the whole stretch, so windows cannot disagree. Spans of the path whose
@@ -39,6 +39,7 @@ from tradeflow.llm.common import map_batches, utf8, written
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, TRAIN_WINDOWS, STEPS, BATCH, WIDTH, HIDDEN, EMBED, SEED = 1500, 4000, 350, 32, 64, 20, 10, 1
 STRIDE, REACH, CONFIDENCE = 32, 24, 0.97
+WINDOWS, CHARACTERS = 512, 1 << 14  # decoded at once
 
 # patterns fixed by the contract; a run of digits is entered at its start, as every later entry fails alike
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -47,6 +48,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_TRIGGERS = re.compile(r"[0-9@]+")
+_RUN = re.compile(r"\S*")
 
 
 def _luhn(digits: str) -> bool:
@@ -76,7 +79,7 @@ def pattern_spans(text: str | None) -> list[tuple[int, int, int]]:
             last = found.end()
         at = text.find("@", max(at + 1, last))
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text)
-            if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+            if all(len(d) <= 3 and int(d or "0") <= 255 for d in (g.lstrip("0") for g in m.groups()))]
     for m in _CARD.finditer(text):
         d = _digits(m[0]) if m.end() - m.start() <= 40 else ""
         if 14 <= len(d) <= 19 and _luhn(d):
@@ -147,7 +150,7 @@ class Tagger:
         e = both @ self.p["O"] + self.p["o"]
         return (e, x, f, b, both) if keep else e
 
-    def _forward(self, e):
+    def _forward(self, e, lengths=None):
         import numpy as np
         a = self.p["A"] + self.bad
         alpha = np.empty_like(e)
@@ -155,34 +158,39 @@ class Tagger:
         for t in range(1, e.shape[1]):
             s = alpha[:, t - 1, :, None] + a
             m = s.max(1)
-            alpha[:, t] = m + np.log(np.exp(s - m[:, None]).sum(1)) + e[:, t]
+            now = m + np.log(np.exp(s - m[:, None]).sum(1)) + e[:, t]
+            alpha[:, t] = now if lengths is None else np.where((t < lengths)[:, None], now, alpha[:, t - 1])
         m = alpha[:, -1].max(1)
         return alpha, m + np.log(np.exp(alpha[:, -1] - m[:, None]).sum(1)), a
 
-    def _backward(self, e, a):
+    def _backward(self, e, a, lengths=None):
         import numpy as np
         beta = np.zeros_like(e)
         for t in range(e.shape[1] - 2, -1, -1):
             s = a[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
             m = s.max(2)
-            beta[:, t] = m + np.log(np.exp(s - m[:, :, None]).sum(2))
+            now = m + np.log(np.exp(s - m[:, :, None]).sum(2))
+            beta[:, t] = now if lengths is None else np.where((t + 1 < lengths)[:, None], now, 0.0)
         return beta
 
-    def marginals(self, e):
+    def marginals(self, e, lengths=None):
+        """Tag posteriors; a sequence ends at its length, what follows has no meaning."""
         import numpy as np
-        alpha, z, a = self._forward(e)
-        return np.exp(alpha + self._backward(e, a) - z[:, None, None])
+        alpha, z, a = self._forward(e, lengths)
+        return np.exp(alpha + self._backward(e, a, lengths) - z[:, None, None])
 
-    def viterbi(self, e):
-        """The best tag path of each sequence."""
+    def viterbi(self, e, lengths=None):
+        """The best tag path of each sequence; a sequence ends at its length."""
         import numpy as np
         a = self.p["A"] + self.bad
         best = e[:, 0] + self.p["S"] + self.bad_start
         back = np.empty(e.shape, dtype=np.int8)
+        stay = np.arange(e.shape[2], dtype=np.int8)
         for t in range(1, e.shape[1]):
             s = best[:, :, None] + a
-            back[:, t] = s.argmax(1)
-            best = s.max(1) + e[:, t]
+            on = np.ones((len(e), 1), bool) if lengths is None else (t < lengths)[:, None]
+            back[:, t] = np.where(on, s.argmax(1), stay)
+            best = np.where(on, s.max(1) + e[:, t], best)
         path = np.empty(e.shape[:2], dtype=np.int8)
         path[:, -1] = best.argmax(1)
         rows = np.arange(len(e))
@@ -300,40 +308,84 @@ def training_windows(rows: list[tuple[str, list[tuple[int, int, int]]]], seed: i
 
 
 def stretches(text: str, reach: int = REACH) -> list[tuple[int, int]]:
-    """The parts of a text within ``reach`` characters of a digit or @."""
+    """The parts of a text within ``reach`` characters of a digit or @, on to the end of the runs of non-spaces they
+    touch, so that no address is cut."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in _TRIGGERS.finditer(text):
         s, e = max(0, m.start() - reach), min(len(text), m.end() + reach)
         if out and s <= out[-1][1]:
-            out[-1][1] = e
+            out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
-    return [(s, e) for s, e in out]
+    runs: list[list[int]] = []
+    for s, e in out:
+        s, e = _run_start(text, s), _RUN.match(text, e).end()
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return [(s, e) for s, e in runs]
 
 
-def decode(model: Tagger, texts: list[str], width: int = WIDTH, stride: int = STRIDE, confidence: float = CONFIDENCE):
-    """For each text (a stretch) the model's spans (start, kind number, end)."""
+def _run_start(text: str, at: int) -> int:
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _batches(lengths: list[int], most: int):
+    """Sequences in the order of their lengths, in batches of ``most`` characters with their padding, or of one sequence."""
+    own: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if own and (len(own) + 1) * lengths[i] > most:
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
+
+
+def _emissions(model: Tagger, texts: list[str], width: int, stride: int):
+    """Emissions of each text: every window of every text is a row of its own, at most ``WINDOWS`` at a time; a character's are
+    the mean over its windows, weighted by the distance to the window's edge. A text's do not depend on the others."""
     import numpy as np
     weight = np.minimum(np.arange(1, width + 1), np.arange(width, 0, -1)).astype(float)
+    padded = [max(width, -(-max(0, len(t) - width) // stride) * stride + width) for t in texts]
+    first = np.concatenate(([0], np.cumsum(padded)))
+    chars = np.zeros(first[-1], dtype=np.int16)
+    for k, t in enumerate(texts):
+        chars[first[k]:first[k] + len(t)] = encode_chars(t)
+    starts = np.concatenate([first[k] + np.arange(0, p - width + 1, stride) for k, p in enumerate(padded)])
+    total, mass = np.zeros((first[-1], TAGS)), np.zeros(first[-1])
+    for lo in range(0, len(starts), WINDOWS):
+        own = starts[lo:lo + WINDOWS]
+        for s, e in zip(own, model.emissions(chars[own[:, None] + np.arange(width)].astype(np.int64))):
+            total[s:s + width] += e * weight[:, None]
+            mass[s:s + width] += weight
+    total /= mass[:, None]
+    return [total[first[k]:first[k] + len(t)] for k, t in enumerate(texts)]
+
+
+def decode(model: Tagger, texts: list[str], width: int = WIDTH, stride: int = STRIDE, confidence: float = CONFIDENCE):
+    """For each text (a stretch) the model's spans (start, kind number, end). Memory follows ``CHARACTERS`` or the
+    longest text, a few hundred bytes a character."""
+    import numpy as np
     out: list[list] = [[] for _ in texts]
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    for lo in range(0, len(order), 64):
-        own = order[lo:lo + 64]
-        longest = max(len(texts[i]) for i in own)
-        length = max(width, -(-max(0, longest - width) // stride) * stride + width)
-        chars = np.zeros((len(own), length), dtype=np.int64)
-        for k, i in enumerate(own):
-            chars[k, :len(texts[i])] = encode_chars(texts[i])
-        total, mass = np.zeros((len(own), length, TAGS)), np.zeros(length)
-        for at in range(0, length - width + 1, stride):
-            total[:, at:at + width] += model.emissions(chars[:, at:at + width]) * weight[:, None]
-            mass[at:at + width] += weight
-        e = total / mass[:, None]
-        path = model.viterbi(e)
+    for own in _batches([len(t) for t in texts], CHARACTERS):
+        own = [i for i in own if texts[i]]
+        if not own:
+            continue
+        each = _emissions(model, [texts[i] for i in own], width, stride)
+        lengths = np.array([len(x) for x in each])
+        e = np.zeros((len(own), lengths.max(), TAGS))
+        for k, x in enumerate(each):
+            e[k, :len(x)] = x
+        path = model.viterbi(e, lengths)
+        path[np.arange(path.shape[1]) >= lengths[:, None]] = 0
         hit = np.flatnonzero((path > 0).any(1))
         if not len(hit):
             continue
-        sure = model.marginals(e[hit])
+        sure = model.marginals(e[hit], lengths[hit])
         for k, m in zip(hit.tolist(), sure):
             i, t = own[k], 0
             p = path[k].tolist()
@@ -364,9 +416,11 @@ def trained(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMP
             got, spans = [], []
             for t in b["text"].to_pylist():
                 found = pattern_spans(t)
-                for s, e in stretches(t):
-                    got.append(t[s:e][:4 * WIDTH])
-                    spans.append([[x - s, k, y - s] for x, k, y in found if s <= x and y <= min(e, s + 4 * WIDTH)])
+                for a, z in stretches(t):
+                    for s in range(a, z, 4 * WIDTH):  # a long stretch gives several pieces
+                        e = min(z, s + 4 * WIDTH)
+                        got.append(t[s:e])
+                        spans.append([[x - s, k, y - s] for x, k, y in found if s <= x and y <= e])
             yield {"text": got, "spans": spans}
 
     sampled = rows.withColumn("h", own).join(F.broadcast(chosen), "h", "left_semi").select("text")
