@@ -6,8 +6,8 @@ Patterns (kinds assign, access, hex) match leftmost without overlap. Positions
 come from the pieces between matches: a match starts after all pieces and
 matches before it (running sums in chunks of the square root of their number).
 
-Battery (kind random): candidates are runs of at least ``min_length`` base-64
-characters that hold a digit and a letter. The encoding (hex, base 32, base
+Battery (kind random): candidates are all runs of at least ``min_length`` base-64
+characters. The encoding (hex, base 32, base
 36, base 64) is the smallest alphabet that holds all characters. Against the
 hypothesis "independent uniform symbols of that encoding" three tests give
 two-sided p-values: chi-squared of the symbol counts (grouped so that about
@@ -109,10 +109,16 @@ def p_value(token: Column) -> Column:
     """Fisher's combination of the three tests for one token."""
     alphabet = F.coalesce(*[F.when(F.regexp_like(token, F.lit(p)), F.lit(a)) for _, p, a in ENCODINGS])
 
+    def plain(s: Column) -> Column:
+        return F.translate(s["token"], "-_", "+/")
+
     def codes_of(s: Column) -> Column:
-        plain = F.translate(s["token"], "-_", "+/")
-        return F.transform(F.sequence(F.lit(1), F.length(plain)),
-                           lambda i: F.instr(s["alphabet"], F.substring(plain, i, F.lit(1))).cast("double") - 1)
+        return F.transform(F.split(plain(s), ""), lambda x: F.instr(s["alphabet"], x).cast("double") - 1)
+
+    def symbols_of(s: Column) -> Column:
+        """How often each symbol of the alphabet occurs: what the token loses without it."""
+        return let(plain(s), lambda t: F.transform(F.split(s["alphabet"], ""), lambda x: (
+            F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("double")))
 
     def tests(c: Column) -> Column:
         codes, size = c["codes"], c["size"]
@@ -121,11 +127,12 @@ def p_value(token: Column) -> Column:
 
         def chi(k: Column) -> Column:
             expected = n / k
-            counts = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda j: F.size(F.filter(
-                codes, lambda x: F.floor(x * k / size) == j)).cast("double"))
-            # a cell holds the symbols whose code falls in it; sizes differ by at most one symbol
-            wide = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda j: n / size * (
-                F.ceil((j + 1) * size / k) - F.ceil(j * size / k)))
+            # a cell holds the symbols whose code falls in it, one after another; sizes differ by at most one symbol
+            first = lambda j: F.ceil(j * size / k)
+            each = F.sequence(F.lit(0), (k - 1).cast("int"))
+            counts = F.transform(each, lambda j: F.aggregate(F.slice(
+                c["symbols"], (first(j) + 1).cast("int"), (first(j + 1) - first(j)).cast("int")), F.lit(0.0), lambda a, v: a + v))
+            wide = F.transform(each, lambda j: n / size * (first(j + 1) - first(j)))
             stat = F.aggregate(F.zip_with(counts, wide, lambda o, e: (o - e) * (o - e) / e), F.lit(0.0),
                                lambda a, v: a + v)
             df = k - 1  # Wilson and Hilferty: the cube root is near normal
@@ -155,8 +162,8 @@ def p_value(token: Column) -> Column:
         return let(half, lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
     return let(F.struct(token.alias("token"), alphabet.alias("alphabet")),
-               lambda s: let(F.struct(codes_of(s).alias("codes"), F.length(s["alphabet"]).cast("double").alias("size")),
-                             tests))
+               lambda s: let(F.struct(codes_of(s).alias("codes"), symbols_of(s).alias("symbols"),
+                                      F.length(s["alphabet"]).cast("double").alias("size")), tests))
 
 
 def length_class(n: Column) -> Column:
@@ -194,10 +201,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_le
     kept = [F.filter(matches(text, ASSIGN, 1), lambda m: F.length(m["value"]) >= 6), matches(text, ACCESS),
             matches(text, HEX)]
     plain = [F.transform(m, _as_kind(k)) for k, m in enumerate(kept)]
-    # a candidate holds a digit, so a text without digits has none
-    tokens = F.when(F.regexp_like(text, F.lit("[0-9]")), F.filter(matches(text, run), lambda m: F.regexp_like(
-        m["value"], F.lit("[0-9]")) & F.regexp_like(m["value"], F.lit("[A-Za-z]"))))
-    candidates = F.transform(tokens, lambda m: F.struct(m["start"], m["end"], p_value(m["value"]).alias("p")))
+    candidates = F.transform(matches(text, run), lambda m: F.struct(m["start"], m["end"], p_value(m["value"]).alias("p")))
     found = written(docs.select(F.col(id_col), F.concat(*plain).alias("base"), candidates.alias("candidates")), "found")
     limit = thresholds(found, false_share)
     own = F.lit(None).cast("double")
