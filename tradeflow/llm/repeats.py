@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by equal windows in suffix order.
+"""Exact removal of repeated byte strings by longest-previous-factor arrays.
 
 Every text is a string of UTF-8 bytes; a window is a substring of ``length``
 bytes. A window is repeated if an equal one starts anywhere else.
@@ -13,11 +13,12 @@ out of the document, hold them all.
 2. Anchors that occur once are done: nothing in them is repeated. Where all
    runs of an anchor are equal, all their windows are repeated.
 3. Otherwise each distinct run is fetched once and the runs of an anchor are
-   laid side by side in corpus order. Prefix doubling puts all suffixes in
-   order to the depth ``length``; suffixes that agree that far stand together,
-   by position, with one rank. A window is repeated if a neighbour has its rank;
-   the first of each such stretch is the one kept by ``keep_first``. Only this
-   equality is computed: no longest-previous-factor array is built.
+   laid side by side in corpus order. Prefix doubling puts their suffixes in order
+   to the depth ``length``. In that order the previous and the next smaller
+   position of each window are found; the longer of the prefixes shared
+   with them is its longest previous factor. A window whose factor is
+   ``length`` is a copy of an earlier one; without ``keep_first`` the earlier
+   one, its source, goes too.
 4. An anchor with more than ``crowd`` distinct runs (a passage in very many
    contexts) is not laid side by side in one task: its windows are counted by
    their 128-bit hash in a shuffled aggregate instead, with the same outcome.
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from tradeflow.llm.common import map_batches, utf8, written
 
 LENGTH, GRAM, CHUNK, BUCKET_BYTES, CROWD = 400, 64, 1 << 20, 1 << 20, 20_000
+FIRST_DEPTH = 5  # bytes that are sorted as they are, before prefix doubling
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -143,25 +145,81 @@ def _signed(x: int) -> int:
     return (x ^ (1 << 63)) - (1 << 63)
 
 
-def suffix_classes(data, length: int):
-    """(order, class) of all positions by their first ``length`` bytes, by prefix doubling; equal prefixes
-    have equal classes and stand in the order of their positions."""
+def suffix_levels(data, length: int):
+    """(order, [(depth, class)]) of all positions by their first ``length`` bytes, by prefix doubling: at each depth equal
+    prefixes have equal classes; in the order, prefixes equal to the last depth stand by position."""
     import numpy as np
     n = len(data)
     bits = max(1, n.bit_length())
-    depth = min(5, length)
+    depth = min(FIRST_DEPTH, length)
     padded = np.concatenate((data, np.zeros(depth, dtype=np.uint8))).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
     for j in range(depth):
         key = (key << np.uint64(8)) | padded[j:j + n]
     order, rank = _ranked(key, 8 * depth, bits)
+    levels = [(depth, rank.astype(np.int32))]
     while depth < length:
         step = min(depth, length - depth)
         ahead = np.zeros(n, dtype=np.uint64)
-        ahead[:n - step] = rank[step:] + np.uint64(1)
+        ahead[:max(0, n - step)] = rank[step:] + np.uint64(1)
         order, rank = _ranked((rank << np.uint64(bits)) | ahead, 2 * bits, bits)
         depth += step
-    return order, rank
+        levels.append((depth, rank.astype(np.int32)))
+    return order, levels
+
+
+def suffix_classes(data, length: int):
+    """(order, class) at the last depth."""
+    order, levels = suffix_levels(data, length)
+    return order, levels[-1][1]
+
+
+def smaller_before(values):
+    """For each place the last place before it with a smaller value, -1 if none: pointers that jump along those found so
+    far, all places at once; what is jumped over is never smaller."""
+    import numpy as np
+    at = np.arange(len(values)) - 1
+    open_ = np.arange(1, len(values))
+    while len(open_):
+        open_ = open_[values[at[open_]] > values[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def common_prefix(data, levels, i, j, length: int):
+    """Length of the common prefix of the suffixes at ``i`` and ``j`` (arrays), at most ``length``: from the deepest classes
+    down, then byte by byte below the first depth."""
+    import numpy as np
+    done, n = np.zeros(len(i), dtype=np.int64), len(data)
+    for depth, rank in reversed(levels):
+        a, b = i + done, j + done
+        fits = (done + depth <= length) & (np.maximum(a, b) + depth <= n)
+        done += depth * (fits & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]))
+    more = done < length
+    for _ in range(levels[0][0]):
+        a, b = i + done, j + done
+        more &= (done < length) & (np.maximum(a, b) < n)
+        more &= data[np.minimum(a, n - 1)] == data[np.minimum(b, n - 1)]
+        done += more
+    return done
+
+
+def previous_factors(data, own, levels, length: int):
+    """(factor, source): for each position of ``own`` (positions in suffix order) the longest prefix, up to ``length``
+    bytes, that also starts at an earlier position of ``own``, and the place in ``own`` of one such (-1: no earlier
+    position). The longest is shared with the previous or the next smaller position in suffix order."""
+    import numpy as np
+    before = smaller_before(own)
+    after = len(own) - 1 - smaller_before(own[::-1])[::-1]
+    after[after == len(own)] = -1
+    factor, source = np.zeros(len(own), dtype=np.int64), np.full(len(own), -1)
+    for other in (before, after):
+        there = np.flatnonzero(other >= 0)
+        shared = common_prefix(data, levels, own[there], own[other[there]], length)
+        longer = (shared > factor[there]) | (source[there] < 0)
+        factor[there[longer]], source[there[longer]] = shared[longer], other[there[longer]]
+    return factor, source
 
 
 def _ranked(key, key_bits: int, bits: int):
@@ -187,12 +245,14 @@ def repeated_windows(strings: list[bytes], counts: list[int], length: int, keep_
     valid = np.zeros(len(data), dtype=bool)
     for b, c in zip(begin, counts):
         valid[b:b + c] = True
-    order, rank = suffix_classes(data, length)
-    own = order[valid[order]]  # suffix order of the windows; equal prefixes by position
-    same = np.concatenate(([False], rank[own][1:] == rank[own][:-1], [False]))
-    earlier, later = same[:-1], same[1:]  # the neighbour before is the previous smaller position, if it agrees
+    order, levels = suffix_levels(data, length)
+    own = order[valid[order]]  # suffix order of the windows
+    factor, source = previous_factors(data, own, levels, length)
+    later = np.flatnonzero(factor >= length)  # copies of an earlier window
     gone = np.zeros(len(data), dtype=bool)
-    gone[own] = earlier if keep_first else earlier | later
+    gone[own[later]] = True
+    if not keep_first:
+        gone[own[source[later]]] = True
     return [gone[b:b + c] for b, c in zip(begin, counts)]
 
 
