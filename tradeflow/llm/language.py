@@ -99,7 +99,8 @@ def examples(docs: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "d
     times as many lets only those texts move; copies collapse before they do."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(
         F.col(lang_col).alias("lang"), "text", F.xxhash64(F.col(id_col).cast("string"), "text").alias("h"))
-    rates = labelled.groupBy("lang").agg((F.lit(4.0 * max_examples) / F.count("*")).alias("rate"))
+    # of different rows, as copies share a hash; the estimate only sets how many more than needed move
+    rates = labelled.groupBy("lang").agg((F.lit(4.0 * max_examples) / F.approx_count_distinct("h", 0.02)).alias("rate"))
     share = F.pmod("h", F.lit(1 << 32)) / F.lit(float(1 << 32))
     near = labelled.join(if_small(rates), "lang").filter(share < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "h")
