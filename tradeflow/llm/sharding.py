@@ -103,8 +103,10 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     """``(id, size, text_crc32, law, shard, slot, grown_shard, copies)`` for every row."""
     text = utf8(text_col)
     size = (F.octet_length(text) + 1).cast("long")
+    # rows without an id are dealt over the blocks one by one: their places are fixed as they are written
+    spread = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     rows = written(docs.select(F.col(id_col), F.xxhash64(text).alias("_g"), F.crc32(text).alias("_crc"),
-                               size.alias("_size"), F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(blocks))
+                               size.alias("_size"), F.pmod(F.xxhash64(F.lit(9), F.col(id_col), spread), F.lit(blocks))
                                .alias("_block")), "rows")
     groups = written(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")), "groups")
     total = rows.count()
