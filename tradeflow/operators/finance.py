@@ -34,17 +34,15 @@ def project_needles(members: DataFrame, *, project: str = "project", job: str =
 
 
 def link_rows_to_projects(needles: DataFrame, rows: DataFrame, *, row_id: str, text_cols: list[str],
-                          project: str = "project") -> DataFrame:
+                          project: str = "project", stored: bool = False) -> DataFrame:
     """J4 at project level: (project, row_id) where any of the row's text columns
-    contains any needle of the project. Blocking runs once on distinct needles."""
+    contains any needle of the project; ``stored``: the rows are cheap to read again."""
     texts = None
     for c in text_cols:
         part = rows.select(F.col(row_id).alias("_rid"), F.col(c).alias("_txt"))
         texts = part if texts is None else texts.unionByName(part)
-    distinct_needles = needles.select("needle").distinct()
-    hits = contains_join(distinct_needles, texts, needle_id="needle", needle_col="needle",
-                         text_id="_rid", text_col="_txt")
-    return (hits.join(needles, "needle").select(project, F.col("_rid").alias(row_id)).distinct())
+    return contains_join(needles.select(project, "needle"), texts, needle_id=project, needle_col="needle",
+                         text_id="_rid", text_col="_txt", stored=stored).withColumnRenamed("_rid", row_id)
 
 
 def project_rollup(members: DataFrame, jobs: DataFrame, mapping: DataFrame, quote_values: DataFrame,

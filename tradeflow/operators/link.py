@@ -2,9 +2,8 @@
 
 The reference tests every (name, text) pair: O(names x texts). Here both
 joins are *blocked equi-joins followed by an exact verification*, so the
-work grows with the number of candidate pairs, not with the product. Texts
-travel once: the keys carry the text's 64-bit hash, and only candidates meet
-the text again.
+work grows with the number of candidate pairs, not with the product. The
+keys of phrases carry the text's 64-bit hash and candidates meet the text again, those of substrings carry the text.
 
 phrase_join (J2) — ``(^|\\W) name (\\W|$)`` on lower-cased text.
     Because the pattern forces a boundary just before and just after the
@@ -25,15 +24,14 @@ contains_join (J4) — literal, case-sensitive ``name in text``, by winnowing.
     Needles shorter than the smallest class are classes of their own length
     with a window of one: their keys are exact.
 
-Rarity is measured only for keys that occur in some name (a semi-join before
-the count), so the frequency table is bounded by the name side. The name side is
-broadcast where a count shows it to be small; otherwise the join is a shuffle
-join whose skewed partitions AQE splits. The big side is never collected per key.
+Rarity is measured only for keys that occur in some name (a semi-join or filter before
+the count). The name side is broadcast where a count shows it to be small; otherwise
+a filter of its keys is, and what passes is a shuffle join whose skewed partitions AQE splits. The big side is never collected per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,37 +65,60 @@ def _steps(n: Column) -> Column:
 
 def distinct_texts(texts: DataFrame, text_id: str, text_col: Column) -> tuple[DataFrame, DataFrame]:
     """(rows (_rid, _tid, _tv), distinct (_tid, _tv)): rows repeat texts, keys are made once per text. ``_tid`` is the
-    text's hash; joins back are on hash and text. Both are written once: what made the texts is not run again for
-    keys, verification and join back."""
-    rows = written(texts.select(F.col(text_id).alias("_rid"), text_col.alias("_tv")).filter(F.col("_tv").isNotNull())
-                   .withColumn("_tid", F.xxhash64("_tv")), "texts")
-    return rows, written(rows.select("_tid", "_tv").distinct(), "distinct-texts")
+    text's hash; what is found by it is verified on each row's own text. The rows are written: what made
+    the texts is not run again for keys and verification."""
+    rows = texts.select(F.col(text_id).alias("_rid"), text_col.alias("_tv")).filter(F.col("_tv").isNotNull())
+    rows = written(rows, "texts").withColumn("_tid", F.xxhash64("_tv"))
+    return rows, rows.select("_tid", "_tv").distinct()
 
 
 BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 8 << 20  # of the name side, counted before it is broadcast
+FILTER_BITS, RARITY = 1 << 26, 1 << 18  # of the filter at most, and counts of how often keys are met
 
 
-def candidates(name_keys: DataFrame, tx: DataFrame, text_keys: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
-    """(_tid, _tv, *names): pairs that share the name's key with the fewest texts. ``name_keys`` (*names, _class, _key);
-    ``text_keys`` adds (_class, _key) to the texts (_tid, _tv), distinct per text.
+def key_filter(keys: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """What drops most rows whose (_class, _key) is not among the ``n`` of ``keys``, and none that is: bits set at the
+    keys' hashes, in words that a broadcast join looks up. 16 bits a key, at most ``FILTER_BITS`` (a million words)."""
+    bits = 1 << 16
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("_class", "_key"), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = (keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
 
-    A name side that is counted to be small is broadcast: texts meet it where they are read. Otherwise
-    the keys are dealt out without their texts, which only candidates meet again."""
+    def keep(df: DataFrame) -> DataFrame:
+        own = df.withColumn("_at", at).withColumn("_w", F.shiftright("_at", 6))
+        there = (F.col("_w") == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0)
+        return own.join(F.broadcast(words), there, "left_semi").drop("_at", "_w")
+
+    return keep
+
+
+def candidates(name_keys: DataFrame, tx: DataFrame, text_keys: Callable[[DataFrame], DataFrame], names: list[str],
+               ids: Sequence[str] = ("_tid",)) -> DataFrame:
+    """(*ids, *names): pairs that share that key of the name which few texts have. ``name_keys`` (*names, _class, _key);
+    ``text_keys`` adds (_class, _key) to the texts, distinct per text; ``ids`` are the columns of a text that go along.
+
+    A name side that is counted to be small is broadcast: texts meet it where they are read. Otherwise a filter of
+    bounded size drops the texts' keys that no name has, and then those that none is blocked on, before they are
+    dealt out. How often a key is met is counted by its hash modulo ``RARITY``, so that the counts stay few."""
     key = ["_class", "_key"]
     name_keys = written(name_keys, "name-keys")
     size = name_keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(names[-1])), F.lit(0))).first()
     small = size[0] <= BROADCAST_KEYS and size[1] <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda df: df)
-    keyed = text_keys(tx)
-    known = keyed.select("_tid", *key).join(hint(name_keys.select(*key).distinct()), key, "left_semi")
-    known = known if small else written(known, "known-keys")
-    seen = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_df"))
-    chosen = (name_keys.join(seen, key, "left").groupBy(*names)
-              .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), *key)).alias("_at")).select(*names, "_at.*")
-              .filter("_df > 0").drop("_df"))
+    keyed = text_keys(tx).select(*ids, *key)
+    if small:
+        known = keyed.join(F.broadcast(name_keys.select(*key).distinct()), key, "left_semi")
+    else:
+        known = written(key_filter(name_keys, size[0])(keyed), "known-keys")
+    slot = F.pmod(F.xxhash64(*key), F.lit(RARITY)).alias("_slot")
+    seen = known.groupBy(slot).agg(F.count(F.lit(1)).alias("_df"))
+    chosen = (name_keys.select("*", slot).join(seen, "_slot").groupBy(*names)
+              .agg(F.min(F.struct("_df", *key)).alias("_at")).select(*names, "_at.*").drop("_df"))
+    chosen = written(chosen, "chosen-keys")
     if small:
-        return keyed.join(F.broadcast(written(chosen, "chosen-keys")), key).select("_tid", "_tv", *names)
-    return known.join(chosen, key).select("_tid", *names).join(tx, "_tid").select("_tid", "_tv", *names)
+        return keyed.join(F.broadcast(chosen), key).select(*ids, *names)
+    return key_filter(chosen, chosen.count())(known).join(chosen, key).select(*ids, *names)
 
 
 PAIR, TOKEN, CHARACTER = 2, 1, 0
@@ -140,10 +161,9 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
             _phrase_keys(F.col("_tv"), kind)).alias("_key")), ["_nid", "_nl"])
         pairs = found if pairs is None else pairs.unionByName(found)
     # a literal search first: the pattern, one per name, is compiled for near matches only
-    verified = (pairs.filter((F.instr(F.col("_tv"), F.col("_nl")) > 0)
-                             & F.rlike(F.col("_tv"), boundary_pattern(F.col("_nl"))))
-                .select("_tid", "_tv", "_nid"))
-    return verified.join(rows, ["_tid", "_tv"]).select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
+    verified = pairs.distinct().join(rows, "_tid").filter((F.instr(F.col("_tv"), F.col("_nl")) > 0)
+                                                          & F.rlike(F.col("_tv"), boundary_pattern(F.col("_nl"))))
+    return verified.select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
 
 
 CLASSES, SKETCH = (8, 16, 32), 1 << 13
@@ -211,37 +231,38 @@ def contains_keys(needles: DataFrame) -> tuple[DataFrame, Callable[[DataFrame],
     return keys(n, "_nv", lambda k: F.col("_class") == k), lambda texts: keys(texts, "_tv", lambda k: F.length("_tv") >= k)
 
 
-def contains_candidates(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``(_tid, _tv, _nid, _nv)`` that share the needle's rarest key; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
+def contains_candidates(needles: DataFrame, texts: DataFrame, ids: Sequence[str] = ("_tid",)) -> DataFrame:
+    """Pairs ``(*ids, _nid, _nv)`` that share a rare key of the needle; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
     own, their = contains_keys(needles)
-    return candidates(own, texts, their, ["_nid", "_nv"])
+    return candidates(own, texts, their, ["_nid", "_nv"], ids)
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
-                  text_id: str, text_col: str) -> DataFrame:
+                  text_id: str, text_col: str, stored: bool = False) -> DataFrame:
     """All (needle, text) pairs where ``needle`` is a literal substring of ``text``.
 
     Null/empty needles match nothing here (an empty needle would pair with
     every text). ``texts`` may hold several rows per ``text_id`` (e.g. one
-    per text column); the result is distinct on (needle_id, text_id). Ledgers
-    repeat the same text on many rows, so keys are made once per distinct text
-    and verified matches are joined back on (hash, text).
+    per text column); the result is distinct on (needle_id, text_id). A row's text goes
+    with its keys, of which few pass the filter of needles' keys, and is verified
+    where it meets the needle: matches, which may be many times the texts, move without
+    texts. ``stored``: the texts are cheap to read again.
     """
     nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
         .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0)).distinct()
-    rows, tx = distinct_texts(texts, text_id, F.col(text_col))
-    verified = (contains_candidates(nd, tx).filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
-                .select("_tid", "_tv", "_nid"))
-    return verified.join(rows, ["_tid", "_tv"]).select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
+    rows = texts.select(F.col(text_id).alias("_rid"), F.col(text_col).alias("_tv")).filter(F.col("_tv").isNotNull())
+    rows = rows if stored else written(rows, "texts")
+    verified = contains_candidates(nd, rows, ["_rid", "_tv"]).filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
+    return verified.select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
 
 
 def prefer_exact(links: DataFrame, *, group: str, exact: Column | str) -> DataFrame:
     """J4 exact-preference: if any linked row of a group is exact, keep only the
-    exact ones. Per-group flag by partial aggregation, joined back (no window
-    over the linked rows, so a hot group is not sorted in one task)."""
+    exact ones. The flagged links are written once; exact ones stay as they are, the others
+    meet the groups that have some (no window over the linked rows, so a hot group is not
+    sorted in one task). A null group has no links."""
     ex = F.col(exact) if isinstance(exact, str) else exact
-    flagged = links.withColumn("_exact", F.coalesce(ex.cast("boolean"), F.lit(False)))
-    any_exact = flagged.groupBy(group).agg(F.max("_exact").alias("_any_exact"))
-    return (flagged.join(any_exact, group)
-            .filter(~F.col("_any_exact") | F.col("_exact"))
-            .drop("_exact", "_any_exact"))
+    flagged = written(links.filter(F.col(group).isNotNull())
+                      .withColumn("_exact", F.coalesce(ex.cast("boolean"), F.lit(False))), "flagged-links")
+    own = flagged.filter("_exact").drop("_exact")
+    return own.unionByName(flagged.filter("NOT _exact").drop("_exact").join(own.select(group).distinct(), group, "left_anti"))

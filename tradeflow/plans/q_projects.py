@@ -232,9 +232,9 @@ def cost_links(spark, sf_dir):
     from tradeflow.operators.link import prefer_exact
     from tradeflow.session import written
     members = written(PF.members_table(PF.jobs_once(spark, sf_dir)), "members")  # read by both needle branches
-    costs = fixture(spark, sf_dir, "costs")
+    costs = written(fixture(spark, sf_dir, "costs").select("row_id", "Project", "Description"), "costs")
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
-                                          text_cols=["Project", "Description"])
+                                          text_cols=["Project", "Description"], stored=True)
     withp = links.join(costs.select("row_id", F.col("Project").alias("_cp")), "row_id")
     return prefer_exact(withp, group="project", exact=F.col("_cp") == F.col("project")).select("project", "row_id")
 
