@@ -11,11 +11,11 @@ from tradeflow.operators import finance, joins
 from tradeflow.operators import reports as R
 from tradeflow.plans import project_flow as PF
 from tradeflow.plans.duck_flow import ctes
-from tradeflow.plans.fixtures import tables
+from tradeflow.plans.fixtures import table_rows, tables
 from tradeflow.plans.q_projects import CALCS_SQL, SALES_SQL, _budget_inputs
 from tradeflow.plans.q_grid import DUCK_GRID as _DUCK_GRID
 from tradeflow.plans.registry import register
-from tradeflow.session import scratch_path, written
+from tradeflow.session import TASK_ROWS, lookup, scratch_path, written
 from tradeflow.sources import grid as G, io
 from tradeflow.sources.parsers import default_parsers
 from tradeflow.streaming import labour_feed as feed
@@ -153,20 +153,23 @@ def orders_preview(spark, sf_dir):
     return R.preview(tables(spark, sf_dir)["orders"], "o_orderkey", n=100)
 
 
-def _exported(rows, lead, path):
-    """Text files below ``path``, each ``lead`` lines followed by its share of ``rows`` (column line, key)."""
+def _exported(rows, lead, path, n_rows):
+    """Text files below ``path``, each ``lead`` lines followed by its share of ``rows`` (column line, key): eight, or as
+    many as keep what a task sorts at its size."""
     spark = rows.sparkSession
-    own = rows.select(F.pmod(F.xxhash64("key"), F.lit(8)).alias("part"), F.lit(len(lead)).alias("at"), "line")
-    heads = spark.range(8).select(F.col("id").alias("part"), F.posexplode(F.array(*[F.lit(x) for x in lead]))
+    n = max(8, -(-n_rows // TASK_ROWS))
+    own = rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).alias("part"), F.lit(len(lead)).alias("at"), "line")
+    heads = spark.range(n).select(F.col("id").alias("part"), F.posexplode(F.array(*[F.lit(x) for x in lead]))
                                   .alias("at", "line"))
-    (own.unionByName(heads).repartition("part").sortWithinPartitions("part", "at")
+    (own.unionByName(heads).repartition(n, "part").sortWithinPartitions("part", "at")
      .select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
     return path
 
 
 def _ledger_lines(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select(
+    part = lookup(t["part"], t["part"].count())
+    return t["lineitem"].join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"),
         F.concat_ws(",", F.date_format("l_shipdate", "d MMM yyyy"),
                     F.concat(F.lit('"'), F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit('"')),
@@ -184,7 +187,8 @@ def ledger_report_export(spark, sf_dir):
     """A ledger report of several files with four title rows each, written and read
     back: quoted commas stay in their cells, rows with an empty cell drop out."""
     lead = ["Ledger", "All accounts", "", "Printed", "Date,Description,Debit,Reference"]
-    return io.read_ledger_report(spark, _exported(_ledger_lines(spark, sf_dir), lead, scratch_path(spark, "ledger")))
+    return io.read_ledger_report(spark, _exported(_ledger_lines(spark, sf_dir), lead, scratch_path(spark, "ledger"),
+                                                table_rows(spark, sf_dir, "lineitem")))
 
 
 @register("parts_csv_export", "S9", oracle=lambda: """
@@ -195,7 +199,8 @@ def parts_csv_export(spark, sf_dir):
     rows = p.select(F.col("p_partkey").alias("key"), F.concat_ws(
         ",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.col("p_name"), F.lit('"')), F.lit("x"),
         F.when(F.col("p_size") == 1, "").otherwise(F.col("p_brand"))).alias("line"))
-    df = io.read_csv_filled(spark, _exported(rows, ["id,_code,,name"], scratch_path(spark, "parts")))
+    df = io.read_csv_filled(spark, _exported(rows, ["id,_code,,name"], scratch_path(spark, "parts"),
+                                           table_rows(spark, sf_dir, "part")))
     return df.select("id", "_code", "name")
 
 
