@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeflow import session
-from tradeflow.operators import quotes as Q
-from tradeflow.plans import project_flow as PF
+from tradeflow.operators import joins, link, quotes as Q
+from tradeflow.plans import project_flow as PF, q_misc
 from tradeflow.plans.fixtures import BASE_TABLES, FIXTURES, SPARK, fixture, tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,3 +56,43 @@ def test_labour_meets_its_lookups_unsorted(spark, monkeypatch):
     lookups = rows._jdf.queryExecution().sparkPlan().toString()
     assert lookups.count("ShuffledHashJoin") == 3
     assert rows.rdd.getNumPartitions() >= 8 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, plain))
+
+
+def test_filtered_keys_lose_no_match(spark, monkeypatch):
+    """The way of many needles: the filter, with bits so few that it lets much pass, and texts that repeat."""
+    monkeypatch.setattr(link, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(link, "FILTER_BITS", 1 << 16)
+    names = [(i, f"{i} Main Road"[: 5 + i % 20]) for i in range(1, 400)]
+    texts = [(j, f"pipe for {j % 700} Main Road, Unit {j % 7}") for j in range(1200)] + [(5, "5 Main Road"), (9, None), (10, "")]
+    n, t = spark.createDataFrame(names, "id long, n string"), spark.createDataFrame(texts, "tid long, t string")
+    got = [tuple(r) for r in link.contains_join(n, t, needle_id="id", needle_col="n", text_id="tid", text_col="t").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, x in names for j, y in texts if y and x in y}
+    keys = spark.range(1000).select(F.lit(8).alias("_class"), F.col("id").alias("_key"))
+    passed = link.key_filter(keys, 1000)(spark.range(100000).select(F.lit(8).alias("_class"), F.col("id").alias("_key")))
+    left = {r._key for r in passed.collect()}
+    assert left >= set(range(1000)) and len(left) < 5000
+
+
+def test_exact_links_of_a_group_are_preferred(spark):
+    links = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 3, None), ("b", 4, False), (None, 5, True), ("a", 6, None)],
+                                  "project string, row_id int, e boolean")
+    assert sorted(r.row_id for r in link.prefer_exact(links, group="project", exact="e").collect()) == [1, 3, 4]
+
+
+def test_places_of_hot_keys_are_those_of_a_window(spark, monkeypatch):
+    rows = [(k, (i * 7919) % 1000) for k, n in (("hot", 400), ("a", 5), (None, 30), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, o int")
+    want = sorted((k or "", o, p) for k in {k for k, _ in rows} for p, o in enumerate(sorted(o for x, o in rows if x == k)))
+    for hot in (10, 1 << 18):
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
+        got = joins.occurrences(df, ["k"], ["o"])
+        assert sorted((r.k or "", r.o, r.occurrence) for r in got.collect()) == want and got.columns == ["k", "o", "occurrence"]
+
+
+def test_exports_get_more_files_with_more_rows(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("key"), F.concat(F.lit("x"), "id").alias("line"))
+    for n, files in ((500, 8), (20 * session.TASK_ROWS, 20)):
+        path = f"{tmp_path}/{n}"
+        q_misc._exported(rows, ["title", "head"], path, n)
+        read = spark.read.text(path)
+        assert read.filter("value = 'title'").count() == files and read.count() == 500 + 2 * files
