@@ -34,15 +34,16 @@ def project_needles(members: DataFrame, *, project: str = "project", job: str =
 
 
 def link_rows_to_projects(needles: DataFrame, rows: DataFrame, *, row_id: str, text_cols: list[str],
-                          project: str = "project", stored: bool = False) -> DataFrame:
+                          project: str = "project", stored: bool = False, tasks: int = 0) -> DataFrame:
     """J4 at project level: (project, row_id) where any of the row's text columns
-    contains any needle of the project; ``stored``: the rows are cheap to read again."""
+    contains any needle of the project; ``stored``: the rows are cheap to read again; ``tasks``:
+    the links are dealt by row over so many, where they then meet the rows."""
     texts = None
     for c in text_cols:
         part = rows.select(F.col(row_id).alias("_rid"), F.col(c).alias("_txt"))
         texts = part if texts is None else texts.unionByName(part)
     return contains_join(needles.select(project, "needle"), texts, needle_id=project, needle_col="needle",
-                         text_id="_rid", text_col="_txt", stored=stored).withColumnRenamed("_rid", row_id)
+                         text_id="_rid", text_col="_txt", stored=stored, tasks=tasks).withColumnRenamed("_rid", row_id)
 
 
 def project_rollup(members: DataFrame, jobs: DataFrame, mapping: DataFrame, quote_values: DataFrame,
@@ -93,9 +94,12 @@ def project_rollup(members: DataFrame, jobs: DataFrame, mapping: DataFrame, quot
     # M3 supplier costs over J4-linked rows with exact-name preference
     cl = cost_links.join(costs.select(F.col(cost_row_id), F.col(gross).alias("_gross"),
                                       F.col(cost_project_col).alias("_cp")), cost_row_id)
-    cl = prefer_exact(cl, group="project", exact=F.col("_cp") == F.col("project"))
+    # summed per project and exactness first: the preference is among two rows of a project, not among its links
+    same = F.coalesce(F.col("_cp") == F.col("project"), F.lit(False)).alias("_same")
+    cl = cl.groupBy("project", same).agg(F.sum("_gross").alias("_gross"), F.count(F.lit(1)).alias("_rows"))
+    cl = prefer_exact(cl, group="project", exact="_same")
     sc = cl.groupBy("project").agg(F.round(F.sum("_gross"), 2).alias("supplier_costs_total"),
-                                   F.count(F.lit(1)).alias("n_cost_rows"))
+                                   F.sum("_rows").alias("n_cost_rows"))
 
     # M7 work start / end over J4-linked labour rows
     ll = labour_links.join(labour.select(labour_row_id, "start_date", "end_date"), labour_row_id)

@@ -238,7 +238,7 @@ def contains_candidates(needles: DataFrame, texts: DataFrame, ids: Sequence[str]
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,
-                  text_id: str, text_col: str, stored: bool = False) -> DataFrame:
+                  text_id: str, text_col: str, stored: bool = False, tasks: int = 0) -> DataFrame:
     """All (needle, text) pairs where ``needle`` is a literal substring of ``text``.
 
     Null/empty needles match nothing here (an empty needle would pair with
@@ -246,14 +246,16 @@ def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needl
     per text column); the result is distinct on (needle_id, text_id). A row's text goes
     with its keys, of which few pass the filter of needles' keys, and is verified
     where it meets the needle: matches, which may be many times the texts, move without
-    texts. ``stored``: the texts are cheap to read again.
+    texts. ``stored``: the texts are cheap to read again. ``tasks``: pairs are dealt by text alone over
+    so many tasks, and what joins them on the text deals them no more.
     """
     nd = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_col).alias("_nv")) \
         .filter(F.col("_nv").isNotNull() & (F.length("_nv") > 0)).distinct()
     rows = texts.select(F.col(text_id).alias("_rid"), F.col(text_col).alias("_tv")).filter(F.col("_tv").isNotNull())
     rows = rows if stored else written(rows, "texts")
     verified = contains_candidates(nd, rows, ["_rid", "_tv"]).filter(F.instr(F.col("_tv"), F.col("_nv")) > 0)
-    return verified.select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id)).distinct()
+    pairs = verified.select(F.col("_nid").alias(needle_id), F.col("_rid").alias(text_id))
+    return (pairs.repartition(tasks, text_id) if tasks else pairs).distinct()
 
 
 def prefer_exact(links: DataFrame, *, group: str, exact: Column | str) -> DataFrame:
