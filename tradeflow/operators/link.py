@@ -36,7 +36,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeflow.session import written
+from tradeflow.session import counted, written
 
 _WORD = r"(?U)\w+"
 _META = r"([\\^$.|?*+()\[\]{}])"
@@ -161,7 +161,7 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
             _phrase_keys(F.col("_tv"), kind)).alias("_key")), ["_nid", "_nl"])
         pairs = found if pairs is None else pairs.unionByName(found)
     # a literal search first: the pattern, one per name, is compiled for near matches only
-    verified = pairs.distinct().join(rows, "_tid").filter((F.instr(F.col("_tv"), F.col("_nl")) > 0)
+    verified = pairs.distinct().join(counted(rows), "_tid").filter((F.instr(F.col("_tv"), F.col("_nl")) > 0)
                                                           & F.rlike(F.col("_tv"), boundary_pattern(F.col("_nl"))))
     return verified.select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
 
