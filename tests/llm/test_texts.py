@@ -93,6 +93,20 @@ def test_pieces_encode_like_whole_texts():
     assert len(small.memo) == 3
 
 
+def test_an_encoder_is_made_once_for_a_worker(spark):
+    """Not again for each task (op3: CPU seconds a GB); plain texts split as the general pattern splits them."""
+    made = token_files._of_worker("probe", lambda: [1])
+    assert token_files._of_worker("probe", lambda: [2]) is made and token_files._of_worker("other", lambda: [2]) == [2]
+    import regex
+    r = random.Random(13)
+    parts = ["the", "It's", "we'll,", "x_y", "12", "3rd", "né", "'", "'s", ".", "--", "\n", "\n\n", "\t", "a.\nB", "\r\n", "Œuvre",
+             *(chr(c) for c in range(0x20, 0x180))]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) + " " * r.choice((0, 1, 1, 1, 1, 2)) for _ in range(r.randrange(0, 9)))
+        if not token_files.UNUSUAL.search(t):
+            assert token_files.PLAIN.findall(t) == regex.findall(token_files.PIECES, t), repr(t)
+
+
 # --- personal data -----------------------------------------------------------------------------------------------
 
 PII = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",

@@ -38,6 +38,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 
@@ -50,6 +51,11 @@ MAGIC, SAMPLE = b"TFTOKEF1", 256
 RUN_IDS, MEMO_WORDS = 2_000_000, 1_200_000
 # the pre-tokenizer pattern of byte-level BPE; a fixed value
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# plain texts, of ASCII and Latin letters, split alike by the standard library, which is faster, as it is with the letters
+# listed and first: no other alternative begins with one
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
+PLAIN = re.compile(rf" [{_LETTERS}]+|[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class EliasFano:
@@ -161,8 +167,8 @@ class Pieces(dict):
         return ids
 
 
-def _worker_memo(name: str, make) -> dict:
-    """A memo that lives as long as the Python worker, over all its tasks."""
+def _of_worker(name: str, make):
+    """What ``make`` gives; made once in the life of a Python worker, over all its tasks."""
     import sys
     held = sys.__dict__.setdefault("_tradeflow_memo", {})
     if name not in held:
@@ -173,9 +179,7 @@ def _worker_memo(name: str, make) -> dict:
 class Encoder:
     """Whole-text ids by the tokenizers library, with remembered pieces."""
 
-    def __init__(self, spec: str, width: int = 4, memo_words: int = MEMO_WORDS, shared: bool = False):
-        import re
-
+    def __init__(self, spec: str, width: int = 4, memo_words: int = MEMO_WORDS):
         import regex
         from tokenizers import Tokenizer
         self.tokenizer, self.width = Tokenizer.from_str(spec), width
@@ -185,18 +189,14 @@ class Encoder:
                          and not own.get("normalizer") and own["model"].get("type") == "BPE")
         self.added = [t["content"] for t in own.get("added_tokens") or ()]
         self.pieces = regex.compile(PIECES)
-        # texts of ASCII and Latin letters split alike by the standard library, which is faster
-        self.unusual = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
-        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        make = lambda: Pieces(self.tokenizer.model, width, memo_words)
-        self.memo = _worker_memo(f"{zlib.crc32(spec.encode())}-{width}", make) if shared else make()
+        self.memo = Pieces(self.tokenizer.model, width, memo_words)
 
     def __call__(self, text: str) -> bytes:
         """The ids, little endian, that ``encode(text, add_special_tokens=False)`` gives."""
         if not self.by_piece or any(a in text for a in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return b"".join([i.to_bytes(self.width, "little") for i in ids])
-        pieces = (self.pieces if self.unusual.search(text) else self.plain).findall(text)
+        pieces = (self.pieces if UNUSUAL.search(text) else PLAIN).findall(text)
         return b"".join(map(self.memo.__getitem__, pieces))
 
 
@@ -217,7 +217,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         import numpy as np
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(spec, width, shared=True)
+        encode = _of_worker(f"{zlib.crc32(spec.encode())}-{width}", lambda: Encoder(spec, width))
         last = end_id.to_bytes(width, "little")
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
