@@ -322,6 +322,16 @@ def test_repeats_of_equal_rows_long_texts_and_nothing(spark):
     assert repeats.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    def passage(letters, size):
+        words = " ".join(f"{letters}{k:03d}" for k in range(57))
+        return words + "x" * (size - len(words))
+    short, enough = passage("sho", 399), passage("eno", 400)
+    rows = [(1, f"1{short}2"), (2, f"3{short}4"), (3, f"5{enough}6"), (4, f"7{enough}8")]
+    got = {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept)) for x in repeats.without_repeats(docs(spark, rows)).collect()}
+    assert got == {1: (0, 0, rows[0][1].encode()), 2: (0, 0, rows[1][1].encode()), 3: (400, 1, b"56"), 4: (400, 1, b"78")}
+
+
 def test_suffix_classes_are_the_sorted_prefixes():
     r = random.Random(0)
     data = np.array([r.choice([97, 98]) for _ in range(600)], dtype=np.uint8)
