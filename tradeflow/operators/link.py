@@ -13,20 +13,14 @@ phrase_join (J2) — ``(^|\\W) name (\\W|$)`` on lower-cased text.
     tokens, a name of one on that token, a name of none (``#``) on its first
     character; texts emit tokens or characters only if such names exist.
 
-contains_join (J4) — literal, case-sensitive ``name in text``, by winnowing.
-    A class c of needles has the gram length q and the window w with
-    q + w - 1 = c: texts emit, of every w consecutive q-grams, the first in an
-    order that both sides share. A needle of c code points or more holds a whole
-    window, and so does each text that contains it: they share its pick. Longer
-    needles pick for each of their windows and are blocked on the rarest pick.
-    The order puts the grams first that are rare among the needles, by a sketch
-    of fixed size (``SKETCH`` counts, hashed), so that picks tell needles apart.
-    Needles shorter than the smallest class are classes of their own length
-    with a window of one: their keys are exact.
-
-Rarity is measured only for keys that occur in some name (a semi-join or filter before
+contains_join (J4) — literal, case-sensitive ``name in text``.
+    A needle's key is the hash of the whole needle, so what a text meets does not grow
+    with the needles that share their parts. Texts emit the windows that pass a set of
+    bits of all needles (see ``windows``); what passes by chance is dropped by the join.
+
+Rarity of phrases' keys is measured only for those that occur in some name (a semi-join or filter before
 the count). The name side is broadcast where a count shows it to be small; otherwise
-a filter of its keys is, and what passes is a shuffle join whose skewed partitions AQE splits. The big side is never collected per key.
+what passes a filter of its keys is a shuffle join whose skewed partitions AQE splits. The big side is never collected per key.
 """
 
 from __future__ import annotations
@@ -36,6 +30,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeflow.operators.windows import keys_of, needle_keys
 from tradeflow.session import counted, written
 
 _WORD = r"(?U)\w+"
@@ -166,75 +161,18 @@ def phrase_join(names: DataFrame, texts: DataFrame, *, name_id: str, name_col: s
     return verified.select(F.col("_nid").alias(name_id), F.col("_rid").alias(text_id)), chars
 
 
-CLASSES, SKETCH = (8, 16, 32), 1 << 13
-
-
-def needle_class(c: Column) -> Column:
-    """The largest class within the length of ``c``; shorter needles are a class of their own length."""
-    out = F.length(c)
-    for k in CLASSES:
-        out = F.when(F.length(c) >= k, F.lit(k)).otherwise(out)
-    return out
-
-
-def gram_length(k: int) -> int:
-    return k // 2 if k in CLASSES else k
-
-
-SHORT = 256  # code points: a substring counts from the start of its text, so longer texts are split first
-
-
-def _grams(c: Column, q: int) -> Column:
-    """Hashes of all substrings of ``q`` code points, in order."""
-    short = F.transform(_steps(F.length(c) - (q - 1)), lambda i: F.xxhash64(F.lit(q), F.substring(c, i, F.lit(q))))
-    long = let(F.split(c, ""), lambda x: F.transform(
-        _steps(F.size(x) - (q - 1)), lambda i: F.xxhash64(F.lit(q), F.array_join(F.slice(x, i, q), ""))))
-    return F.when(F.length(c) <= SHORT, short).otherwise(long)
-
-
-def needle_sketch(needles: DataFrame, classes: list[int]) -> Column:
-    """How many needles hold a gram, as 15 bits of its logarithm, by the gram's hash modulo ``SKETCH``: a constant array."""
-    held = None
-    for k in classes:
-        part = needles.filter(F.col("_class") == k).select(F.explode(F.array_distinct(_grams(F.col("_nv"), gram_length(k)))).alias("_g"))
-        held = part if held is None else held.unionByName(part)
-    seen = held.groupBy(F.pmod("_g", F.lit(SKETCH)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.log2(F.col("n") + 1) * 600, F.lit(32767)).cast("int")
-    levels = dict(seen.select("at", level).collect())  # SKETCH rows at most
-    return F.split(F.lit(",".join(str(levels.get(i, 0)) for i in range(SKETCH))), ",").cast("array<int>")
-
-
-def picks(c: Column, k: int, sketch: Column) -> Column:
-    """The distinct keys that winnowing picks from ``c`` for class ``k``: 15 bits of rarity above 48 of the hash."""
-    q = gram_length(k)
-    w = k - q + 1
-    key = lambda g: F.shiftleft(F.get(sketch, F.pmod(g, F.lit(SKETCH)).cast("int")).cast("long"), 48).bitwiseOR(
-        g.bitwiseAND(F.lit((1 << 48) - 1)))
-    return let(F.transform(_grams(c, q), key), lambda h: F.array_distinct(F.transform(
-        _steps(F.size(h) - (w - 1)), lambda i: F.least(*[F.get(h, i + (j - 1)) for j in range(w)]) if w > 1 else F.get(h, i - 1))))
-
-
 def contains_keys(needles: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """The keys (_nid, _nv, _class, _key) of needles (_nid, _nv), and a function that adds (_class, _key) to texts (_tid, _tv)."""
-    n = needles.withColumn("_class", needle_class(F.col("_nv")))
-    classes = sorted(r[0] for r in n.select("_class").distinct().collect())  # seven short ones and CLASSES at most
-    sketch = needle_sketch(n, classes) if classes else None
-
-    def keys(df: DataFrame, c: str, own: Callable[[int], Column]) -> DataFrame:
-        out = None
-        for k in classes:
-            part = df.filter(own(k)).select(*[x for x in df.columns if x != "_class"], F.lit(k).alias("_class"),
-                                            F.explode(picks(F.col(c), k, sketch)).alias("_key"))
-            out = part if out is None else out.unionByName(part)
-        return df.withColumns({"_class": F.lit(0), "_key": F.lit(0).cast("long")}).limit(0) if out is None else out
-
-    return keys(n, "_nv", lambda k: F.col("_class") == k), lambda texts: keys(texts, "_tv", lambda k: F.length("_tv") >= k)
+    """The keys (_nid, _nv, _class, _key) of needles (_nid, _nv), written, and a function that adds (_class, _key) to texts (_tid, _tv)."""
+    own = written(needle_keys(needles, "_nv").filter(F.col("_length") > 0), "needle-keys")
+    return own.drop("_length", "_lead"), keys_of(own, own.count(), "_tv")
 
 
 def contains_candidates(needles: DataFrame, texts: DataFrame, ids: Sequence[str] = ("_tid",)) -> DataFrame:
-    """Pairs ``(*ids, _nid, _nv)`` that share a rare key of the needle; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
+    """Pairs ``(*ids, _nid, _nv)`` of a needle and a text with a window of its key; ``needles`` (_nid, _nv), ``texts`` (_tid, _tv)."""
     own, their = contains_keys(needles)
-    return candidates(own, texts, their, ["_nid", "_nv"], ids)
+    size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_nv")), F.lit(0))).first()
+    small = size[0] <= BROADCAST_KEYS and size[1] <= BROADCAST_BYTES
+    return their(texts).join(own.hint("broadcast" if small else "merge"), ["_class", "_key"]).select(*ids, "_nid", "_nv")
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, *, needle_id: str, needle_col: str,

@@ -228,13 +228,14 @@ def job_structs_flat(spark, sf_dir):
 
 @register("cost_links", "J4", bench=True, oracle=lambda: ctes("rollup") + "SELECT project, row_id FROM fx_cost_pref")
 def cost_links(spark, sf_dir):
-    """Any-substring link of ledger rows to projects (blocked by the longest keys), exact-name preference."""
+    """Any-substring link of ledger rows to projects (by keys of whole needles), exact-name preference."""
     from tradeflow.operators.link import prefer_exact
-    from tradeflow.session import written
+    from tradeflow.session import tasks_for, written
     members = written(PF.members_table(PF.jobs_once(spark, sf_dir)), "members")  # read by both needle branches
     costs = written(fixture(spark, sf_dir, "costs").select("row_id", "Project", "Description"), "costs")
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
-                                          text_cols=["Project", "Description"], stored=True)
+                                          text_cols=["Project", "Description"], stored=True,
+                                          tasks=tasks_for(spark, table_rows(spark, sf_dir, "lineitem")))
     withp = links.join(costs.select("row_id", F.col("Project").alias("_cp")), "row_id")
     return prefer_exact(withp, group="project", exact=F.col("_cp") == F.col("project")).select("project", "row_id")
 
