@@ -10,7 +10,7 @@ from tradeflow.plans import project_flow as PF
 from tradeflow.plans.duck_flow import ctes, duck_clean_address
 from tradeflow.plans.fixtures import duck_cte, fixture, table_rows
 from tradeflow.plans.registry import register
-from tradeflow.session import dealt, lookup
+from tradeflow.session import dealt, lookup, written
 
 
 @register("cards_removed", "P1,J5", oracle=lambda: ctes("jobs") +
@@ -230,7 +230,7 @@ def job_structs_flat(spark, sf_dir):
 def cost_links(spark, sf_dir):
     """Any-substring link of ledger rows to projects (by keys of whole needles), exact-name preference."""
     from tradeflow.operators.link import prefer_exact
-    from tradeflow.session import tasks_for, written
+    from tradeflow.session import tasks_for
     members = written(PF.members_table(PF.jobs_once(spark, sf_dir)), "members")  # read by both needle branches
     costs = written(fixture(spark, sf_dir, "costs").select("row_id", "Project", "Description"), "costs")
     links = finance.link_rows_to_projects(finance.project_needles(members), costs, row_id="row_id",
@@ -350,7 +350,9 @@ SELECT p.*, s.statuses FROM fx_projects p LEFT JOIN (
 ORDER BY s.statuses""")
 def projects_formatted(spark, sf_dir):
     """The projects with their statuses, ordered by them (as many elements as there are states of a card)."""
-    j, m = _members(spark, sf_dir)
+    parts = PF.project_parts(spark, sf_dir)
+    j, m = parts.jobs, parts.members
     statuses = (m.select("project", "name").join(j.select("name", "status"), "name").filter("status IS NOT NULL")
                 .groupBy("project").agg(F.array_sort(F.collect_set("status")).alias("statuses")))
-    return PF.projects(spark, sf_dir).join(statuses, "project", "left").orderBy("statuses")
+    # written before the sort, which reads its rows twice: for the ranges of its tasks, then for the tasks
+    return written(parts.projects.join(statuses, "project", "left"), "projects").orderBy("statuses")
