@@ -6,7 +6,7 @@ row as columns, one per dimension; within a block, rows are put in order by
 repeated halving at the median of the widest dimension and cut into segments
 of about ``segment`` rows, whose least and largest value per dimension are
 kept. Anchors are packed into blocks in the same way, and each anchor block
-meets each data block of its vector length.
+meets each data block of its vector length, in a task for each data block or for a share of its anchors.
 
 In a block an anchor starts from a bitmap (here the numbers of the set bits)
 of the rows that may count, and reads the dimensions in descending order of
@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeflow.llm.common import map_batches, written
+from tradeflow.llm.common import map_batches
+from tradeflow.session import written
 
 SCALE, LIMIT = 256, 1 << 26
 BLOCK, ANCHORS, SEGMENT, STEP = 16_384, 512, 128, 8
+TASKS = 2  # a core, at least, where there are blocks and anchor blocks for them
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 5, 80, 100
 PACKED = "len int, block int, n int, ids binary, labels binary, marks binary, wanted binary, values binary"
 NONE = -(1 << 63)  # no score
@@ -165,12 +167,17 @@ def window(positive: int, low: int = LOW, high: int = HIGH) -> tuple[int, int]:
 
 
 def met(anchors: DataFrame, data: DataFrame) -> DataFrame:
-    """Each anchor block beside each data block of its length: data blocks are copied once per anchor block, as
-    single rows; anchors stay what they are, about 1 % of the rows."""
+    """Each anchor block beside each data block of its length, as single rows; anchors stay what they are, about 1 % of the
+    rows. Written blocks are few and lie in few files, often one, so they are dealt out in turn, a block to a task; of fewer
+    blocks than ``TASKS`` a core, copies are, each of which meets its share of the anchor blocks."""
+    n = data.count()
+    shares = max(1, -(-TASKS * data.sparkSession.sparkContext.defaultParallelism // max(n, 1)))
     per = anchors.groupBy("len").agg(F.max("block").alias("last"))
-    copies = data.join(per, "len").withColumn("a_block", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    copies = data.join(per, "len").withColumn("share", F.explode(F.sequence(F.lit(0), F.least("last", F.lit(shares - 1)))))
+    blocks = max(1, copies.select("share").count())
+    cells = copies.repartition(blocks).withColumn("a_block", F.explode(F.sequence("share", "last", F.lit(shares)))).drop("share", "last")
     own = anchors.select("len", F.col("block").alias("a_block"), *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c not in ("len", "block")])
-    return copies.join(own, ["len", "a_block"])
+    return cells.join(own, ["len", "a_block"])
 
 
 def _cells(batches):
